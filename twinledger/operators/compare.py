@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.functions.values import Val, value_at_path, values_differ
+from twinledger.functions.values import Val, literal_for, value_at_path, values_differ
 from twinledger.model import (
     MISSING_DIFF_SCHEMA,
     MISSING_IN_1,
@@ -244,9 +244,10 @@ def detail_item_join(
     With ``items`` the detail must belong to a known item; the filters are
     applied to both inputs before the join.
     """
+    dtype = detail.schema[date_col].dataType
     wanted = detail.filter(
         (F.col(item_col) == F.lit(item)) & (F.col(location_col) == F.lit(location))
-        & (F.col(date_col) >= F.lit(start)) & (F.col(date_col) < F.lit(end))
+        & (F.col(date_col) >= literal_for(start, dtype)) & (F.col(date_col) < literal_for(end, dtype))
     )
     if items is None:
         return wanted

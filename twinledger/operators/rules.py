@@ -13,6 +13,7 @@ from twinledger.functions.conditions import rule_condition
 from twinledger.functions.values import (
     Val,
     apply_pre_actions,
+    path_segments,
     side_pre_actions,
     strip_blank,
     text_of,
@@ -76,7 +77,7 @@ def field_comparison_rule(pairs: DataFrame, rule: Rule) -> CompiledRule:
         violated = values_differ(side1, side2)
     else:
         violated = violates_operator(side1, side2, operator)
-    field = (rule.field or path1).strip()
+    field = (rule.field or ".".join(path_segments(path1))).strip()
     diff = diff_struct(
         diffType=F.lit(FIELD_MISMATCH), **_pair_columns(), field=F.lit(field),
         file1Value=strip_blank(text_of(side1)), file2Value=strip_blank(text_of(side2)),

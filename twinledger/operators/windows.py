@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinledger.functions.values import literal_for
 from twinledger.model import (
     STATUS_PENDING,
     STATUS_SKIPPED,
@@ -174,7 +175,7 @@ def due_automations(automations: DataFrame, now, limit: int = 100) -> DataFrame:
     last calendar fire time if the caller supplies ``lastCronFireTime``.
     """
     at = F.lit(now).cast("timestamp")
-    last = F.col("lastScheduledFireTime")
+    last = F.col("lastScheduledFireTime").cast("timestamp")
     step = F.col("scheduleSeconds").cast("bigint")
     steps = F.floor((F.unix_micros(at) - F.unix_micros(last)) / (step * 1_000_000))
     by_interval = F.when(
@@ -182,9 +183,9 @@ def due_automations(automations: DataFrame, now, limit: int = 100) -> DataFrame:
     )
     fire = by_interval
     if "lastCronFireTime" in automations.columns:
-        cron = F.col("lastCronFireTime")
+        cron = F.col("lastCronFireTime").cast("timestamp")
         fire = F.when(cron.isNotNull(), F.when(last.isNull() | (last < cron), cron)).otherwise(by_interval)
-    stored = F.col("nextScheduledFireTime")
+    stored = F.col("nextScheduledFireTime").cast("timestamp")
     due = F.when(stored.isNotNull(), F.when(stored <= at, stored)).otherwise(fire)
     return (
         automations.filter(F.upper("isActive") == "Y").withColumn("dueFireTime", due)
@@ -270,22 +271,22 @@ def _leaves(start: int, end: int, depth: int) -> list[tuple[int, int]]:
     return _leaves(start, middle, depth - 1) + _leaves(middle, end, depth - 1)
 
 
-def _slot(ts: Column, bounds: list[int], first: int) -> Column:
+def _slot(ts: Column, dtype: T.DataType, bounds: list[int], first: int) -> Column:
     """Index of the last bound not after ``ts``: a balanced tree of comparisons."""
     if len(bounds) == 1:
         return F.lit(first)
     half = len(bounds) // 2
-    return F.when(ts < F.lit(_moment(bounds[half])), _slot(ts, bounds[:half], first)).otherwise(
-        _slot(ts, bounds[half:], first + half)
-    )
+    return F.when(
+        ts < literal_for(_moment(bounds[half]), dtype), _slot(ts, dtype, bounds[:half], first)
+    ).otherwise(_slot(ts, dtype, bounds[half:], first + half))
 
 
 def _count_leaves(df: DataFrame, ts_col: str, leaves: list[tuple[int, int]]) -> list[int]:
     """Rows per leaf in one pre-aggregated pass over the open range only."""
-    ts = F.col(ts_col)
+    ts, dtype = F.col(ts_col), df.schema[ts_col].dataType
     bounds = sorted({edge for leaf in leaves for edge in leaf})
-    in_range = (ts >= F.lit(_moment(bounds[0]))) & (ts < F.lit(_moment(bounds[-1])))
-    counted = df.filter(in_range).groupBy(_slot(ts, bounds, 0).alias("slot")).count().collect()
+    in_range = (ts >= literal_for(_moment(bounds[0]), dtype)) & (ts < literal_for(_moment(bounds[-1]), dtype))
+    counted = df.filter(in_range).groupBy(_slot(ts, dtype, bounds, 0).alias("slot")).count().collect()
     by_start = {bounds[row["slot"]]: row["count"] for row in counted}
     return [by_start.get(start, 0) for start, _ in leaves]
 

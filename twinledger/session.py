@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Names of the UTC zone.
+UTC_NAMES = ["UTC", "Etc/UTC", "UCT", "Etc/UCT", "GMT", "Etc/GMT", "Universal", "Zulu", "Z", "+00:00"]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -43,5 +47,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def require_utc(spark: SparkSession) -> None:
     """Window arithmetic moves between zones explicitly and needs a UTC session."""
     zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+    if zone not in UTC_NAMES:
         raise ValueError(f"spark.sql.session.timeZone must be UTC for time windows, found {zone}")

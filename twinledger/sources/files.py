@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinledger.functions.values import literal_for
+
 # Preview size and the words that mark a JSON-Schema document.
 PREVIEW_CHARS = 8192
 SCHEMA_MARK = '"$schema"'
@@ -153,4 +155,5 @@ def newest_file_per_side(
 
 def extract_window(df: DataFrame, ts_col: str, start, end) -> DataFrame:
     """Records in ``[start, end)``; the plain comparison reaches the scan."""
-    return df.filter((F.col(ts_col) >= F.lit(start)) & (F.col(ts_col) < F.lit(end)))
+    dtype = df.schema[ts_col].dataType
+    return df.filter((F.col(ts_col) >= literal_for(start, dtype)) & (F.col(ts_col) < literal_for(end, dtype)))

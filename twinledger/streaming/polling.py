@@ -109,4 +109,5 @@ def stream_idempotent_windows(
     stream: DataFrame, event_time: str = "createdDate", delay: str = "1 day", keys: list[str] | None = None
 ) -> DataFrame:
     """Each automation window once, however often it is submitted within ``delay``."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys or WINDOW_KEYS)
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys or WINDOW_KEYS)
