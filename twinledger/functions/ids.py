@@ -12,8 +12,11 @@ from twinledger.model import ConfigError
 
 # Normaliser code, id patterns.
 GID_TAIL = "SHOPIFY_GID_TAIL"
-GID_PATTERN = r"gid://shopify/[^/]+/(\d+)(?:\?.*)?$"
-TRAILING_DIGITS_PATTERN = r"(\d+)$"
+GID_PATTERN = r"gid://shopify/[^/]+/(\d+)(?:\?.*)?"
+TRAILING_DIGITS_PATTERN = r"(\d+)"
+
+# One match decides: a global id that runs to the end, else digits at the end.
+_TAIL = rf"^(?s:.*?)(?:{GID_PATTERN}|{TRAILING_DIGITS_PATTERN})$\R?"
 
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PATH_STEP = re.compile(r"\.?(?:\[\*\]|\[\d+\]|\['[^']+'\]|\[\"[^\"]+\"\])|\.[^.\[\]]+")
@@ -131,12 +134,10 @@ def normalize_id(col: Column, code: str | None = None) -> Column:
     text = F.trim(col.cast("string"))
     if normalizer_code(code) is None:
         return text
-    return F.coalesce(
-        F.nullif(F.regexp_extract(text, GID_PATTERN, 1), F.lit("")),
-        F.nullif(F.regexp_extract(text, TRAILING_DIGITS_PATTERN, 1), F.lit("")),
-        text,
-    )
+    return F.regexp_replace(text, _TAIL, "$1$2")
 
 
-def usable_id(col: Column) -> Column:
-    return col.isNotNull() & (F.length(F.trim(col)) > 0)
+def usable_id(raw: Column) -> Column:
+    """Not null and not blank.  Normalising never blanks an id, so the raw value
+    decides and the check runs before any pattern."""
+    return raw.isNotNull() & (F.length(F.trim(raw.cast("string"))) > 0)

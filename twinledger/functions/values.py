@@ -30,8 +30,12 @@ SECRET_PATTERN = r"(?i)(password|privateKey|apiToken|token)\s*[:=]\s*[^,\s)]+"
 MESSAGE_LENGTH = 3900
 DETAIL_LENGTH = 12000
 
-# Numbers of this shape fit decimal(38,18) without loss.
-_EXACT_DECIMAL = r"^-?\d{1,20}(\.\d{1,18})?$"
+# Sign (only of a value other than zero), digits without leading zeros, decimals
+# without trailing zeros; blanks around a number do not count.
+_NUMBER_PARTS = (
+    r"^[\x00-\x20]*(?:(-)(?=[\d.]*[1-9])|-)?0*(\d+?)(?:\.(?=\d)(\d*?)0*)?[\x00-\x20]*$"
+)
+_NUMBER_MARK = "\x01"
 _WHITESPACE = "".join(chr(code) for code in range(33))
 
 
@@ -134,9 +138,11 @@ def _renders_as_text(value: Val) -> bool:
     return not isinstance(value.type, (T.NumericType, T.BooleanType))
 
 
-def _numeric_text(value: Val) -> Column:
-    """Plain digits where the value is a number; other text passes unchanged."""
-    text = strip_blank(value.col) if value.is_string else value.col.cast("string")
+def _plain_digits(value: Val) -> Column:
+    """A typed value as text, with plain digits where it is a number."""
+    if not isinstance(value.type, T.NumericType):
+        return text_of(value)
+    text = value.col.cast("string")
     if not value.floating:
         return text
     # Doubles print large and small magnitudes as d.dddE±n: expand to digits.
@@ -152,70 +158,68 @@ def _numeric_text(value: Val) -> Column:
     return F.when(power >= 0, large).when(power < 0, small).otherwise(text)
 
 
-def _exact_order(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 for two digit strings of any length."""
+def _number_key(value: Val) -> Column:
+    """Numbers as ``0x01`` sign digits ``.`` digits without padding; other text unchanged.
 
-    def parts(text: Column) -> tuple[Column, Column, Column]:
-        whole = F.ltrim(F.regexp_extract(text, r"^-?(\d+)", 1), F.lit("0"))
-        rest = F.rtrim(F.regexp_extract(text, r"\.(\d+)$", 1), F.lit("0"))
-        zero = (whole == "") & (rest == "")
-        sign = F.when(zero, 0).when(text.startswith("-"), -1).otherwise(1)
-        return sign, whole, rest
+    Equal numbers of any length share one key, however they are written.
+    """
+    text = value.col if value.is_string else _plain_digits(value)
+    return F.regexp_replace(text, _NUMBER_PARTS, _NUMBER_MARK + "$1$2.$3")
 
-    sign_a, whole_a, rest_a = parts(a)
-    sign_b, whole_b, rest_b = parts(b)
-    magnitude = (
-        F.when(F.length(whole_a) != F.length(whole_b), F.signum(F.length(whole_a) - F.length(whole_b)))
-        .when(whole_a != whole_b, F.when(whole_a < whole_b, -1.0).otherwise(1.0))
-        .when(rest_a != rest_b, F.when(rest_a < rest_b, -1.0).otherwise(1.0))
-        .otherwise(0.0)
-    )
-    return F.when(sign_a != sign_b, F.signum(sign_a - sign_b)).otherwise(magnitude * sign_a)
 
+def _is_number(key: Column) -> Column:
+    return key.startswith(_NUMBER_MARK)
 
-def _order(a: Val, b: Val) -> Column:
-    """-1.0, 0.0 or 1.0 for two non-null values: numbers by value, else text."""
-    if a.integral and b.integral:
-        return F.when(a.col == b.col, 0.0).when(a.col < b.col, -1.0).otherwise(1.0)
-    left, right = text_of(a), text_of(b)
-    number_a, number_b = _numeric_text(a), _numeric_text(b)
-    dec_a, dec_b = (n.try_cast("decimal(38,18)") for n in (number_a, number_b))
-    by_text = F.when(left < right, -1.0).otherwise(1.0)
-    return (
-        F.when(left == right, 0.0)
-        .when(
-            number_a.rlike(_EXACT_DECIMAL) & number_b.rlike(_EXACT_DECIMAL),
-            F.when(dec_a == dec_b, 0.0).when(dec_a < dec_b, -1.0).otherwise(1.0),
-        )
-        .when(number_a.rlike(NUMBER_TEXT) & number_b.rlike(NUMBER_TEXT), _exact_order(number_a, number_b))
-        .otherwise(by_text)
+
+def _sort_key(key: Column) -> Column:
+    """Text that sorts as the number does: length first, digits complemented below zero."""
+    negative = key.startswith(_NUMBER_MARK + "-")
+    digits = F.substring(key, 2, 2_000_000_000)
+    size = F.locate(".", key)
+    below = F.concat(
+        F.lit("0"), F.lpad((F.lit(4_000_000_000) - size).cast("string"), 10, "0"),
+        F.translate(digits, "0123456789", "9876543210"), F.lit("~"),
     )
+    above = F.concat(F.lit("1"), F.lpad(size.cast("string"), 10, "0"), digits)
+    return F.when(negative, below).otherwise(above)
 
 
-def compare_values(a: Val, b: Val) -> Column:
-    """Three-way order; null equals only null and sorts before any value."""
-    return (
-        F.when(a.col.isNull() & b.col.isNull(), 0.0)
-        .when(a.col.isNull(), -1.0)
-        .when(b.col.isNull(), 1.0)
-        .otherwise(_order(a, b))
-    )
+def _comparable_directly(a: Val, b: Val) -> bool:
+    return (a.integral and b.integral) or (a.floating and b.floating)
+
+
+def _equal(a: Val, b: Val) -> Column:
+    """Null equals null; numbers by value whatever their notation; else text."""
+    if _comparable_directly(a, b):
+        return a.col.eqNullSafe(b.col)
+    same = (text_of(a) == text_of(b)) | (_number_key(a) == _number_key(b))
+    return F.coalesce(same, a.col.isNull() & b.col.isNull())
+
+
+def _less(a: Val, b: Val) -> Column:
+    """Null sorts before any value; two numbers by value, anything else as text."""
+    if _comparable_directly(a, b):
+        smaller = a.col < b.col
+    else:
+        key_a, key_b = _number_key(a), _number_key(b)
+        both = _is_number(key_a) & _is_number(key_b)
+        smaller = F.when(both, _sort_key(key_a) < _sort_key(key_b)).otherwise(text_of(a) < text_of(b))
+    return F.coalesce(smaller, a.col.isNull() & b.col.isNotNull())
 
 
 def matches_operator(a: Val, b: Val, operator: str | None) -> Column:
     op = (operator or "").strip() or "="
-    order = compare_values(a, b)
     if op == "!=":
-        return order != 0
+        return ~_equal(a, b)
     if op == ">":
-        return order > 0
+        return _less(b, a)
     if op == "<":
-        return order < 0
+        return _less(a, b)
     if op == ">=":
-        return order >= 0
+        return ~_less(a, b)
     if op == "<=":
-        return order <= 0
-    return order == 0
+        return ~_less(b, a)
+    return _equal(a, b)
 
 
 def violates_operator(a: Val, b: Val, operator: str | None) -> Column:

@@ -351,12 +351,17 @@ def _quote_path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _shape(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _with_shape(value: Column, check: Callable[[Column, Column], Column]) -> Column:
+    """Evaluate ``check(value, shape)`` with both bound once per value.
+
+    A lambda variable holds them: without it every mention of a nested value
+    would walk down from the document again.
+    """
+    bound = F.struct(value.alias("value"), F.schema_of_variant(value).alias("shape"))
+    return F.flatten(F.transform(F.array(bound), lambda b: check(b.getField("value"), b.getField("shape"))))
 
 
-def _is_type(value: Column, name: str) -> Column:
-    shape = _shape(value)
+def _is_type(shape: Column, name: str) -> Column:
     integer = shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$")
     return {
         "object": shape.startswith("OBJECT"),
@@ -388,25 +393,28 @@ def validation_errors(value: Column, schema: dict, root: dict | None = None, whe
         return F.array(F.lit(f"{where}: no value is allowed"))
     if not isinstance(resolved, dict) or not resolved:
         return F.expr(_EMPTY)
-    schema = resolved
+    return _with_shape(value, lambda v, shape: _errors(v, shape, resolved, root, where, depth))
+
+
+def _errors(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> Column:
     checks: list[Column] = []
     text = F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "double")
-    is_text, is_number = _is_type(value, "string"), _is_type(value, "number")
+    is_text, is_number = _is_type(shape, "string"), _is_type(shape, "number")
 
     named = schema.get("type")
     if named is not None:
         kinds = named if isinstance(named, list) else [named]
         allowed = F.lit(False)
         for kind in kinds:
-            allowed = allowed | _is_type(value, kind)
+            allowed = allowed | _is_type(shape, kind)
         checks.append(_errors_when(~allowed, f"{where}: expected {' or '.join(kinds)}"))
     if "const" in schema:
-        checks.append(_errors_when(~_equals(value, schema["const"]), f"{where}: must be the constant value"))
+        checks.append(_errors_when(~_equals(value, shape, schema["const"]), f"{where}: must be the constant value"))
     if isinstance(schema.get("enum"), list):
         member = F.lit(False)
         for option in schema["enum"]:
-            member = member | _equals(value, option)
+            member = member | _equals(value, shape, option)
         checks.append(_errors_when(~member, f"{where}: is not one of the allowed values"))
     for word, bad in (
         ("minimum", lambda b: number < b), ("maximum", lambda b: number > b),
@@ -421,8 +429,8 @@ def validation_errors(value: Column, schema: dict, root: dict | None = None, whe
     if isinstance(schema.get("pattern"), str):
         checks.append(_errors_when(is_text & ~text.rlike(schema["pattern"]), f"{where}: does not match pattern"))
 
-    checks += _object_checks(value, schema, root, where, depth)
-    checks += _array_checks(value, schema, root, where, depth)
+    checks += _object_checks(value, shape, schema, root, where, depth)
+    checks += _array_checks(value, shape, schema, root, where, depth)
     for option in schema.get("allOf", []):
         checks.append(validation_errors(value, option, root, where, depth + 1))
     for word in ("anyOf", "oneOf"):
@@ -442,20 +450,20 @@ def validation_errors(value: Column, schema: dict, root: dict | None = None, whe
     return F.concat(*checks) if checks else F.expr(_EMPTY)
 
 
-def _equals(value: Column, literal: object) -> Column:
+def _equals(value: Column, shape: Column, literal: object) -> Column:
     kind = json_type(literal)
     if kind in ("object", "array"):
         return F.to_json(value) == F.lit(json.dumps(literal, separators=(",", ":"), sort_keys=kind == "object"))
     if kind == "null":
-        return _is_type(value, "null")
+        return _is_type(shape, "null")
     target = {"string": "string", "boolean": "boolean"}.get(kind, "double")
-    same_kind = _is_type(value, "number" if target == "double" else kind)
+    same_kind = _is_type(shape, "number" if target == "double" else kind)
     return same_kind & (F.try_variant_get(value, "$", target) == F.lit(float(literal) if target == "double" else literal))
 
 
-def _object_checks(value: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
+def _object_checks(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
     checks = []
-    is_object = _is_type(value, "object")
+    is_object = _is_type(shape, "object")
     members = F.try_variant_get(value, "$", "map<string,variant>")
     for key in schema.get("required") or []:
         absent = F.try_variant_get(value, _quote_path(key), "variant").isNull()
@@ -480,9 +488,9 @@ def _object_checks(value: Column, schema: dict, root: dict, where: str, depth: i
     return checks
 
 
-def _array_checks(value: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
+def _array_checks(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
     checks = []
-    is_array = _is_type(value, "array")
+    is_array = _is_type(shape, "array")
     elements = F.try_variant_get(value, "$", "array<variant>")
     items = schema.get("items")
     if isinstance(items, dict) and items:

@@ -90,7 +90,7 @@ def extract_data(df: DataFrame, spec: IdSpec, label: str | None = None, keep: tu
         records = explode_records(df, spec.explode, keep)
         dtype = records.schema["record"].dataType
         raw_id, _ = _field(F.col("record"), dtype, path_segments(spec.path), where)
-        source = records.select(
+        return records.filter(usable_id(raw_id)).select(
             normalize_id(raw_id, spec.normalizer).alias("compare_id"), _as_object(dtype).alias("data"), *keep
         )
     else:
@@ -102,8 +102,9 @@ def extract_data(df: DataFrame, spec: IdSpec, label: str | None = None, keep: tu
                 check_csv_column(df, spec.path, label)
             raw_id, _ = _field(F.col(f"`{first}`"), df.schema[first].dataType, rest, where)
         payload = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keep])
-        source = df.select(normalize_id(raw_id, spec.normalizer).alias("compare_id"), payload.alias("data"), *keep)
-    return source.filter(usable_id(F.col("compare_id")))
+        return df.filter(usable_id(raw_id)).select(
+            normalize_id(raw_id, spec.normalizer).alias("compare_id"), payload.alias("data"), *keep
+        )
 
 
 def extract_ids(df: DataFrame, spec: IdSpec, label: str | None = None) -> DataFrame:

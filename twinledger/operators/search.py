@@ -42,8 +42,10 @@ def relevance_search(
 ) -> DataFrame:
     """Entries with a positive ``score``, best first.
 
-    The texts are normalised once per row and the score is a sum of plain
-    contains checks; ``size=None`` returns all matches unordered.
+    The score is a sum of plain contains checks over texts normalised once per
+    row: they pass through ``inline``, which the optimizer does not look
+    behind, so filters on the score do not repeat the normalising.
+    ``size=None`` returns all matches unordered.
     """
     phrase, tokens = query_tokens(query)
     if not tokens:
@@ -51,7 +53,8 @@ def relevance_search(
     intent = set(INTENT_TOKENS if intent_words is None else intent_words)
     names = {"label": label, "description": description, "aliases": aliases, "content": content}
     texts = {part: f"_{part}" for part, name in names.items() if name}
-    prepared = df.select("*", *[search_text(F.col(names[part])).alias(alias) for part, alias in texts.items()])
+    normalised = F.struct(*[search_text(F.col(names[part])).alias(alias) for part, alias in texts.items()])
+    prepared = df.select("*", F.inline(F.array(normalised)))
 
     def has(part: str, needle: str) -> Column:
         return F.contains(F.col(texts[part]), F.lit(needle)) if part in texts else F.lit(False)
@@ -70,10 +73,9 @@ def relevance_search(
     for token in content_tokens:
         score = score + points(has("label", token) | has("content", token), CONTENT_TOKEN_BONUS)
         relevant = relevant | has("content", token) | has("label", token) | has("description", token)
-    found = (
-        prepared.filter(relevant).withColumn("score", score).filter(F.col("score") > 0)
-        .drop(*texts.values())
-    )
+    # The score too is bound once: irrelevant entries score zero.
+    scored = prepared.select(*df.columns, F.inline(F.array(F.struct(F.when(relevant, score).otherwise(0).alias("score")))))
+    found = scored.filter(F.col("score") > 0)
     if size is None:
         return found
     order = [F.col("score").desc()]
