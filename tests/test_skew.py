@@ -68,3 +68,33 @@ def test_bom_with_hot_nodes_and_large_cycles(spark):
     assert sorted(map(tuple, plain.groups.collect())) == sorted(map(tuple, hot.groups.collect()))
     texts = {r[0] for r in hot.problems.filter("`product-sku` = 'hub'").select("cycle_description").collect()}
     assert texts == {"Cycle among 16 nodes starting with hub"}
+
+
+def test_large_and_small_missing_sets_agree(spark, monkeypatch):
+    from twinledger.model import CompareScope, Rule, SideConfig
+    from twinledger.operators import skew
+    from twinledger.plans.reconcile import reconcile_ruleset
+
+    rule = Rule("N", 1, "FIELD_COMPARISON", expression={"file1FieldPath": "n", "file2FieldPath": "n"})
+    scope = CompareScope("S", SideConfig("id", label="L"), SideConfig("id", label="R"), rules=(rule,))
+    a, b = side(spark, "abcdef"), side(spark, "xbcyfz")
+    small = reconcile_ruleset(a, b, scope)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    large = reconcile_ruleset(a, b, scope)
+    rows = [sorted(map(str, r.diffs.collect())) for r in (small, large)]
+    assert small.small and not large.small
+    assert rows[0] == rows[1] and len(rows[0]) == 6 + 1
+    assert small.summary == large.summary and small.summary["differenceCount"] == 7
+
+
+def test_unlinked_executions_do_not_share_a_key(spark):
+    from twinledger.operators.history import execution_history_enrich
+
+    executions = spark.createDataFrame([("e1", "r1", None, None), ("e2", None, None, None), ("e3", "r1", "own/x.json", None),
+                                        ("e4", "r9", " ", "kept.json"), ("e5", "r2", "a", "b")],
+                                       "id string, reconciliationRunResultId string, resultDataManagerPath string, resultFileName string")
+    results = spark.createDataFrame([("r1", "runs/r1/out.json"), ("r2", "runs\\r2")],
+                                    "reconciliationRunResultId string, resultDataManagerPath string")
+    found = {r["id"]: (r["resultDataManagerPath"], r["resultFileName"]) for r in execution_history_enrich(executions, results).collect()}
+    assert found == {"e1": ("runs/r1/out.json", "out.json"), "e2": (None, None), "e3": ("own/x.json", "out.json"),
+                     "e4": (None, "kept.json"), "e5": ("a", "b")}

@@ -122,7 +122,7 @@ SELECT CAST(count(*) FILTER (n_left > 0 AND n_right = 0) AS BIGINT) AS only_in_f
        CAST(count(*) FILTER (n_right > 1) AS BIGINT) AS duplicated_in_file2 FROM p""")
 def diff_summary(spark, sf_dir):
     a, b = t.line_sides(spark, sf_dir)
-    return C.diff_summary(C.presence(a.select("compare_id"), b.select("compare_id")))
+    return C.diff_summary(C.presence(a.select("compare_id"), b.select("compare_id"))).drop("missing_bytes")
 
 
 @query("find_duplicate_ids", f"""{t.LINES_SQL}

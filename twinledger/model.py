@@ -143,6 +143,7 @@ class RunResult:
     validation_errors: object = None
     pairs: object = None
     cached: list = field(default_factory=list)
+    small: bool = False
 
     def release(self) -> None:
         """Drop the frames kept for this result, once it has been written."""

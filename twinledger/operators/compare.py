@@ -62,7 +62,9 @@ def diff_summary(ids: DataFrame) -> DataFrame:
     def count(condition: Column) -> Column:
         return F.count_if(condition).cast("bigint")
 
+    missing_bytes = F.sum(F.when(only1 | only2, F.octet_length(KEY)))
     return ids.agg(
+        F.coalesce(missing_bytes, F.lit(0)).cast("bigint").alias("missing_bytes"),
         count(only1).alias("only_in_file1"),
         count(only2).alias("only_in_file2"),
         count(only1 | only2).alias("missing_total"),
@@ -94,10 +96,18 @@ def missing_row(diff_type: str, id_col: Column, present: str, missing: str, data
 
 def missing_diff_rows(
     data: DataFrame, missing: DataFrame, diff_type: str, present_label: str, missing_label: str,
-    hot: DataFrame | None = None,
+    hot: DataFrame | None = None, small: bool = False,
 ) -> DataFrame:
-    """Every record whose id is in ``missing`` (unique ids), with its payload."""
-    rows = join_unique(data, missing.select(KEY), KEY, "left_semi", hot)
+    """Every record whose id is in ``missing`` (unique ids), with its payload.
+
+    ``small`` says the caller has measured the ids as fit to broadcast: then
+    no payload is shuffled at all.
+    """
+    wanted = missing.select(KEY)
+    if small:
+        rows = data.join(F.broadcast(wanted), KEY, "left_semi")
+    else:
+        rows = join_unique(data, wanted, KEY, "left_semi", hot)
     return rows.select(
         *missing_row(diff_type, F.col(KEY), present_label, missing_label, F.to_json("data"))
     )
@@ -105,7 +115,7 @@ def missing_diff_rows(
 
 def missing_on_both_sides(
     data1: DataFrame, data2: DataFrame, ids: DataFrame, label1: str, label2: str,
-    labelled: bool = False, hot_rows: int = HOT_ROWS,
+    labelled: bool = False, hot_rows: int = HOT_ROWS, small: bool = False,
 ) -> DataFrame:
     """Missing rows of both sides; duplicates of an id all appear.
 
@@ -116,8 +126,8 @@ def missing_on_both_sides(
     only1 = ids.filter("n_left > 0 AND n_right = 0")
     only2 = ids.filter("n_right > 0 AND n_left = 0")
     return union_missing(
-        missing_diff_rows(data1, only1, type1, label1, label2, hot_keys(ids, KEY, "n_left", hot_rows)),
-        missing_diff_rows(data2, only2, type2, label2, label1, hot_keys(ids, KEY, "n_right", hot_rows)),
+        missing_diff_rows(data1, only1, type1, label1, label2, hot_keys(ids, KEY, "n_left", hot_rows), small),
+        missing_diff_rows(data2, only2, type2, label2, label1, hot_keys(ids, KEY, "n_right", hot_rows), small),
     )
 
 

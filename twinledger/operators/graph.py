@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.operators.skew import HOT_ROWS, hot_keys, join_unique
+from twinledger.operators.skew import HOT_ROWS, hot_keys_of, join_unique
 from twinledger.session import ensure_checkpoint_dir
 
 # Default column names.
@@ -34,8 +34,7 @@ class CycleSplit:
 
 def _hot(edges: DataFrame, column: str, hot_rows: int) -> DataFrame | None:
     """Hot nodes of one end, or None when there are none."""
-    counted = edges.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(counted, column, "_n", hot_rows)
+    hot = hot_keys_of(edges, column, hot_rows)
     return None if hot.isEmpty() else hot.checkpoint()
 
 
@@ -197,7 +196,7 @@ def bom_cycle_split(
         F.concat(F.lit("Self relationship on "), F.col("src")).alias("cycle_description"),
     )
     by_cycle = marked.filter(on_cycle)
-    hot_cycle = hot_keys(by_cycle.groupBy("cycle").agg(F.count(F.lit(1)).alias("_n")), "cycle", "_n", hot_rows)
+    hot_cycle = hot_keys_of(by_cycle, "cycle", hot_rows)
     cycle_rows = join_unique(by_cycle, texts, "cycle", "left", hot_cycle).select(
         *columns, F.lit("Cyclic relationship").alias("error_reason"), "cycle_description"
     )

@@ -15,6 +15,7 @@ from twinledger.model import (
     STATUS_SKIPPED,
     STATUS_SUCCESS,
 )
+from twinledger.operators.skew import hot_keys_of, join_unique
 
 # Searched columns, id paths, date-range fields, page bounds.
 RESULT_SEARCH_COLUMNS = [
@@ -73,8 +74,8 @@ def _file_name(path: Column) -> Column:
 def execution_history_enrich(executions: DataFrame, results: DataFrame) -> DataFrame:
     """Result path and file name of each execution: its own, else its run result's.
 
-    Executions without a result id skip the join instead of meeting in one
-    null group.
+    Executions that need no lookup get scattered keys that match nothing, so
+    they do not meet in one null group.
     """
     own_path = norm_text(F.col("resultDataManagerPath"), blank_to_null=True)
     own_name = norm_text(F.col("resultFileName"), blank_to_null=True)
@@ -82,7 +83,13 @@ def execution_history_enrich(executions: DataFrame, results: DataFrame) -> DataF
         "reconciliationRunResultId",
         norm_text(F.col("resultDataManagerPath"), blank_to_null=True).alias("_result_path"),
     )
-    joined = executions.join(linked, "reconciliationRunResultId", "left")
+    needed = F.col("reconciliationRunResultId").isNotNull() & (own_path.isNull() | own_name.isNull())
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in executions.columns]), F.lit(4096)).cast("string")
+    keyed = executions.withColumn(
+        "_key", F.when(needed, F.col("reconciliationRunResultId")).otherwise(F.concat(F.lit("\x00"), spread))
+    )
+    unique = linked.withColumnRenamed("reconciliationRunResultId", "_key")
+    joined = join_unique(keyed, unique, "_key", "left", hot_keys_of(keyed, "_key"))
     return joined.select(
         *[F.col(c) for c in executions.columns if c not in ("resultDataManagerPath", "resultFileName")],
         F.coalesce(own_path, F.col("_result_path")).alias("resultDataManagerPath"),
@@ -134,7 +141,8 @@ def result_lookup(paths: DataFrame, results: DataFrame, path_col: str = "path")
         .select(path_col, F.col("m.reconciliationRunResultId").alias("reconciliationRunResultId"),
                 F.col("m.matchedField").alias("matchedField"))
     )
-    return paths.filter(F.contains(F.col(path_col), F.lit("/"))).join(best, path_col)
+    wanted = paths.filter(F.contains(F.col(path_col), F.lit("/")))
+    return join_unique(wanted, best, path_col, "inner", hot_keys_of(wanted, path_col))
 
 
 # --- manifest ----------------------------------------------------------------

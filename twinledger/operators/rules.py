@@ -201,7 +201,7 @@ def silent_warnings(pairs: DataFrame, compiled: list[CompiledRule], rule_set_id:
             F.lit(f"RuleSet {rule_set_id} matched compareScope="), F.coalesce("compareScopeId", unknown),
             F.lit(" primaryId="), F.coalesce("primaryId", unknown), F.lit(" but emitted no diff rows."),
         ).alias("warning")
-    ).distinct()
+    )
 
 
 def execute_pair_rules(pairs: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[CompiledRule], list[str]]:

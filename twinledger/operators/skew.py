@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(counted: DataFrame, key: str, count_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+# A table of keys is broadcast only while its counted size stays below this.
+BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_OVERHEAD = 64
+
+
+def fits_broadcast(rows: int, key_bytes: int) -> bool:
+    """Is a key table of this counted size safe to send to every executor."""
+    return key_bytes + rows * ROW_OVERHEAD <= BROADCAST_BYTES
+
+
+def hot_keys(counted: DataFrame, key: str | list[str], count_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys held by at least ``hot_rows`` rows, from a pre-aggregated count."""
-    return counted.filter(F.col(count_col) >= hot_rows).select(key)
+    names = [key] if isinstance(key, str) else key
+    return counted.filter(F.col(count_col) >= hot_rows).select(*names)
+
+
+def hot_keys_of(df: DataFrame, key: str | list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``hot_keys`` from the frame itself: one narrow aggregate over its keys."""
+    names = [key] if isinstance(key, str) else key
+    return hot_keys(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), names, "_n", hot_rows)
 
 
 def join_unique(
-    big: DataFrame, unique: DataFrame, key: str, how: str, hot: DataFrame | None = None
+    big: DataFrame, unique: DataFrame, key: str | list[str], how: str, hot: DataFrame | None = None
 ) -> DataFrame:
     """``big`` inner/semi/left join ``unique`` on ``key`` without a hot task.
 

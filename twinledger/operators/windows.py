@@ -22,6 +22,7 @@ from twinledger.model import (
     WINDOW_PREVIOUS_MONTH,
     WINDOW_PREVIOUS_WEEK,
 )
+from twinledger.operators.skew import hot_keys_of, join_unique
 from twinledger.session import require_utc
 
 # Slicing limits and messages.
@@ -164,7 +165,8 @@ def idempotent_windows(candidates: DataFrame, executions: DataFrame) -> DataFram
         F.when(F.col("_finished").isNull(), "NEW").when(F.col("_finished") == 0, "REUSED")
         .otherwise(STATUS_SKIPPED)
     )
-    return candidates.join(done, keys, "left").withColumn("disposition", disposition).drop("_finished")
+    joined = join_unique(candidates, done, keys, "left", hot_keys_of(candidates, keys))
+    return joined.withColumn("disposition", disposition).drop("_finished")
 
 
 def due_automations(automations: DataFrame, now, limit: int = 100) -> DataFrame:

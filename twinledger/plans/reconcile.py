@@ -28,6 +28,7 @@ from twinledger.model import (
 from twinledger.operators import compare as C
 from twinledger.operators import rules as R
 from twinledger.operators.records import extract_data
+from twinledger.operators.skew import fits_broadcast
 from twinledger.sources.files import file_type, run_type, scan_csv, scan_json
 
 
@@ -98,7 +99,8 @@ def reconcile_unified(
     """
     ids = C.presence(data1.select(C.KEY), data2.select(C.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
     numbers = C.diff_summary(ids).first()
-    diffs = C.missing_on_both_sides(data1, data2, ids, label1, label2, labelled=True, hot_rows=hot_rows)
+    small = hot_rows == C.HOT_ROWS and _small(numbers)
+    diffs = C.missing_on_both_sides(data1, data2, ids, label1, label2, True, hot_rows, small)
     summary = {
         "totalDifferences": numbers["missing_total"],
         "onlyInFile1Count": numbers["only_in_file1"],
@@ -175,75 +177,76 @@ def reconcile_by_mapping(
 # --- rule sets ---------------------------------------------------------------
 
 
+def _repeated(ids: DataFrame, column: str) -> DataFrame:
+    """The first five repeated ids of a side, as examples for a message."""
+    repeated = ids.filter(F.col(column) > 1)
+    return repeated.select(C.KEY, F.col(column).alias("row_count")).orderBy(C.KEY).limit(5)
+
+
 def _require_unique(ids: DataFrame, scope: CompareScope, label1: str, label2: str) -> None:
     for column, side, label in (("n_left", FILE_1, label1), ("n_right", FILE_2, label2)):
-        first = (
-            ids.filter(F.col(column) > 1).select(C.KEY, F.col(column).alias("row_count"))
-            .orderBy(C.KEY).limit(5)
-        )
-        examples = C.duplicate_examples(first)
+        examples = C.duplicate_examples(_repeated(ids, column))
         if examples:
             raise ConfigError(C.duplicate_message(scope.label, side, label, examples))
 
 
+def _small(numbers) -> bool:
+    """Are the missing ids of both sides, as counted, fit to broadcast."""
+    return fits_broadcast(numbers["missing_total"], numbers["missing_bytes"])
+
+
+def _duplicate_warnings(ids: DataFrame, scope: CompareScope, label1: str, label2: str) -> list[str]:
+    warnings = []
+    for column, side, label in (("n_left", FILE_1, label1), ("n_right", FILE_2, label2)):
+        examples = C.duplicate_examples(_repeated(ids, column))
+        if examples:
+            warnings.append(
+                f"Compare scope '{scope.label}' {side} ({label}) collapsed duplicate primaryId values "
+                f"for base diff only because this RuleSet run has no active rules: {examples}."
+            )
+    return warnings
+
+
 def base_diff(
     data1: DataFrame, data2: DataFrame, scope: CompareScope,
     allow_duplicates: bool = False, build_pairs: bool = True,
 ) -> RunResult:
     """Missing rows of both sides, matched pairs and their counts.
 
-    Ids must be unique, or are collapsed to one record each.  The id counts
-    that prove uniqueness also give the totals, from one narrow pass.
+    Ids must be unique, or are collapsed to one record each.  One narrow pass
+    over the ids proves uniqueness, gives the totals and tells how large the
+    set of missing ids is, which picks the way their records are fetched.
     """
     label1, label2 = _label(scope.side1, "File 1"), _label(scope.side2, "File 2")
     warnings: list[str] = []
     ids = C.presence(data1.select(C.KEY), data2.select(C.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
     numbers = C.diff_summary(ids).first()
-    if numbers["duplicated_in_file1"] or numbers["duplicated_in_file2"]:
-        if not allow_duplicates:
-            try:
-                _require_unique(ids, scope, label1, label2)
-            finally:
-                ids.unpersist()
-        for column, side, label in (("n_left", FILE_1, label1), ("n_right", FILE_2, label2)):
-            examples = C.duplicate_examples(
-                ids.filter(F.col(column) > 1).select(C.KEY, F.col(column).alias("row_count"))
-                .orderBy(C.KEY).limit(5)
-            )
-            if examples:
-                warnings.append(
-                    f"Compare scope '{scope.label}' {side} ({label}) collapsed duplicate primaryId values "
-                    f"for base diff only because this RuleSet run has no active rules: {examples}."
-                )
-        data1 = C.collapse_duplicates(data1) if numbers["duplicated_in_file1"] else data1
-        data2 = C.collapse_duplicates(data2) if numbers["duplicated_in_file2"] else data2
-    ids.unpersist()
-    tagged = C.tag_sides(data1, data2)
-    missing = missing_from_tagged(tagged, label1, label2)
-    pairs = C.matched_pairs(data1, data2, scope.scope_id, scope.object_type) if build_pairs else None
+    repeated = bool(numbers["duplicated_in_file1"] or numbers["duplicated_in_file2"])
+    if repeated and not allow_duplicates:
+        try:
+            _require_unique(ids, scope, label1, label2)
+        finally:
+            ids.unpersist()
+    if repeated:
+        warnings = _duplicate_warnings(ids, scope, label1, label2)
+    missing = C.missing_on_both_sides(data1, data2, ids, label1, label2, small=_small(numbers))
+    if repeated:
+        # Only records of missing ids are reported, so only those collapse:
+        # per id the record whose JSON text sorts first.
+        same = [c for c in missing.columns if c != "data"]
+        missing = missing.groupBy(*same).agg(F.min("data").alias("data")).select(*missing.columns)
+    pairs = None
+    if build_pairs:
+        one = C.collapse_duplicates(data1) if numbers["duplicated_in_file1"] else data1
+        two = C.collapse_duplicates(data2) if numbers["duplicated_in_file2"] else data2
+        pairs = C.matched_pairs(one, two, scope.scope_id, scope.object_type)
     summary = {
         "missingInFile1Count": numbers["only_in_file2"],
         "missingInFile2Count": numbers["only_in_file1"],
         "differenceCount": numbers["missing_total"],
         "matchedPairCount": numbers["matched"],
     }
-    return RunResult(missing, summary, warnings, pairs=pairs)
-
-
-def missing_from_tagged(tagged: DataFrame, label1: str, label2: str) -> DataFrame:
-    """Six-column missing rows of a full outer join of unique sides."""
-    one = tagged["in1"]
-    data = F.when(one, F.to_json("file1")).otherwise(F.to_json("file2"))
-    here = F.when(one, F.lit(label1)).otherwise(F.lit(label2))
-    there = F.when(one, F.lit(label2)).otherwise(F.lit(label1))
-    return tagged.filter(~(F.col("in1") & F.col("in2"))).select(
-        F.when(one, F.lit(MISSING_IN_2)).otherwise(F.lit(MISSING_IN_1)).alias("type"),
-        F.col("primaryId").alias("id"),
-        here.alias("presentIn"),
-        there.alias("missingIn"),
-        data.alias("data"),
-        F.concat(F.lit("Present in "), here, F.lit(", missing in "), there).alias("note"),
-    )
+    return RunResult(missing, summary, warnings, pairs=pairs, cached=[ids], small=_small(numbers))
 
 
 def ruleset_diffs(
@@ -292,36 +295,36 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
         diffs = C.to_ruleset_diff(base.diffs, scope.scope_id, scope.object_type)
         summary = dict(base.summary, missingObjectDifferenceCount=base.summary["differenceCount"],
                        ruleDifferenceCount=0, ruleCount=0, firedRuleCount=0)
-        return RunResult(diffs, summary, base.warnings)
-
-    label1, label2 = _label(scope.side1, "File 1"), _label(scope.side2, "File 2")
-    ids = C.presence(data1.select(C.KEY), data2.select(C.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        numbers = C.diff_summary(ids).first()
-        if numbers["duplicated_in_file1"] or numbers["duplicated_in_file2"]:
-            _require_unique(ids, scope, label1, label2)
-    finally:
-        ids.unpersist()
-    diffs, compiled, warnings = ruleset_diffs(data1, data2, scope)
+        return RunResult(diffs, summary, base.warnings, cached=base.cached)
+
+    base = base_diff(data1, data2, scope)
+    if base.small:
+        # Few ids are missing: their records are picked by a broadcast, and
+        # only the fields the rules read go through the pair join.
+        rows, compiled, warnings = R.execute_pair_rules(base.pairs, active)
+        diffs = C.union_diffs(C.to_ruleset_diff(base.diffs, scope.scope_id, scope.object_type), rows)
+    else:
+        base.release()
+        diffs, compiled, warnings = ruleset_diffs(data1, data2, scope)
     if not compiled:
         warnings.append(
             f"RuleSet {scope.rule_set_id} compare scope '{scope.label}' rule execution failed; preserved base "
             f"missing-object diffs. Error: RuleSet {scope.rule_set_id} has no executable active rules"
         )
+    missing = base.summary["differenceCount"]
     summary = {
-        "missingInFile1Count": numbers["only_in_file2"],
-        "missingInFile2Count": numbers["only_in_file1"],
-        "missingObjectDifferenceCount": numbers["missing_total"],
-        "matchedPairCount": numbers["matched"],
+        "missingInFile1Count": base.summary["missingInFile1Count"],
+        "missingInFile2Count": base.summary["missingInFile2Count"],
+        "missingObjectDifferenceCount": missing,
+        "matchedPairCount": base.summary["matchedPairCount"],
         "ruleCount": len(active),
     }
-    pairs = C.matched_pairs(data1, data2, scope.scope_id, scope.object_type)
     if count:
-        rule_rows, fired = _rule_totals(pairs, compiled)
+        rule_rows, fired = _rule_totals(base.pairs, compiled)
         summary["ruleDifferenceCount"] = rule_rows
         summary["firedRuleCount"] = fired
-        summary["differenceCount"] = numbers["missing_total"] + rule_rows
-    return RunResult(diffs, summary, warnings, pairs=pairs)
+        summary["differenceCount"] = missing + rule_rows
+    return RunResult(diffs, summary, warnings, pairs=base.pairs, cached=base.cached)
 
 
 def _rule_totals(pairs: DataFrame, compiled: list[R.CompiledRule]) -> tuple[int, int]:
