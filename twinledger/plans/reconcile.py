@@ -324,7 +324,7 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
         summary["ruleDifferenceCount"] = rule_rows
         summary["firedRuleCount"] = fired
         summary["differenceCount"] = missing + rule_rows
-    return RunResult(diffs, summary, warnings, pairs=base.pairs, cached=base.cached)
+    return RunResult(diffs, summary, warnings, pairs=base.pairs, cached=base.cached, small=base.small)
 
 
 def _rule_totals(pairs: DataFrame, compiled: list[R.CompiledRule]) -> tuple[int, int]:
