@@ -201,3 +201,42 @@ def test_record_root_is_not_doubled():
     assert join_record_root("data.orders.edges", "data.orders.edges[0].node.id") == "$.data.orders.edges[*].node.id"
     assert join_record_root(None, "id") == "id"
     assert join_record_root("$.rows[*]", "$.id") == "$.rows[*].id"
+
+
+def test_schema_violations_are_advisory(spark, put):
+    schema = {"type": "array", "items": {"type": "object", "required": ["sku"], "properties": {"id": {"type": "integer"}}}}
+    side = SideConfig("id", "JSON", label="Web", schema=schema)
+    result = reconcile_unified_files(spark, put("a.json", [{"id": 1, "sku": "x"}, {"id": 2}, {"id": 3, "sku": "z"}]),
+                                     put("b.json", [{"id": 2, "sku": "y"}]), side, SideConfig("id", "JSON", label="Shop"))
+    assert result.summary["totalDifferences"] == 2
+    assert [r[0] for r in result.validation_errors.collect()] == ["Web: Item 1: $: required property 'sku' not found"]
+
+
+def test_mapping_runs_only_when_ready(spark):
+    from twinledger.model import MappingMember
+    from twinledger.plans.reconcile import reconcile_by_mapping
+
+    members = [MappingMember("OMS", "id", "CSV"), MappingMember("SHOPIFY", "id|SHOPIFY_GID_TAIL", "CSV", id_normalizer="shopify gid tail")]
+    a = spark.createDataFrame([("1",), ("2",)], "id string")
+    b = spark.createDataFrame([("gid://shopify/Order/2",), ("gid://shopify/Order/3?x=1",)], "id string")
+    result = reconcile_by_mapping("M", members, a, b, "OMS", "SHOPIFY")
+    assert {(r["type"], r["id"]) for r in result.diffs.collect()} == {("missing_in_SHOPIFY", "1"), ("missing_in_OMS", "3")}
+    with pytest.raises(ConfigError, match="does not include system NETSUITE"):
+        reconcile_by_mapping("M", members, a, b, "OMS", "NETSUITE")
+    issues = spark.createDataFrame([("m1", "OMS is missing a saved schema.")], "member_id string, issue string")
+    with pytest.raises(ConfigError, match="not runnable.*OMS is missing"):
+        reconcile_by_mapping("M", members, a, b, "OMS", "SHOPIFY", issues=issues)
+
+
+def test_several_array_levels(spark, put):
+    doc = {"batches": [{"rows": [{"k": "a"}, {"k": " b "}]}, {"rows": []}, {"rows": [{"k": None}, {"k": "c"}]}]}
+    data, kind = read_side(spark, put("n.json", doc), SideConfig("$.batches[*].rows[*].k"), "x", [])
+    assert kind == "JSON" and sorted(r["compare_id"] for r in data.collect()) == ["a", "b", "c"]
+    scalars, _ = read_side(spark, put("s.json", {"ids": ["x", "y"]}), SideConfig("$.ids[*]"), "x", [])
+    assert sorted((r["compare_id"], r["data"]["value"]) for r in scalars.collect()) == [("x", "x"), ("y", "y")]
+
+
+def test_scalars_where_objects_are_expected_fail_loudly(spark, put):
+    data, _ = read_side(spark, put("s.json", {"ids": ["x"]}), SideConfig("$.ids[*].k"), "x", [])
+    with pytest.raises(Exception, match="records are not objects"):
+        data.collect()

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -524,7 +524,20 @@ def item_schema(schema: dict) -> dict:
 
 def record_errors(df: DataFrame, col: str, schema: dict, index_col: str) -> DataFrame:
     """Every violation as ``(index, message)``; unreadable text is one violation."""
-    parsed = df.select(F.col(index_col).alias("index"), F.try_parse_json(F.col(col)).alias("_doc"))
+    return _violations(df.select(F.col(index_col).alias("index"), F.try_parse_json(F.col(col)).alias("_doc")), schema)
+
+
+def file_errors(spark: SparkSession, path: str, schema: dict, json_lines: bool = False) -> DataFrame:
+    """``record_errors`` of JSON files; items of a root array are numbered from 0."""
+    raw = spark.read.option("singleVariantColumn", "_doc").json(path, multiLine=not json_lines)
+    if json_lines:
+        return _violations(raw.select(F.monotonically_increasing_id().alias("index"), "_doc"), schema)
+    elements = F.try_variant_get("_doc", "$", "array<variant>")
+    numbered = raw.select(F.posexplode(F.coalesce(elements, F.array("_doc"))).alias("index", "_doc"))
+    return _violations(numbered, schema)
+
+
+def _violations(parsed: DataFrame, schema: dict) -> DataFrame:
     errors = F.when(F.col("_doc").isNull(), F.array(F.lit("$: not valid JSON"))).otherwise(
         validation_errors(F.col("_doc"), item_schema(schema))
     )

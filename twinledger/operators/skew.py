@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on.  At most rows / HOT_ROWS keys can be
-# hot, which is what makes their broadcast safe: 10^13 rows give 10^7 keys at
-# the very most, and in practice a handful.
+# A key is hot from this many rows on, and at most this many keys are treated
+# as hot: the most frequent ones, so their broadcast has a fixed bound.  Keys
+# beyond it take the ordinary join; each of them then holds less than one part
+# in MAX_HOT_KEYS of all rows, which is no skew.
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 
 
 # A table of keys is broadcast only while its counted size stays below this.
@@ -22,9 +24,10 @@ def fits_broadcast(rows: int, key_bytes: int) -> bool:
 
 
 def hot_keys(counted: DataFrame, key: str | list[str], count_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys held by at least ``hot_rows`` rows, from a pre-aggregated count."""
+    """The most frequent keys of at least ``hot_rows`` rows, from a pre-aggregated count."""
     names = [key] if isinstance(key, str) else key
-    return counted.filter(F.col(count_col) >= hot_rows).select(*names)
+    frequent = counted.filter(F.col(count_col) >= hot_rows).orderBy(F.col(count_col).desc(), *names)
+    return frequent.limit(MAX_HOT_KEYS).select(*names)
 
 
 def hot_keys_of(df: DataFrame, key: str | list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

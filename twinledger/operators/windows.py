@@ -273,14 +273,13 @@ def _leaves(start: int, end: int, depth: int) -> list[tuple[int, int]]:
     return _leaves(start, middle, depth - 1) + _leaves(middle, end, depth - 1)
 
 
-def _slot(ts: Column, dtype: T.DataType, bounds: list[int], first: int) -> Column:
-    """Index of the last bound not after ``ts``: a balanced tree of comparisons."""
+def _slot(ts_col: str, kind: str, bounds: list[int], first: int = 0) -> str:
+    """Index of the last bound not after a timestamp: a balanced tree of comparisons."""
     if len(bounds) == 1:
-        return F.lit(first)
+        return str(first)
     half = len(bounds) // 2
-    return F.when(
-        ts < literal_for(_moment(bounds[half]), dtype), _slot(ts, dtype, bounds[:half], first)
-    ).otherwise(_slot(ts, dtype, bounds[half:], first + half))
+    low, high = _slot(ts_col, kind, bounds[:half], first), _slot(ts_col, kind, bounds[half:], first + half)
+    return f"CASE WHEN `{ts_col}` < {kind}'{_moment(bounds[half])}' THEN {low} ELSE {high} END"
 
 
 def _count_leaves(df: DataFrame, ts_col: str, leaves: list[tuple[int, int]]) -> list[int]:
@@ -288,7 +287,9 @@ def _count_leaves(df: DataFrame, ts_col: str, leaves: list[tuple[int, int]]) ->
     ts, dtype = F.col(ts_col), df.schema[ts_col].dataType
     bounds = sorted({edge for leaf in leaves for edge in leaf})
     in_range = (ts >= literal_for(_moment(bounds[0]), dtype)) & (ts < literal_for(_moment(bounds[-1]), dtype))
-    counted = df.filter(in_range).groupBy(_slot(ts, dtype, bounds, 0).alias("slot")).count().collect()
+    kind = "TIMESTAMP_NTZ" if isinstance(dtype, T.TimestampNTZType) else "TIMESTAMP"
+    slot = F.expr(_slot(ts_col, kind, bounds)).alias("slot")
+    counted = df.filter(in_range).groupBy(slot).count().collect()
     by_start = {bounds[row["slot"]]: row["count"] for row in counted}
     return [by_start.get(start, 0) for start, _ in leaves]
 

@@ -27,6 +27,7 @@ from twinledger.model import (
 )
 from twinledger.operators import compare as C
 from twinledger.operators import rules as R
+from twinledger.operators.jsonschema import MAX_ERRORS, file_errors
 from twinledger.operators.records import extract_data
 from twinledger.operators.skew import fits_broadcast
 from twinledger.sources.files import file_type, run_type, scan_csv, scan_json
@@ -85,6 +86,21 @@ def _label(side: SideConfig, fallback: str) -> str:
     return (side.label or "").strip() or (side.system or "").strip() or fallback
 
 
+def advisory_errors(
+    spark: SparkSession, path: str, side: SideConfig, kind: str, label: str, json_lines: bool = False
+) -> DataFrame | None:
+    """Schema violations of a JSON side, ``(message)``; they are reported, the run goes on."""
+    if side.schema is None or kind != "JSON":
+        return None
+    found = file_errors(spark, path, side.schema, json_lines).orderBy("index", "pos").limit(MAX_ERRORS)
+    return found.select(F.concat(F.lit(f"{label}: "), F.col("message")).alias("message"))
+
+
+def _all_errors(parts: list[DataFrame | None]) -> DataFrame | None:
+    given = [p for p in parts if p is not None]
+    return given[0] if len(given) == 1 else given[0].union(given[1]) if given else None
+
+
 # --- presence only -----------------------------------------------------------
 
 
@@ -121,6 +137,10 @@ def reconcile_unified_files(
     data2, kind2 = read_side(spark, path2, side2, label2, warnings, has_header, json_lines)
     result = reconcile_unified(data1, data2, label1, label2)
     result.warnings = warnings
+    result.validation_errors = _all_errors([
+        advisory_errors(spark, path, side, kind, label, json_lines)
+        for path, side, kind, label in ((path1, side1, kind1, label1), (path2, side2, kind2, label2))
+    ])
     result.summary["reconciliationType"] = run_type(kind1, kind2)
     return result
 
@@ -150,11 +170,20 @@ def mapping_side(
 def reconcile_by_mapping(
     mapping_id: str, members: list[MappingMember], df1: DataFrame, df2: DataFrame,
     system1: str, system2: str, label1: str | None = None, label2: str | None = None,
-    type1: str | None = None, type2: str | None = None,
+    type1: str | None = None, type2: str | None = None, issues: DataFrame | None = None,
 ) -> RunResult:
-    """Resolve both systems of a mapping, extract their ids, compare presence."""
+    """Resolve both systems of a mapping, extract their ids, compare presence.
+
+    ``issues`` is the mapping's ``mapping_readiness``: any row stops the run.
+    """
     if not members:
         raise ConfigError(f"No mapping members found for mapping {mapping_id}")
+    found = [] if issues is None else issues.select("issue").distinct().orderBy("issue").limit(20).collect()
+    if found:
+        raise ConfigError(
+            f"Mapping {mapping_id} is not runnable until every system member references a saved schema. "
+            + " ".join(row["issue"] for row in found)
+        )
     warnings: list[str] = []
     sides = [
         mapping_side(members, system, mapping_id, warnings, label=label, file_type=kind)
@@ -353,5 +382,9 @@ def reconcile_ruleset_files(
         kinds.append(kind)
     result = reconcile_ruleset(frames[0], frames[1], scope)
     result.warnings = warnings + result.warnings
+    result.validation_errors = _all_errors([
+        advisory_errors(spark, path, side, kind, _label(side, fallback), json_lines)
+        for path, side, kind, fallback in zip((path1, path2), (scope.side1, scope.side2), kinds, ("File 1", "File 2"))
+    ])
     result.summary["reconciliationType"] = run_type(*kinds)
     return result
