@@ -5,8 +5,8 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]").appName("twinledger-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[8]").appName("twinledger-tests")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")

@@ -19,7 +19,6 @@ COMPONENT_COLUMN = "product-sku-to"
 # Cycles up to this many nodes are spelled out in their description; the
 # members of larger ones are listed in full by ``CycleSplit.groups``.
 SPELLED_OUT = 1_000
-HOPS_PER_CHECK = 3
 
 
 @dataclass
@@ -62,18 +61,20 @@ def _spread_minimum(edges: DataFrame, labels: DataFrame, hot_src: DataFrame | No
     """Each node takes the smallest label that reaches it, until nothing changes.
 
     ``labels`` is ``(node, label)``.  A hop pre-aggregates the minimum per
-    target, and several hops run between two checks.
+    target and is checkpointed, so it is computed once.  The label a node had
+    before travels along, so the check for changes needs no join.
     """
     while True:
-        before = labels
-        for _ in range(HOPS_PER_CHECK):
-            offered = _on(edges, labels, "src", "inner", hot_src).select(F.col("dst").alias("node"), "label")
-            labels = labels.unionByName(offered).groupBy("node").agg(F.min("label").alias("label"))
-        labels = labels.checkpoint()
-        changed = labels.join(before.withColumnRenamed("label", "_old"), "node", "left").filter(
-            F.col("_old").isNull() | (F.col("label") != F.col("_old"))
+        offered = _on(edges, labels, "src", "inner", hot_src).select(
+            F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("before")
         )
-        if changed.isEmpty():
+        hop = (
+            labels.withColumn("before", F.col("label")).unionByName(offered)
+            .groupBy("node").agg(F.min("label").alias("label"), F.min("before").alias("before"))
+            .checkpoint()
+        )
+        labels = hop.select("node", "label")
+        if hop.filter(~F.col("label").eqNullSafe(F.col("before"))).isEmpty():
             return labels
 
 
