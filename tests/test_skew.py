@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from twinledger.operators import compare as C
+from twinledger.operators import skew
 from twinledger.operators.graph import bom_cycle_split
 from twinledger.plans.reconcile import reconcile_ids, reconcile_unified
 
@@ -16,7 +17,8 @@ LEFT = ["hot"] * 60 + ["both"] * 40 + ["a", "b", "b", "c"]
 RIGHT = ["both"] * 3 + ["c", "d", "cold"] + ["warm"] * 50
 
 
-def test_hot_ids_keep_every_record(spark):
+def test_hot_ids_keep_every_record(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     rows = [reconcile_unified(side(spark, LEFT), side(spark, RIGHT), "L", "R", hot_rows=n).diffs for n in (5, 10**6)]
     first, second = (sorted(map(tuple, r.collect())) for r in rows)
     assert first == second and len(first) == 60 + 3 + 52
@@ -72,7 +74,6 @@ def test_bom_with_hot_nodes_and_large_cycles(spark):
 
 def test_large_and_small_missing_sets_agree(spark, monkeypatch):
     from twinledger.model import CompareScope, Rule, SideConfig
-    from twinledger.operators import skew
     from twinledger.plans.reconcile import reconcile_ruleset
 
     rule = Rule("N", 1, "FIELD_COMPARISON", expression={"file1FieldPath": "n", "file2FieldPath": "n"})

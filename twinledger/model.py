@@ -142,10 +142,4 @@ class RunResult:
     warnings: list[str] = field(default_factory=list)
     validation_errors: object = None
     pairs: object = None
-    cached: list = field(default_factory=list)
     small: bool = False  # the missing ids were measured as fit to broadcast
-
-    def release(self) -> None:
-        """Drop the frames kept for this result, once it has been written."""
-        while self.cached:
-            self.cached.pop().unpersist()

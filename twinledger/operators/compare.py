@@ -16,6 +16,7 @@ from twinledger.model import (
     ConfigError,
 )
 from twinledger.operators.skew import HOT_ROWS, hot_keys, join_unique
+from twinledger.session import ensure_checkpoint_dir
 
 KEY = "compare_id"
 
@@ -76,6 +77,18 @@ def diff_summary(ids: DataFrame) -> DataFrame:
     )
 
 
+def settle(ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The part of a ``presence`` frame later steps need, in the shared folder.
+
+    Missing ids and hot ids survive lost executors as a checkpoint; the many
+    plain matches are dropped.
+    """
+    ensure_checkpoint_dir(ids.sparkSession)
+    missing = (F.col("n_left") == 0) | (F.col("n_right") == 0)
+    hot = (F.col("n_left") >= hot_rows) | (F.col("n_right") >= hot_rows)
+    return ids.filter(missing | hot).checkpoint()
+
+
 # --- missing rows ------------------------------------------------------------
 
 

@@ -114,16 +114,19 @@ def reconcile_unified(
     larger when a missing id repeats.
     """
     ids = C.presence(data1.select(C.KEY), data2.select(C.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
-    numbers = C.diff_summary(ids).first()
-    small = hot_rows == C.HOT_ROWS and _small(numbers)
-    diffs = C.missing_on_both_sides(data1, data2, ids, label1, label2, True, hot_rows, small)
+    try:
+        numbers = C.diff_summary(ids).first()
+        settled = C.settle(ids, hot_rows)
+    finally:
+        ids.unpersist()
+    diffs = C.missing_on_both_sides(data1, data2, settled, label1, label2, True, hot_rows, _small(numbers))
     summary = {
         "totalDifferences": numbers["missing_total"],
         "onlyInFile1Count": numbers["only_in_file1"],
         "onlyInFile2Count": numbers["only_in_file2"],
         "rowCount": numbers["missing_rows"],
     }
-    return RunResult(diffs, summary, cached=[ids])
+    return RunResult(diffs, summary)
 
 
 def reconcile_unified_files(
@@ -249,16 +252,17 @@ def base_diff(
     label1, label2 = _label(scope.side1, "File 1"), _label(scope.side2, "File 2")
     warnings: list[str] = []
     ids = C.presence(data1.select(C.KEY), data2.select(C.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
-    numbers = C.diff_summary(ids).first()
-    repeated = bool(numbers["duplicated_in_file1"] or numbers["duplicated_in_file2"])
-    if repeated and not allow_duplicates:
-        try:
+    try:
+        numbers = C.diff_summary(ids).first()
+        repeated = bool(numbers["duplicated_in_file1"] or numbers["duplicated_in_file2"])
+        if repeated and not allow_duplicates:
             _require_unique(ids, scope, label1, label2)
-        finally:
-            ids.unpersist()
-    if repeated:
-        warnings = _duplicate_warnings(ids, scope, label1, label2)
-    missing = C.missing_on_both_sides(data1, data2, ids, label1, label2, small=_small(numbers))
+        if repeated:
+            warnings = _duplicate_warnings(ids, scope, label1, label2)
+        settled = C.settle(ids)
+    finally:
+        ids.unpersist()
+    missing = C.missing_on_both_sides(data1, data2, settled, label1, label2, small=_small(numbers))
     if repeated:
         # Only records of missing ids are reported, so only those collapse:
         # per id the record whose JSON text sorts first.
@@ -275,7 +279,7 @@ def base_diff(
         "differenceCount": numbers["missing_total"],
         "matchedPairCount": numbers["matched"],
     }
-    return RunResult(missing, summary, warnings, pairs=pairs, cached=[ids], small=_small(numbers))
+    return RunResult(missing, summary, warnings, pairs=pairs, small=_small(numbers))
 
 
 def ruleset_diffs(
@@ -324,7 +328,7 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
         diffs = C.to_ruleset_diff(base.diffs, scope.scope_id, scope.object_type)
         summary = dict(base.summary, missingObjectDifferenceCount=base.summary["differenceCount"],
                        ruleDifferenceCount=0, ruleCount=0, firedRuleCount=0)
-        return RunResult(diffs, summary, base.warnings, cached=base.cached)
+        return RunResult(diffs, summary, base.warnings)
 
     base = base_diff(data1, data2, scope)
     if base.small:
@@ -333,7 +337,6 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
         rows, compiled, warnings = R.execute_pair_rules(base.pairs, active)
         diffs = C.union_diffs(C.to_ruleset_diff(base.diffs, scope.scope_id, scope.object_type), rows)
     else:
-        base.release()
         diffs, compiled, warnings = ruleset_diffs(data1, data2, scope)
     if not compiled:
         warnings.append(
@@ -353,7 +356,7 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
         summary["ruleDifferenceCount"] = rule_rows
         summary["firedRuleCount"] = fired
         summary["differenceCount"] = missing + rule_rows
-    return RunResult(diffs, summary, warnings, pairs=base.pairs, cached=base.cached, small=base.small)
+    return RunResult(diffs, summary, warnings, pairs=base.pairs, small=base.small)
 
 
 def _rule_totals(pairs: DataFrame, compiled: list[R.CompiledRule]) -> tuple[int, int]:
