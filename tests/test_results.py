@@ -24,13 +24,15 @@ def legacy(spark):
 def test_results_are_never_overwritten(spark, tmp_path):
     target = str(tmp_path / "run")
     first = sinks.write_diffs(legacy(spark), target, {"file1Label": "A"}, {"totalDifferences": 2}, ["bad row"], ["careful"])
-    second = sinks.write_diffs(legacy(spark), target, file_format="json")
+    second = sinks.write_diffs(legacy(spark).withColumn("empty", F.lit(None).cast("int")), target, file_format="parquet")
     assert (first, second) == (target, target + "-1")
     summary, diffs = results.scan_diffs(spark, first)
     row = summary.first()
     assert json.loads(row["summary"]) == {"totalDifferences": 2, "writtenRows": 2}
     assert row["validationErrors"] == ["bad row"] and row["processingWarnings"] == ["careful"]
     assert sorted(r["id"] for r in diffs.collect()) == ["1", "2"]
+    again = results.scan_diffs(spark, second)[1]
+    assert again.columns == legacy(spark).columns + ["empty", "pos"] and again.count() == 2
 
 
 def test_csv_layouts(spark, tmp_path):

@@ -45,8 +45,13 @@ def write_diffs(
         "summary": json.dumps(dict(summary or {}, writtenRows=counted.get["rows"]), default=str),
         "validationErrors": list(validation_errors or []),
         "processingWarnings": list(warnings or []),
+        "fileFormat": file_format,
+        "rowSchema": df.schema.json(),
     }
-    schema = "metadata string, summary string, validationErrors array<string>, processingWarnings array<string>"
+    schema = (
+        "metadata string, summary string, validationErrors array<string>, processingWarnings array<string>, "
+        "fileFormat string, rowSchema string"
+    )
     df.sparkSession.createDataFrame([tuple(row.values())], schema).coalesce(1).write.json(f"{target}/summary")
     return target
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +26,17 @@ def diffs_with_position(raw: DataFrame) -> DataFrame:
 
 
 def scan_diffs(spark: SparkSession, path: str, wrapped: bool = False) -> tuple[DataFrame | None, DataFrame]:
-    """``(metadata, differences)`` of a wrapped document or a result folder."""
+    """``(metadata, differences)`` of a wrapped document or a result folder.
+
+    A folder's summary row names its format and row schema, so the differences
+    are read without an inference pass and keep columns that are null everywhere.
+    """
     if wrapped:
         raw = spark.read.json(path, multiLine=True)
         meta = raw.select("metadata") if "metadata" in raw.columns else None
         return meta, diffs_with_position(raw)
     summary = spark.read.json(f"{path}/summary")
-    return summary, diffs_with_position(spark.read.json(f"{path}/differences"))
+    stored = summary.select("fileFormat", "rowSchema").first()
+    schema = T.StructType.fromJson(json.loads(stored["rowSchema"]))
+    rows = spark.read.schema(schema).format(stored["fileFormat"]).load(f"{path}/differences")
+    return summary, diffs_with_position(rows)
