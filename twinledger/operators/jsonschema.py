@@ -465,14 +465,25 @@ def _object_checks(value: Column, shape: Column, schema: dict, root: dict, where
     checks = []
     is_object = _is_type(shape, "object")
     members = F.try_variant_get(value, "$", "map<string,variant>")
-    for key in schema.get("required") or []:
-        absent = F.try_variant_get(value, _quote_path(key), "variant").isNull()
-        checks.append(_errors_when(is_object & absent, f"{where}: required property '{key}' not found"))
     properties = schema.get("properties") or {}
-    for key, child_schema in properties.items():
-        child = F.try_variant_get(value, _quote_path(key), "variant")
-        errors = validation_errors(child, child_schema, root, f"{where}.{key}", depth + 1)
-        checks.append(F.when(is_object & child.isNotNull(), errors).otherwise(F.expr(_EMPTY)))
+    required = schema.get("required") or []
+    for key in dict.fromkeys([*required, *properties]):
+        message = F.array(F.lit(f"{where}: required property '{key}' not found")) if key in required else F.expr(_EMPTY)
+        child_schema = properties.get(key, {})
+
+        def member(v: Column, s: Column) -> Column:
+            inner = _resolve(root, child_schema)
+            plain = not isinstance(inner, dict) or not inner
+            found = validation_errors(v, inner, root, f"{where}.{key}", depth + 1) if plain else _errors(
+                v, s, inner, root, f"{where}.{key}", depth + 1
+            )
+            return F.when(v.isNull(), message).otherwise(found)
+
+        if depth >= MAX_DEPTH:
+            raise ConfigError("Schema nests too deeply or refers to itself")
+        # The member is looked up once, for its presence and its own checks.
+        errors = _with_shape(F.try_variant_get(value, _quote_path(key), "variant"), member)
+        checks.append(F.when(is_object, errors).otherwise(F.expr(_EMPTY)))
     extra = schema.get("additionalProperties", True)
     if extra is not True:
         keys = F.array_except(F.map_keys(members), F.array(*[F.lit(k) for k in properties]) if properties else F.expr(_EMPTY))
