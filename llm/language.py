@@ -182,8 +182,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows whose text has a main language with at least ``least`` of its letters' n-grams.
+def keep_known(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
+    """Rows whose text has a main language with at least ``least`` of its n-grams.
 
     When no row is labelled nothing can be judged and all rows stay.
     """
