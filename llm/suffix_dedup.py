@@ -33,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from llm.common import BLOCK_BYTES, blocks, fresh, mixed, runs_expanded, utf8, written
+from llm.common import blocks, fresh, mixed, runs_expanded, utf8, written
 
 LENGTH = 50
 SEED = 16
-HOT_ROWS = 20_000
-"""Rows of one rank above which its strings are compared by a grouped minimum."""
+HOT_ROWS = 100_000
+"""Rows of one rank above which its strings are compared by a grouped minimum; below it a rank takes some 100 MB of a task at most."""
 MOST_HOT = 100_000
 """Ranks told to every task at most; those above ``1 / MOST_HOT`` of the frequent ones' rows."""
 CHUNK = 16_384
+PIECE_BYTES = 1 << 17
 NO_ID = -(1 << 63)
 """A null id counts as smaller than any other."""
 
@@ -49,29 +50,27 @@ ODD = np.random.default_rng(11).integers(1, 1 << 62, 8).astype(np.uint64) * np.u
 
 
 def seed_hashes(data: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of the ``seed`` bytes from each position, put together from halves of doubled length."""
+    """A 64-bit hash of the ``seed`` bytes from each position, from the 8-byte words that start there."""
     count = len(data) - seed + 1
-    out = np.full(count, np.uint64(seed))
-    part, size, at, level = data.astype(np.uint64) + np.uint64(1), 1, 0, 1
-    while size <= seed:
-        if seed & size:
-            out = mixed(out * ODD[0] + part[at : at + count])
-            at += size
-        if size * 2 <= seed:
-            part = (part[:-size] ^ (part[:-size] >> np.uint64(29))) * ODD[level % len(ODD)] + part[size:]
-        size *= 2
-        level += 1
-    return out
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    if seed < 8:
+        return mixed((words[:count] & np.uint64((1 << 8 * seed) - 1)) * ODD[0])
+    out = words[:count] * ODD[0]
+    for i, at in enumerate([*range(8, seed - 7, 8), *([seed - 8] if seed % 8 else [])]):
+        out = (out ^ (out >> np.uint64(32))) * ODD[1] + words[at : at + count] * ODD[i % 4 + 2]
+    return mixed(out)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of strings that share their representing position: ``row, first, many, anchor, rank`` arrays.
 
     ``first`` is the place of the run's first string and ``many`` their
-    number; places are those in ``data``.  A long block is worked in pieces.
+    number; places are those in ``data``.  Work goes in pieces of bounded size
+    (a run may be cut there), small enough for a processor's cache.
     """
-    for begin in range(0, max(len(data) - length + 1, 0), BLOCK_BYTES):
-        piece = data[begin : begin + BLOCK_BYTES + length - 1]
+    rows = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+    for begin in range(0, max(len(data) - length + 1, 0), PIECE_BYTES):
+        piece = data[begin : begin + PIECE_BYTES + length - 1]
         rank = seed_hashes(piece, seed)
         low = (rank & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(rank), dtype=np.uint64)
         span, width = length - seed + 1, 1
@@ -81,8 +80,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, seed: int) -> Itera
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        row = np.searchsorted(ends, np.arange(begin, begin + len(anchor)), "right") - 1 if len(ends) > 2 else np.zeros(len(anchor), np.int64)
-        whole = np.arange(begin, begin + len(anchor)) + length <= ends[row + 1]
+        row = rows[begin : begin + len(anchor)]
+        whole = row == rows[begin + length - 1 : begin + length - 1 + len(anchor)]
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (whole[1:] != whole[:-1])
         start = np.flatnonzero(new)
@@ -90,15 +89,15 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, seed: int) -> Itera
         good = whole[start]
         start, many = start[good], many[good]
         at = anchor[start]
-        yield row[start], start + begin, many, at + begin, rank[at].view(np.int64)
+        yield row[start].astype(np.int64), start + begin, many, at + begin, rank[at].view(np.int64)
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """``rank, doc, n`` of a block of ``doc, text`` rows.
+    """``rank, text_key, n`` of a block of ``text_key, text`` rows.
 
-    A rank that one document of the block has: ``n`` is its number there.
+    A rank that one text of the block has: ``n`` is its number there.
     A rank that several have: one row with ``n`` below zero to tell others,
-    and for each document a row with ``n`` zero that is settled already.
+    and for each text a row with ``n`` zero that is settled already.
     """
     for block in blocks(batches, 1):
         ids = block.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -123,7 +122,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterat
         n = np.where(docs > 1, -total, total)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate((rank[at], rank[shared]))), pa.array(np.concatenate((doc[at], doc[shared]))),
-            pa.array(np.concatenate((n, np.zeros(int(shared.sum()), np.int64))))], names=["rank", "doc", "n"])
+            pa.array(np.concatenate((n, np.zeros(int(shared.sum()), np.int64))))], names=["rank", "text_key", "n"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -148,7 +147,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18
 
 
 def _shared(batches: Iterator[pa.RecordBatch], hot_rows: int) -> Iterator[pa.RecordBatch]:
-    """From sorted ``rank, doc, n``: the pairs whose rank several documents have; ranks with many rows with a null doc."""
+    """From sorted ``rank, text_key, n``: the pairs whose rank several texts have; ranks with many rows with a null key."""
     for part in _grouped(batches, 0):
         rank, doc, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         at = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
@@ -161,10 +160,12 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_rows: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate((rank[keep], rank[at[hot]]))),
             pa.concat_arrays([pa.array(doc[keep], pa.int64()), pa.nulls(gone, pa.int64())]),
-            pa.array(np.concatenate((np.zeros(int(keep.sum()), np.int64), total[hot])))], names=["rank", "doc", "n"])
+            pa.array(np.concatenate((np.zeros(int(keep.sum()), np.int64), total[hot])))], names=["rank", "text_key", "n"])
 
 
 RUN = StructType([StructField(c, LongType()) for c in ("rank", "doc", "text_key", "first", "many", "left")]).add("bytes", "binary")
+WHOLE = -1
+"""``many`` of a text that an earlier document has as a whole."""
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -176,8 +177,13 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot
         listed = np.asarray(lists.flatten()).astype(np.int64)
         owner = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()).astype(np.int64))
         wanted = np.unique(mixed(listed.view(np.uint64)) + owner.astype(np.uint64))
+        if not len(wanted):
+            continue
         for row, first, many, anchor, rank in anchors(data, ends, length, seed):
-            good = np.isin(mixed(rank.view(np.uint64)) + row.astype(np.uint64), wanted) & ~np.isin(rank, hot)
+            pair = mixed(rank.view(np.uint64)) + row.astype(np.uint64)
+            good = wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair
+            if len(hot):
+                good &= hot[np.minimum(np.searchsorted(hot, rank), len(hot) - 1)] != rank
             row, first, many, anchor, rank = (x[good] for x in (row, first, many, anchor, rank))
             size = many + length - 1
             flat = data[np.repeat(first, size) + runs_expanded(size)]
@@ -236,7 +242,7 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot: np.
         data, ends = utf8(block.column(1))
         ids, keys = (block.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
         for row, first, many, _, rank in anchors(data, ends, length, seed):
-            good = np.isin(rank, hot)
+            good = hot[np.minimum(np.searchsorted(hot, rank), len(hot) - 1)] == rank
             row, first, many = row[good], first[good], many[good]
             row, first = np.repeat(row, many), np.repeat(first, many) + runs_expanded(many)
             names = [hashlib.blake2b(data[a : a + length], digest_size=16).digest() for a in first.tolist()]
@@ -245,8 +251,18 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot: np.
                                              names=["a", "b", "doc", "text_key", "first"])
 
 
+def _shared_ranks(base: DataFrame, length: int, seed: int, hot_rows: int) -> DataFrame:
+    """``rank, text_key`` pairs of ranks that several texts have."""
+    ranked = base.select(F.xxhash64("t"), "t").mapInArrow(lambda it: _ranked(it, length, seed), "rank long, text_key long, n long")
+    # A settled pair goes anywhere; a rank's other rows, one for each block of texts at most, meet.
+    ranked = ranked.repartition(F.when(F.col("n") == 0, F.xxhash64("rank", "text_key")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "text_key")
+    return ranked.mapInArrow(lambda it: _shared(it, hot_rows), "rank long, text_key long, n long")
+
+
 def _cut(text: bytes, first: list[int], many: list[int], length: int) -> tuple[bytes, int, int]:
     """What is left of a text, the removed bytes and the maximal removed runs."""
+    if WHOLE in many:
+        return b"", len(text), 1
     edge = np.zeros(len(text) + 1, np.int64)
     start = np.array(first, np.int64)
     np.add.at(edge, start, 1)
@@ -261,7 +277,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Columns ``keep`` (default: the id) of ``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256``.
 
     With ``kept_text`` that column holds the text that is left (bytes that no
-    longer form a character are dropped).  Null and short texts lose nothing;
+    longer form a character are dropped; null stays null).  Null and short texts lose nothing;
     a null text counts as empty.  A null id is smaller than all others, and
     rows that repeat an id aren't smaller than each other.  Every row of
     ``docs`` gives one row, an empty table none; columns may have any names.
@@ -270,32 +286,34 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("length must be 2 at least")
     seed = min(SEED, max(1, length // 3)) if seed is None else seed
     keep = [doc_id] if keep is None else keep
-    spark = docs.sparkSession
     key = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    base = docs.select(key.alias("k"), body.alias("t"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
-    slim = base.select("k", "t")
+    base = docs.select(key.alias("k"), docs[text].cast("string").alias("t"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
+    keyed = base.select("k", F.xxhash64("t").alias("text_key"), F.xxhash64(F.lit(1), "t").alias("check"), F.octet_length("t").alias("size"))
+    # Equal texts are compared once: the first of them stands for all, the others are whole repeats.
+    firsts = keyed.groupBy("text_key", "check").agg(F.min("k").alias("k"))
 
-    ranked = slim.mapInArrow(lambda it: _ranked(it, length, seed), "rank long, doc long, n long")
-    # A settled pair goes anywhere; a rank's other rows, one for each block of texts at most, meet.
-    ranked = ranked.repartition(F.when(F.col("n") == 0, F.xxhash64("rank", "doc")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "doc")
-    shared = written(ranked.mapInArrow(lambda it: _shared(it, hot_rows), "rank long, doc long, n long"), "suffix-shared")
-    often = shared.where(F.col("doc").isNull())
+    shared = written(_shared_ranks(base, length, seed, hot_rows), "suffix-shared")
+    often = shared.where(F.col("text_key").isNull())
     rows = often.agg(F.sum("n")).first()[0] or 0
     hot = np.array(sorted(r[0] for r in often.where(F.col("n") > rows / MOST_HOT).select("rank").collect()), np.int64)
 
-    lists = shared.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.collect_set("rank").alias("ranks"))
-    near = base.join(lists, F.col("k") == F.col("doc")).select("k", "t", F.xxhash64("t").alias("text_key"), "ranks")
+    lists = shared.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.collect_set("rank").alias("ranks"))
+    lists = lists.join(firsts.select("text_key", F.col("k").alias("doc")), "text_key")
+    # All of base's columns stay, so that this exchange of the texts serves the last join as well.
+    near = base.join(lists, F.col("k") == F.col("doc")).where(F.xxhash64("t") == F.col("text_key")).select(
+        "k", "t", "text_key", "ranks", *[f"c{i}" for i in range(len(keep))])
     runs = near.mapInArrow(lambda it: _surroundings(it, length, seed, hot), RUN)
     repeats = runs.repartition("rank").sortWithinPartitions("rank", "doc").mapInArrow(
         lambda it: _repeats(it, length, seed), "doc long, text_key long, first long, many long")
     if len(hot):
-        strings = written(slim.select("k", "t", F.xxhash64("t")).mapInArrow(
+        strings = written(base.select("k", "t", F.xxhash64("t")).mapInArrow(
             lambda it: _strings(it, length, seed, hot), "a long, b long, doc long, text_key long, first long"), "suffix-strings")
         lowest = strings.groupBy("a", "b").agg(F.min("doc").alias("lowest"))
         more = strings.join(lowest, ["a", "b"]).where("lowest < doc").select("doc", "text_key", "first", F.lit(1).cast("long").alias("many"))
         repeats = repeats.unionByName(more)
-    found = repeats.groupBy("doc").agg(F.collect_list(F.struct("text_key", "first", "many")).alias("found"))
+    copies = keyed.where(F.col("size") >= length).join(firsts.withColumnRenamed("k", "lowest"), ["text_key", "check"]).where("lowest < k").select(
+        F.col("k").alias("doc"), "text_key", F.lit(0).cast("long").alias("first"), F.lit(WHOLE).cast("long").alias("many")).distinct()
+    found = repeats.unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("text_key", "first", "many")).alias("found"))
 
     joined = base.join(found, F.col("k") == F.col("doc"), "left").select(
         *[f"c{i}" for i in range(len(keep))], "t",
@@ -303,7 +321,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = len(keep)
     added = [StructField(c, LongType(), False) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType(), False)]
     if kept_text:
-        added.append(StructField(kept_text, StringType(), False))
+        added.append(StructField(kept_text, StringType()))
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + added)
     names = schema.names
 
@@ -316,12 +334,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             first, count = (np.asarray(items.field(i)).astype(np.int64) for i in (1, 2))
             cuts = np.concatenate(([0], np.cumsum(many)))
             out: list[tuple] = []
+            null = block.column(n).is_null().to_pylist()
             view = data.tobytes()
             for i in range(block.num_rows):
                 own = view[ends[i] : ends[i + 1]]
                 left, gone, spans = _cut(own, first[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]], length) if many[i] else (own, 0, 0)
                 row = (len(own), gone, spans, hashlib.sha256(left).hexdigest())
-                out.append((*row, left.decode("utf-8", "ignore")) if kept_text else row)
+                out.append((*row, None if null[i] else left.decode("utf-8", "ignore")) if kept_text else row)
             made = [pa.array(list(x), pa.int64() if i < 3 else pa.string()) for i, x in enumerate(zip(*out, strict=True))]
             yield pa.RecordBatch.from_arrays([block.column(i) for i in range(n)] + made, names=names)
 
@@ -331,7 +350,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut from the text; a null text stays null, all columns and rows stay."""
     left = fresh(docs, "_kept")
-    told = remove_repeats(docs, doc_id, text, keep=docs.columns, kept_text=left)
-    positions = {c: F.col(f"`{c}`") for c in docs.columns}
-    positions[text] = F.when(F.col(f"`{text}`").isNotNull(), F.col(left)).alias(text)
-    return told.select(*[positions[c] for c in docs.columns])
+    told = remove_repeats(docs, doc_id, text, keep=[c for c in docs.columns if c != text], kept_text=left)
+    return told.select(*[F.col(f"`{left}`").alias(text) if c == text else told[c] for c in docs.columns])
