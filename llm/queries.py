@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import fingerprints, language, licences, packing, quality, sharding, simhash, suffix_dedup, warc
+from llm import fingerprints, language, licences, packing, pieces, quality, sharding, simhash, suffix_dedup, warc
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language.held_out(told.doc_id).alias("held_out"), "lang_pred", "score", "languages")
 
 
+@query
+def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.measured(texts(spark, sf_dir))
+
+
 @query
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(texts(spark, sf_dir))
