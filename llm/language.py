@@ -43,12 +43,14 @@ class Model:
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all letter n-grams of a block, and each one's row.
 
-    Other ASCII bytes count as space; an n-gram's middle byte is a letter's
-    and no n-gram spans two texts.
+    Other ASCII bytes count as space, as do a text's ends; an n-gram's middle
+    byte is a letter's and no n-gram spans two texts.
     """
-    data, ends = utf8(pc.utf8_lower(column))
-    rows = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(ends))
-    data = LETTERS[data]
+    own, ends = utf8(pc.utf8_lower(column))
+    size = np.diff(ends)
+    rows = np.repeat(np.arange(len(column), dtype=np.int32), size + 2)
+    data = np.full(len(rows), 32, np.uint8)
+    data[np.arange(len(own)) + 2 * np.repeat(np.arange(len(column)), size) + 1] = LETTERS[own]
     if len(data) < GRAM:
         return np.zeros(0, np.int64), rows[:0]
     whole = (rows[: -GRAM + 1] == rows[GRAM - 1 :]) & (data[1:-1] != 32)

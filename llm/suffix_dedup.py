@@ -120,9 +120,9 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterat
         total = np.add.reduceat(times, at)
         shared = np.repeat(docs > 1, docs)
         n = np.where(docs > 1, -total, total)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate((rank[at], rank[shared]))), pa.array(np.concatenate((doc[at], doc[shared]))),
-            pa.array(np.concatenate((n, np.zeros(int(shared.sum()), np.int64))))], names=["rank", "text_key", "n"])
+        rank, doc, n = np.concatenate((rank[at], rank[shared])), np.concatenate((doc[at], doc[shared])), np.concatenate((n, np.zeros(int(shared.sum()), np.int64)))
+        together = np.argsort(doc, kind="stable")  # rows of a text side by side take less room in the shuffle
+        yield pa.RecordBatch.from_arrays([pa.array(x[together]) for x in (rank, doc, n)], names=["rank", "text_key", "n"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot: np.
 
 def _shared_ranks(base: DataFrame, length: int, seed: int, hot_rows: int) -> DataFrame:
     """``rank, text_key`` pairs of ranks that several texts have."""
-    ranked = base.select(F.xxhash64("t"), "t").mapInArrow(lambda it: _ranked(it, length, seed), "rank long, text_key long, n long")
+    ranked = base.select("h", "t").mapInArrow(lambda it: _ranked(it, length, seed), "rank long, text_key long, n long")
     # A settled pair goes anywhere; a rank's other rows, one for each block of texts at most, meet.
     ranked = ranked.repartition(F.when(F.col("n") == 0, F.xxhash64("rank", "text_key")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "text_key")
     return ranked.mapInArrow(lambda it: _shared(it, hot_rows), "rank long, text_key long, n long")
@@ -287,8 +287,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seed = min(SEED, max(1, length // 3)) if seed is None else seed
     keep = [doc_id] if keep is None else keep
     key = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    base = docs.select(key.alias("k"), docs[text].cast("string").alias("t"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
-    keyed = base.select("k", F.xxhash64("t").alias("text_key"), F.xxhash64(F.lit(1), "t").alias("check"), F.octet_length("t").alias("size"))
+    base = docs.select(key.alias("k"), F.xxhash64(docs[text].cast("string")).alias("h"), docs[text].cast("string").alias("t"),
+                       *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
+    keyed = base.select("k", F.col("h").alias("text_key"), F.xxhash64(F.lit(1), "t").alias("check"), F.octet_length("t").alias("size"))
     # Equal texts are compared once: the first of them stands for all, the others are whole repeats.
     firsts = keyed.groupBy("text_key", "check").agg(F.min("k").alias("k"))
 
@@ -299,25 +300,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     lists = shared.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.collect_set("rank").alias("ranks"))
     lists = lists.join(firsts.select("text_key", F.col("k").alias("doc")), "text_key")
-    # All of base's columns stay, so that this exchange of the texts serves the last join as well.
-    near = base.join(lists, F.col("k") == F.col("doc")).where(F.xxhash64("t") == F.col("text_key")).select(
+    # All of base's columns and the same keys, so that this exchange of the texts serves the last join as well.
+    near = base.join(lists, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("text_key"))).select(
         "k", "t", "text_key", "ranks", *[f"c{i}" for i in range(len(keep))])
     runs = near.mapInArrow(lambda it: _surroundings(it, length, seed, hot), RUN)
     repeats = runs.repartition("rank").sortWithinPartitions("rank", "doc").mapInArrow(
         lambda it: _repeats(it, length, seed), "doc long, text_key long, first long, many long")
     if len(hot):
-        strings = written(base.select("k", "t", F.xxhash64("t")).mapInArrow(
+        strings = written(base.select("k", "t", "h").mapInArrow(
             lambda it: _strings(it, length, seed, hot), "a long, b long, doc long, text_key long, first long"), "suffix-strings")
         lowest = strings.groupBy("a", "b").agg(F.min("doc").alias("lowest"))
         more = strings.join(lowest, ["a", "b"]).where("lowest < doc").select("doc", "text_key", "first", F.lit(1).cast("long").alias("many"))
         repeats = repeats.unionByName(more)
     copies = keyed.where(F.col("size") >= length).join(firsts.withColumnRenamed("k", "lowest"), ["text_key", "check"]).where("lowest < k").select(
         F.col("k").alias("doc"), "text_key", F.lit(0).cast("long").alias("first"), F.lit(WHOLE).cast("long").alias("many")).distinct()
-    found = repeats.unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("text_key", "first", "many")).alias("found"))
+    found = repeats.unionByName(copies).groupBy("doc", "text_key").agg(F.collect_list(F.struct("first", "many")).alias("found"))
 
-    joined = base.join(found, F.col("k") == F.col("doc"), "left").select(
-        *[f"c{i}" for i in range(len(keep))], "t",
-        F.filter("found", lambda x: x["text_key"] == F.xxhash64("t")).alias("found"))
+    joined = base.join(found, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("text_key")), "left").select(
+        *[f"c{i}" for i in range(len(keep))], "t", "found")
     n = len(keep)
     added = [StructField(c, LongType(), False) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType(), False)]
     if kept_text:
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             lists = block.column(n + 1)
             many = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
             items = lists.flatten()
-            first, count = (np.asarray(items.field(i)).astype(np.int64) for i in (1, 2))
+            first, count = (np.asarray(items.field(i)).astype(np.int64) for i in (0, 1))
             cuts = np.concatenate(([0], np.cumsum(many)))
             out: list[tuple] = []
             null = block.column(n).is_null().to_pylist()
