@@ -103,52 +103,66 @@ def _labelled(docs: DataFrame, labels: DataFrame, quality: int, most: int) -> li
 
 
 def _counts(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
-    """``bucket, raw, target`` over all rows; each task adds up its own first."""
+    """``bucket, raw, even, odd`` over all rows; each task adds up its own first. Trusted texts count by their half."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = (np.zeros(1 << BUCKETS_LOG2, np.int64) for _ in range(2))
+        sums = np.zeros((3, 1 << BUCKETS_LOG2), np.int64)
         for block in blocks(batches, 1):
             bucket, many = _grams(block.column(1))
-            raw += np.bincount(bucket, minlength=len(raw))
+            sums[0] += np.bincount(bucket, minlength=sums.shape[1])
             ids = block.column(0).to_numpy(zero_copy_only=False)
-            mine = np.repeat(np.isin(ids, trusted), many)
-            target += np.bincount(bucket[mine], minlength=len(raw))
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, raw[some], target[some])], names=["bucket", "raw", "target"])
+            kind = np.repeat(np.where(np.isin(ids, trusted), np.searchsorted(trusted, ids) % 2, -1), many)
+            for half in (0, 1):
+                sums[half + 1] += np.bincount(bucket[kind == half], minlength=sums.shape[1])
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *sums[:, some])], names=["bucket", "raw", "even", "odd"])
 
-    return source.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    told = source.mapInArrow(run, "bucket long, raw long, even long, odd long").groupBy("bucket")
+    return told.agg(*[F.sum(c).alias(c) for c in ("raw", "even", "odd")])
 
 
 def _threshold(good: np.ndarray, bad: np.ndarray, lost: float) -> float:
-    """Halfway between the trusted scores' ``lost`` quantile and the highest distrusted score below it."""
+    """Halfway between the trusted scores' ``lost`` quantile and nineteen twentieths of the distrusted scores below it."""
     if not len(good) or not len(bad):
         return float("-inf")
     edge = float(np.quantile(good, lost))
     below = bad[bad < edge]
-    return (edge + float(below.max())) / 2 if len(below) else edge
+    return (edge + float(np.quantile(below, 0.95))) / 2 if len(below) else edge
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED, lost: float = LOST) -> Model:
     """Raw counts of every document, the target and threshold from at most ``most`` labelled ones of each kind.
 
-    Without trusted labels the ratio is zero, without either kind nothing is
-    below the threshold.
+    For the threshold each half of the trusted texts is scored against the
+    other half, so a text isn't helped by its own n-grams.  Without trusted
+    labels the ratio is zero, without either kind nothing is below the
+    threshold.
     """
     trusted, distrusted = (np.array(_labelled(docs, labels, q, most), np.int64) for q in (1, 0))
     found = _counts(docs, trusted).toArrow()
-    raw, target = (np.zeros(1 << BUCKETS_LOG2) for _ in range(2))
+    raw, even, odd = (np.zeros(1 << BUCKETS_LOG2) for _ in range(3))
     at = np.asarray(found.column("bucket")).astype(np.int64)
-    raw[at], target[at] = np.asarray(found.column("raw")), np.asarray(found.column("target"))
+    for sums, name in ((raw, "raw"), (even, "even"), (odd, "odd")):
+        sums[at] = np.asarray(found.column(name))
     p_raw = (raw + 1 / len(raw)) / (raw.sum() + 1)
-    weight = BACKOFF * len(raw)
-    ratio = np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw) if target.sum() else np.zeros(len(raw))
-    ratio = ratio.astype(np.float32)
-    ids = docs.sparkSession.createDataFrame([(int(i),) for i in (*trusted, *distrusted)], "doc_id long")  # 2 * most ids at most
-    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids.distinct()), "doc_id")
-    scored = score(few, Model(ratio, float("-inf")), keep=["doc_id"]).select("doc_id", "score").dropDuplicates(["doc_id"]).toArrow()
-    ids_, scores = (np.asarray(scored.column(c)) for c in ("doc_id", "score"))
-    return Model(ratio, _threshold(scores[np.isin(ids_, trusted)], scores[np.isin(ids_, distrusted)], lost))
+
+    def against(target: np.ndarray) -> np.ndarray:
+        weight = BACKOFF * len(raw)
+        told = np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw) if target.sum() else np.zeros(len(raw))
+        return told.astype(np.float32)
+
+    ratio = against(even + odd)
+    halves = [(trusted[::2], against(odd)), (trusted[1::2], against(even)), (distrusted, ratio)]
+    scores = [np.zeros(0)] * 3
+    if len(trusted) and len(distrusted):
+        # 2 * most ids at most
+        ids = docs.sparkSession.createDataFrame([(int(i), kind) for kind, (some, _) in enumerate(halves) for i in some], "doc_id long, kind int")
+        few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids), "doc_id")
+        for kind, (_, own) in enumerate(halves):
+            told = score(few.where(F.col("kind") == kind), Model(own, float("-inf")), keep=["doc_id"])
+            scores[kind] = np.asarray(told.groupBy("doc_id").agg(F.min("score").alias("score")).toArrow().column("score"))
+    return Model(ratio, _threshold(np.concatenate(scores[:2]), scores[2], lost))
 
 
 FIELDS = [StructField(c, LongType(), False) for c in BASE] + [
