@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
 import verify  # noqa: E402
+from twinledger.checks import ORACLE, QUERIES  # noqa: E402
 from twinledger.model import RULESET_DIFF_COLUMNS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +32,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", [

@@ -124,11 +124,14 @@ def test_polling_takes_each_file_once(spark, tmp_path):
     poll()
     drop(folders[0], "2", "x")
     poll()
+    drop(folders[1], "2", "x", "y")
+    poll()
     runs = spark.read.json(out + "/runs").orderBy("batch_id").collect()
     assert [(r["statusEnumId"], r["file1_count"], r["file2_count"], r["matched"]) for r in runs] == [
-        ("AUT_STAT_SUCCESS", 2, 2, 1), ("AUT_STAT_NO_DATA", 1, 0, 0)]
+        ("AUT_STAT_SUCCESS", 2, 2, 1), ("AUT_STAT_NO_DATA", 1, 0, 0), ("AUT_STAT_SUCCESS", 1, 2, 1)]
     diffs = {(r["type"], r["id"], r["data"]) for r in spark.read.json(out + "/differences").collect()}
-    assert diffs == {("MISSING_IN_FILE_2", "a", '{"id":"a","v":1}'), ("MISSING_IN_FILE_1", "c", '{"id":"c","v":1}')}
+    assert diffs == {("MISSING_IN_FILE_2", "a", '{"id":"a","v":1}'), ("MISSING_IN_FILE_1", "c", '{"id":"c","v":1}'),
+                     ("MISSING_IN_FILE_1", "y", '{"id":"y","v":1}')}
 
 
 def test_newest_file_only(spark, tmp_path):

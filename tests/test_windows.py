@@ -92,15 +92,25 @@ def test_deep_slices_keep_every_record(spark):
     assert all(a[1] == b[0] for a, b in zip(found.windows, found.windows[1:]))
 
 
-def test_window_tagging_paths_agree(spark, monkeypatch):
+def test_window_tagging_of_any_width(spark):
     df = spark.range(300).select(F.col("id").alias("compare_id"), F.timestamp_seconds(1767225600 + F.col("id") * 7200).alias("ts"))
     windows = spark.sql("""SELECT 1 window_id, timestamp'2026-01-02 05:00:00' start, timestamp'2026-01-09 00:00:00' end
         UNION ALL SELECT 2, timestamp'2026-01-05 00:00:00', timestamp'2026-01-05 00:30:00'
         UNION ALL SELECT 3, timestamp'2026-01-05 00:00:00', timestamp'2026-01-20 23:00:00'""")
-    broadcast = sorted(W.tag_windows(df, "ts", windows).select("window_id", "compare_id").collect())
-    monkeypatch.setattr(W, "WINDOW_BROADCAST_ROWS", 0)
-    assert sorted(W.tag_windows(df, "ts", windows).select("window_id", "compare_id").collect()) == broadcast
-    assert len(broadcast) > 200
+    tagged = sorted(W.tag_windows(df, "ts", windows).select("window_id", "compare_id").collect())
+    plain = windows.join(df, (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    assert tagged == sorted(plain.select("window_id", "compare_id").collect()) and len(tagged) > 200
+    assert W.tag_windows(df, "ts", windows.limit(0)).count() == 0
+
+
+def test_slices_have_no_limit_of_their_own(spark):
+    day = datetime(2026, 1, 1)
+    moments = [day + timedelta(minutes=i) for i in range(1500)]
+    found = W.adaptive_slices(events(spark, moments), "ts", day, day + timedelta(days=2), 1, 1)
+    assert found.frame(spark).agg({"recordCount": "sum"}).first()[0] == 1500 and found.window_count > W.MAX_WINDOWS
+    ended = W.adaptive_slices(events(spark, moments), "ts", day, day + timedelta(days=2), 1, 1, max_windows=W.MAX_WINDOWS)
+    with pytest.raises(ValueError, match="split limit"):
+        ended.frame(spark)
 
 
 def test_zones_of_every_kind(spark):

@@ -204,28 +204,30 @@ def write_diff_csv(spark, sf_dir):
 SELECT 'MISSING_IN_FILE_2' AS type, a.compare_id AS id, 'Web' AS "presentIn", {t.JSON_A} AS data {ONLY_A}
 UNION ALL SELECT 'MISSING_IN_FILE_1', b.compare_id, 'Back Office', {t.JSON_B} {ONLY_B}""")
 def stream_poll_reconcile(spark, sf_dir):
+    """Three polls: half of one side, its other half, then the second side; nothing may be lost on the way."""
     folders = [scratch_path(spark, "drop1"), scratch_path(spark, "drop2")]
     schema = "id string, custkey bigint, status string, price string"
-    for export, folder in zip((t.export_a, t.export_b), folders):
-        export(spark, sf_dir).select(*t.PAYLOAD).write.json(folder)
-    streams = [polling.drop_stream(spark, folder, "json", schema) for folder in folders]
-    out = scratch_path(spark, "polled")
-    polling.stream_poll_reconcile(
-        *streams, SideConfig("id|SHOPIFY_GID_TAIL", "CSV", label="Web"), SideConfig("id", "CSV", label="Back Office"),
-        out, scratch_path(spark, "poll-checkpoint"), "CSV", "CSV",
-    ).awaitTermination()
+    out, checkpoint = scratch_path(spark, "polled"), scratch_path(spark, "poll-checkpoint")
+    first, second = (export(spark, sf_dir).select(*t.PAYLOAD) for export in (t.export_a, t.export_b))
+    spark.createDataFrame([], schema).write.json(folders[1])
+    odd = F.coalesce(F.col("custkey") % 2 == 1, F.lit(False))
+    for rows, folder in ((first.filter(odd), folders[0]), (first.filter(~odd), folders[0]), (second, folders[1])):
+        rows.write.mode("append").json(folder)
+        streams = [polling.drop_stream(spark, f, "json", schema) for f in folders]
+        polling.stream_poll_reconcile(
+            *streams, SideConfig("id|SHOPIFY_GID_TAIL", "CSV", label="Web"), SideConfig("id", "CSV", label="Back Office"),
+            out, checkpoint, "CSV", "CSV",
+        ).awaitTermination()
     return spark.read.json(f"{out}/differences").select("type", "id", "presentIn", "data")
 
 
 @query("stream_idempotent_windows", f"""WITH {t.EXECUTIONS_SQL}
-SELECT DISTINCT automationId, childWindowStart, childWindowEnd FROM executions""")
+SELECT DISTINCT automationId, scheduledDate, childWindowStart, childWindowEnd FROM executions""")
 def stream_idempotent_windows(spark, sf_dir):
+    """Five batches in no order of time, each window again in a later one."""
     source, target = scratch_path(spark, "submitted"), scratch_path(spark, "accepted")
-    t.executions(spark, sf_dir).write.parquet(source)
-    submitted = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    keys = ["automationId", "childWindowStart", "childWindowEnd"]
-    accepted = polling.stream_idempotent_windows(submitted, "scheduledDate", "1 day", keys)
-    accepted.select(*keys).writeStream.format("parquet").option("path", target).option(
-        "checkpointLocation", scratch_path(spark, "dedup-checkpoint")
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    submitted = t.executions(spark, sf_dir)
+    submitted.unionByName(submitted).repartition(5).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    polling.stream_idempotent_windows(stream, target, scratch_path(spark, "dedup-checkpoint")).awaitTermination()
+    return spark.read.parquet(target).select(*polling.WINDOW_KEYS)

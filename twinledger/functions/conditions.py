@@ -26,16 +26,19 @@ OPERATORS = {
     ">": ">",
     "<": "<",
 }
-NEGATED_CONTAINS = r"(?:does not contain|not contains)"
+# Phrases are tried in this order: containment first, then the table's.
+_CONTAINMENT = {"does not contain": "not contains", "not contains": "not contains", "contains": "contains"}
+_QUOTED = re.compile(r"'[^']*'|\"[^\"]*\"")
 
 
-def _split(text: str, operator: str) -> tuple[str, str] | None:
-    found = re.match(rf"^\s*(.+?)\s+{operator}\s+(.+)\s*\Z", text, re.IGNORECASE)
+def _split(text: str, phrase: str) -> tuple[str, str] | None:
+    """What stands before and after a phrase of whole words outside quotes; None unless both are given."""
+    bare = _QUOTED.sub(lambda quoted: "_" * len(quoted[0]), text)
+    found = re.search(rf"(?<=\s){r'\s+'.join(map(re.escape, phrase.split()))}(?=\s)", bare, re.IGNORECASE)
     if found is None:
         return None
-    field = re.sub(r"^['\"`]+|['\"`]+$", "", found.group(1).strip())
-    value = found.group(2).strip()
-    return (field, value) if field else None
+    field, value = text[: found.start()].strip().strip("'\"`"), text[found.end():].strip()
+    return (field, value) if field and value else None
 
 
 def _literal(text: str):
@@ -52,15 +55,10 @@ def parse_condition(text: str | None) -> tuple[str, str, object] | None:
     raw = (text or "").strip()
     if not raw:
         return None
-    for name, operator in (("not contains", NEGATED_CONTAINS), ("contains", "contains")):
-        parts = _split(raw, operator)
+    for phrase, operator in (_CONTAINMENT | OPERATORS).items():
+        parts = _split(raw, phrase)
         if parts:
-            return parts[0], name, _literal(parts[1])
-    for phrase in sorted(OPERATORS, key=len, reverse=True):
-        pattern = rf"\b{phrase}\b" if phrase[0].isalpha() else re.escape(phrase)
-        parts = _split(raw, pattern)
-        if parts:
-            return parts[0], OPERATORS[phrase], _literal(parts[1])
+            return parts[0], operator, _literal(parts[1])
     return None
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +14,6 @@ from twinledger.session import ensure_checkpoint_dir
 PARENT_COLUMN = "product-sku"
 COMPONENT_COLUMN = "product-sku-to"
 
-# Cycles up to this many nodes are spelled out in their description; the
-# members of larger ones are listed in full by ``CycleSplit.groups``.
-SPELLED_OUT = 1_000
-
-
 @dataclass
 class CycleSplit:
     """Importable rows, problem rows, and the nodes of every cycle."""
@@ -115,55 +108,16 @@ def cyclic_nodes(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         remaining = remaining.select("src", "dst").checkpoint()
 
 
-def _cycle_through(first: str, edges: dict[str, list[str]]) -> list[str]:
-    """Shortest way from a node back to itself."""
-    came_from: dict[str, str] = {}
-    queue = deque([first])
-    while queue:
-        node = queue.popleft()
-        for following in sorted(edges.get(node, ())):
-            if following == first:
-                path = [node]
-                while path[-1] != first:
-                    path.append(came_from[path[-1]])
-                return path[::-1] + [first]
-            if following not in came_from:
-                came_from[following] = node
-                queue.append(following)
-    return [first]
-
-
-def _describe(edges: DataFrame, cycles: DataFrame, spelled_out: int) -> DataFrame:
-    """``(cycle, cycle_description)`` per component.
-
-    Only components of bounded size are brought together to spell out a path.
-    """
-    sizes = cycles.groupBy("cycle").agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.filter(F.col("_n") <= spelled_out).select("cycle")
-    large = sizes.filter(F.col("_n") > spelled_out).select(
-        "cycle",
-        F.concat(F.lit("Cycle among "), F.col("_n").cast("string"), F.lit(" nodes starting with "), F.col("cycle"))
-        .alias("cycle_description"),
-    )
-    inner = edges.join(small, "cycle").select("cycle", "src", "dst").distinct()
-
-    def describe(group: pd.DataFrame) -> pd.DataFrame:
-        onward: dict[str, list[str]] = {}
-        for source, target in zip(group["src"], group["dst"]):
-            onward.setdefault(source, []).append(target)
-        names = sorted(onward)
-        path = " -> ".join(_cycle_through(names[0], onward))
-        text = f"Cycle among {', '.join(names)} (path: {path})"
-        return pd.DataFrame({"cycle": [group["cycle"].iloc[0]], "cycle_description": [text]})
-
-    spelled = inner.groupBy("cycle").applyInPandas(describe, "cycle string, cycle_description string")
-    return spelled.unionByName(large)
+def _describe(cycles: DataFrame) -> DataFrame:
+    """``(cycle, cycle_description)`` per component, in one form for every size; ``groups`` lists the members."""
+    return cycles.groupBy("cycle").agg(F.count(F.lit(1)).alias("_n")).select(
+        "cycle", F.concat(F.lit("Cycle among "), F.col("_n").cast("string"), F.lit(" nodes, first "), F.col("cycle")).alias("cycle_description"))
 
 
 def bom_cycle_split(
     rows: DataFrame, parent: str = PARENT_COLUMN, child: str = COMPONENT_COLUMN,
     assoc_col: str | None = None, assoc_type: str | None = None,
-    hot_rows: int = HOT_ROWS, spelled_out: int = SPELLED_OUT,
+    hot_rows: int = HOT_ROWS,
 ) -> CycleSplit:
     """Split parent-component rows into importable ones and ones on a cycle.
 
@@ -184,12 +138,10 @@ def bom_cycle_split(
     start = cycles.select("node", F.col("cycle"))
     stop = cycles.select("node", F.col("cycle").alias("_cycle"))
     marked = _on(_on(kept, start, "src", "left", hot_src), stop, "dst", "left", hot_dst)
-    marked = marked.withColumn("cycle", F.when(F.col("cycle") == F.col("_cycle"), F.col("cycle"))).drop("_cycle")
+    marked = marked.withColumn("cycle", F.when(F.col("cycle") == F.col("_cycle"), F.col("cycle"))).drop("_cycle").checkpoint()
     loop = F.col("src") == F.col("dst")
     on_cycle = F.col("cycle").isNotNull() & ~loop
-    texts = _describe(
-        marked.filter(on_cycle).select("cycle", "src", "dst"), cycles, spelled_out
-    )
+    texts = _describe(cycles)
     columns = [F.col(f"`{c}`") for c in rows.columns]
     importable = marked.filter(~loop & F.col("cycle").isNull()).select(*columns)
     self_rows = marked.filter(loop).select(

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.model import ConfigError
 
-# Depth cap and its note, error cap, root and item names.
-MAX_DEPTH = 50
-DEPTH_NOTE = "Max depth of 50 reached, schema truncated"
+# Error cap of a report, root and item names.
 MAX_ERRORS = 100
 DRAFT = "http://json-schema.org/draft-07/schema#"
 ITEM_NAME = "[0]"
 
 CATALOG = "path string, type string"
-
-
-# --- inference ---------------------------------------------------------------
+ITEM = object()
+"""The step from an array to its items; other steps are property names."""
 
 
 def json_type(value: object) -> str:
@@ -36,31 +35,54 @@ def json_type(value: object) -> str:
     return "object"
 
 
-def _observe(value: object, path: str, depth: int, seen: set[tuple[str, str]]) -> None:
-    kind = json_type(value) if depth <= MAX_DEPTH else "truncated"
-    seen.add((path, kind))
-    if kind == "object":
-        for key, child in value.items():
-            _observe(child, f"{path}.{_quote(key)}", depth + 1, seen)
-    elif kind == "array":
-        for child in value:
-            _observe(child, f"{path}[*]", depth + 1, seen)
+def parsed(text: str | None) -> tuple[object] | None:
+    """The document of a text, boxed; None when the text is no JSON or nests beyond what the parser takes."""
+    try:
+        return None if text is None else (json.loads(text),)
+    except (ValueError, RecursionError):
+        return None
+
+
+def unreadable(df: DataFrame, col: str) -> DataFrame:
+    """The rows whose text is given but no JSON; inference and merging pass them over."""
+    return df.filter(F.col(col).isNotNull() & F.try_parse_json(F.col(col)).isNull())
+
+
+def rendered(steps: tuple, root: str = "$") -> str:
+    """A JSON path of steps; names with path signs are quoted."""
+    return root + "".join("[*]" if s is ITEM else f".{_quote(s)}" for s in steps)
 
 
 def _quote(key: str) -> str:
     return f"['{key}']" if any(c in key for c in ".[]'") else key
 
 
-def _per_batch(df: DataFrame, col: str, observe: Callable[[str, set], None], schema: str) -> DataFrame:
-    """Distinct rows a helper collects from the texts of each Arrow batch."""
+# --- inference ---------------------------------------------------------------
+
+
+def places(document: object) -> Iterator[tuple[int, int, object, object, tuple]]:
+    """Every value of a document as ``(place, parent place, step, value, steps)``, parents first, to any depth."""
+    waiting: list[tuple[int, object, object, tuple]] = [(-1, None, document, ())]
+    place = -1
+    while waiting:
+        parent, step, value, steps = waiting.pop()
+        place += 1
+        yield place, parent, step, value, steps
+        inner = value.items() if isinstance(value, dict) else ((ITEM, v) for v in value) if isinstance(value, list) else ()
+        waiting += [(place, s, v, (*steps, s)) for s, v in reversed(list(inner))]
+
+
+def _per_batch(df: DataFrame, col: str, observe: Callable[[object, set], None], schema: str) -> DataFrame:
+    """Distinct rows a helper collects from the documents of each Arrow batch."""
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: set = set()
             for text in batch[col]:
-                if text is not None:
-                    observe(text, seen)
+                found = parsed(text)
+                if found is not None:
+                    observe(found[0], seen)
             yield pd.DataFrame(sorted(seen), columns=names)
 
     return df.select(col).mapInPandas(run, schema)
@@ -72,39 +94,34 @@ def infer_schema(df: DataFrame, col: str, strict: bool = False) -> DataFrame:
     Normally ``(path, type)`` pairs: array elements share the path ``[*]`` and
     types unite.  Each batch emits distinct pairs, so the shuffle carries a
     few rows per task however large the column is.  ``strict`` keeps each
-    distinct shape whole, as ``(schema_text)``.
+    distinct shape whole, as ``(schema_text)``.  Texts that are no JSON are
+    passed over; ``unreadable`` lists them.
     """
     if strict:
+        return _per_batch(df, col, lambda d, seen: seen.add((json.dumps(strict_schema(d), sort_keys=True),)), "schema_text string").distinct()
+    return _per_batch(df, col, lambda d, seen: seen.update((rendered(p[4]), json_type(p[3])) for p in places(d)), CATALOG).distinct()
 
-        def shapes(text: str, seen: set) -> None:
-            seen.add((json.dumps(strict_schema(json.loads(text)), sort_keys=True),))
 
-        return _per_batch(df, col, shapes, "schema_text string").distinct()
+def strict_schema(document: object) -> dict:
+    """Schema of one document: every key required, nothing else allowed.
 
-    def pairs(text: str, seen: set) -> None:
-        _observe(json.loads(text), "$", 0, seen)
-
-    return _per_batch(df, col, pairs, CATALOG).distinct()
-
-
-def strict_schema(value: object, depth: int = 0) -> dict:
-    """Schema of one document: every key required, nothing else allowed."""
-    if depth > MAX_DEPTH:
-        return {"type": "object", "description": DEPTH_NOTE}
-    kind = json_type(value)
-    if kind == "object":
-        schema: dict = {"type": "object", "properties": {k: strict_schema(v, depth + 1) for k, v in value.items()}}
-        if value:
-            schema |= {"required": list(value), "additionalProperties": False}
-        return schema
-    if kind == "array":
-        distinct: list[dict] = []
-        for item in (strict_schema(v, depth + 1) for v in value):
-            if item not in distinct:
-                distinct.append(item)
-        items = distinct[0] if len(distinct) == 1 else {"anyOf": distinct} if distinct else {}
-        return {"type": "array", "items": items}
-    return {"type": kind}
+    Values are closed from the last to the first, so each one finds the
+    schemas of what it contains ready.
+    """
+    inner: dict[int, list[tuple[object, dict]]] = {}
+    closed: dict = {}
+    for place, parent, step, value, _ in reversed(list(places(document))):
+        held = inner.pop(place, [])[::-1]
+        closed = {"type": json_type(value)}
+        if isinstance(value, dict):
+            closed["properties"] = dict(held)
+            if held:
+                closed.update(required=[k for k, _ in held], additionalProperties=False)
+        elif isinstance(value, list):
+            kinds = list({json.dumps(k, sort_keys=True): k for _, k in held}.values())
+            closed["items"] = {"anyOf": kinds} if len(kinds) > 1 else kinds[0] if kinds else {}
+        inner.setdefault(parent, []).append((step, closed))
+    return closed
 
 
 def united_types(types: set[str]) -> list[str]:
@@ -130,8 +147,6 @@ def assemble_schema(catalog: list[tuple[str, str]]) -> dict:
 
     def build(path: str) -> dict:
         kinds = set(types.get(path, ()))
-        if "truncated" in kinds:
-            return {"type": "object", "description": DEPTH_NOTE}
         parts: list[dict] = []
         scalars = united_types(kinds - {"object", "array"})
         if "object" in kinds:
@@ -152,24 +167,17 @@ def assemble_schema(catalog: list[tuple[str, str]]) -> dict:
 
 
 def merge_schemas(schemas: DataFrame, col: str = "schema_text") -> DataFrame:
-    """Field catalog of many schemas: per path the united types."""
-
-    def walk(node: object, path: str, depth: int, seen: set) -> None:
-        if not isinstance(node, dict) or depth > MAX_DEPTH:
-            return
-        for option in node.get("anyOf", []):
-            walk(option, path, depth, seen)
-        named = node.get("type")
-        kinds = named if isinstance(named, list) else [named] if named else []
-        if not kinds and "anyOf" not in node:
-            kinds = ["object"] if isinstance(node.get("properties"), dict) else ["array"] if "items" in node else []
-        seen.update((path, str(kind)) for kind in kinds)
-        for key, child in (node.get("properties") or {}).items():
-            walk(child, f"{path}.{_quote(key)}", depth + 1, seen)
-        walk(node.get("items"), f"{path}[*]", depth + 1, seen)
-
-    pairs = _per_batch(schemas, col, lambda text, seen: walk(json.loads(text), "$", 0, seen), CATALOG)
-    return unite_catalog(pairs)
+    """Field catalog of many schemas: per path the united types. References stay as they are."""
+
+    def observe(schema: object, seen: set) -> None:
+        for node in nodes(schema, branches=("anyOf",), references=False):
+            named = node.schema.get("type")
+            kinds = named if isinstance(named, list) else [named] if named else []
+            if not kinds and "anyOf" not in node.schema:
+                kinds = ["object"] if isinstance(node.schema.get("properties"), dict) else ["array"] if "items" in node.schema else []
+            seen.update((rendered(node.steps), str(kind)) for kind in kinds)
+
+    return unite_catalog(_per_batch(schemas, col, observe, CATALOG))
 
 
 def unite_catalog(pairs: DataFrame) -> DataFrame:
@@ -179,58 +187,83 @@ def unite_catalog(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("path").agg(F.array_join(F.array_sort(united), ",").alias("types"))
 
 
-# --- flattening and paths ----------------------------------------------------
+# --- one walk through a schema -----------------------------------------------
 
 
-def _resolve(root: dict, node: object) -> object:
-    """Follow local references, each at most once."""
-    followed = set()
-    while isinstance(node, dict) and isinstance(node.get("$ref"), str):
-        target = node["$ref"]
-        if not target.startswith("#/") or target in followed:
-            break
-        followed.add(target)
-        found: object = root
-        for step in target[2:].split("/"):
-            found = found.get(step.replace("~1", "/").replace("~0", "~")) if isinstance(found, dict) else None
-        if found is None:
-            break
-        node = found
-    return node
+@dataclass(frozen=True)
+class Node:
+    """A subschema, its reference followed: where it stands and whether its parent requires it."""
 
+    steps: tuple
+    schema: dict
+    required: bool
 
-def _first_properties(node: dict) -> dict | None:
-    if isinstance(node.get("properties"), dict):
-        return node["properties"]
-    for combinator in ("anyOf", "oneOf", "allOf"):
-        if isinstance(node.get(combinator), list):
-            for option in node[combinator]:
-                if isinstance(option, dict) and isinstance(option.get("properties"), dict):
-                    return option["properties"]
-            return None
-    return None
 
+def _pointed(root: object, pointer: str) -> object:
+    """What a local JSON pointer leads to, or None."""
+    for step in pointer.removeprefix("#").split("/")[1:]:
+        name = step.replace("~1", "/").replace("~0", "~")
+        if isinstance(root, list) and name.isdigit() and int(name) < len(root):
+            root = root[int(name)]
+        else:
+            root = root.get(name) if isinstance(root, dict) else None
+    return root
 
-def flat_fields(schema: dict) -> Iterator[tuple[str, str, str, bool, int]]:
-    """``(path, name, type, required, depth)`` of every field, parents first."""
 
-    def visit(name: str, parent: str, node: object, depth: int, required: bool):
-        if depth > MAX_DEPTH or not isinstance(node, dict):
-            return
-        node = _resolve(schema, node)
-        path = ""
-        if name:
-            path = f"{parent}.{name}" if parent else name
-            kind = node.get("type") or ("any" if node.get("anyOf") else "string")
-            yield path, name, kind if isinstance(kind, str) else json.dumps(kind), required, depth
+def _followed(root: object, node: object, open_: frozenset = frozenset()) -> tuple[object, frozenset]:
+    """The schema behind local references and the references passed; None where they turn in a circle."""
+    while isinstance(node, dict) and str(node.get("$ref", "")).startswith("#"):
+        if node["$ref"] in open_:
+            return None, open_
+        target = _pointed(root, node["$ref"])
+        if target is None:
+            break
+        open_, node = open_ | {node["$ref"]}, target
+    return node, open_
+
+
+def nodes(root: object, branches: tuple[str, ...] = ("anyOf", "oneOf", "allOf"), references: bool = True, first_branch: bool = False) -> Iterator[Node]:
+    """Every subschema reachable by properties, items and branches, parents first, to any depth.
+
+    A branch stands where its owner stands.  A reference that is already open
+    on the way to it isn't entered again, so recursive schemas end.  With
+    ``first_branch`` a schema without properties of its own takes those of the
+    first branch that has some, and other branches are left out.
+    """
+    waiting: list[tuple[tuple, object, bool, frozenset]] = [((), root, True, frozenset())]
+    while waiting:
+        steps, node, required, open_ = waiting.pop()
+        if references:
+            node, open_ = _followed(root, node, open_)
+        if not isinstance(node, dict):
+            continue
+        yield Node(steps, node, required)
+        owner = node
+        options = [o for word in branches for o in (node.get(word) if isinstance(node.get(word), list) else [])]
+        if first_branch:
+            if not isinstance(node.get("properties"), dict):
+                owner = next((o for o in options if isinstance(o, dict) and isinstance(o.get("properties"), dict)), node)
+            options = []
+        named = owner.get("properties") if isinstance(owner.get("properties"), dict) else {}
         needed = node.get("required") if isinstance(node.get("required"), list) else []
-        for key, child in (_first_properties(node) or {}).items():
-            yield from visit(key, path, child, depth + 1, key in needed)
         items = node.get("items")
-        items = items[0] if isinstance(items, list) and items else items
-        yield from visit(ITEM_NAME, path, items, depth + 1, False)
+        items = items if isinstance(items, list) else [items]
+        inner = [((*steps, k), child, k in needed, open_) for k, child in named.items()]
+        inner += [((*steps, ITEM), child, False, open_) for child in (items[:1] if first_branch else items)]
+        inner += [(steps, o, required, open_) for o in options]
+        waiting += reversed(inner)
 
-    yield from visit("", "", schema, 0, True)
+
+# --- flattening and paths ----------------------------------------------------
+
+
+def flat_fields(schema: dict) -> Iterator[tuple[str, str, str, bool, int]]:
+    """``(path, name, type, required, depth)`` of every field, parents first."""
+    for node in nodes(schema, first_branch=True):
+        if node.steps:
+            names = [ITEM_NAME if s is ITEM else s for s in node.steps]
+            kind = node.schema.get("type") or ("any" if node.schema.get("anyOf") else "string")
+            yield ".".join(names), names[-1], kind if isinstance(kind, str) else json.dumps(kind), node.required, len(names)
 
 
 FIELDS = "fieldPath string, fieldName string, type string, required boolean, depth int"
@@ -245,12 +278,9 @@ def _per_schema(schemas: DataFrame, id_col: str, text_col: str, rows: Callable,
         for batch in batches:
             found = []
             for key, text in zip(batch[id_col], batch[text_col]):
-                try:
-                    schema = json.loads(text) if text else None
-                except ValueError:
-                    schema = None
-                if isinstance(schema, dict):
-                    found.extend((key, *row) for row in rows(schema))
+                told = parsed(text)
+                if told is not None and isinstance(told[0], dict):
+                    found.extend((key, *row) for row in rows(told[0]))
             yield pd.DataFrame(found, columns=names)
 
     return schemas.select(id_col, text_col).mapInPandas(run, out)
@@ -263,27 +293,8 @@ def flatten_schema(schemas: DataFrame, id_col: str = "schema_id", text_col: str
 
 def json_paths(schema: dict) -> Iterator[tuple[str, str]]:
     """``(path, name)`` of every property through items, references and all branches."""
-    found: set[tuple[str, str]] = set()
-
-    def visit(node: object, path: str, trail: tuple[int, ...]) -> None:
-        if isinstance(node, list):
-            for option in node:
-                visit(option, path, trail)
-            return
-        node = _resolve(schema, node)
-        if not isinstance(node, dict) or id(node) in trail or len(trail) > MAX_DEPTH:
-            return
-        inner = (*trail, id(node))
-        for key, child in (node.get("properties") or {}).items():
-            found.add((f"{path}.{key}", key))
-            visit(child, f"{path}.{key}", inner)
-        if node.get("items") is not None:
-            visit(node["items"], f"{path}[*]", inner)
-        for combinator in ("allOf", "anyOf", "oneOf"):
-            visit(node.get(combinator, []), path, inner)
-
-    visit(schema, "$", ())
-    yield from sorted(found)
+    ends = {n.steps for n in nodes(schema) if n.steps and n.steps[-1] is not ITEM}
+    yield from sorted(("$" + "".join("[*]" if s is ITEM else f".{s}" for s in steps), steps[-1]) for steps in ends)
 
 
 def schema_paths(schemas: DataFrame, id_col: str = "schema_id", text_col: str = "schema_text") -> DataFrame:
@@ -361,8 +372,11 @@ def _with_shape(value: Column, check: Callable[[Column, Column], Column]) -> Col
     return F.flatten(F.transform(F.array(bound), lambda b: check(b.getField("value"), b.getField("shape"))))
 
 
-def _is_type(shape: Column, name: str) -> Column:
-    integer = shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$")
+def _is_type(value: Column, shape: Column, name: str) -> Column:
+    plain = shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$")
+    # 1e2 is an integer too: a number without a fraction, however it is written
+    number = F.try_variant_get(value, "$", "double")
+    integer = plain | (shape.isin("DOUBLE", "FLOAT") & (number == F.rint(number)))
     return {
         "object": shape.startswith("OBJECT"),
         "array": shape.startswith("ARRAY"),
@@ -370,7 +384,7 @@ def _is_type(shape: Column, name: str) -> Column:
         "boolean": shape == "BOOLEAN",
         "null": shape == "VOID",
         "integer": integer,
-        "number": integer | shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"),
+        "number": plain | shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"),
     }.get(name, F.lit(False))
 
 
@@ -379,35 +393,69 @@ def _errors_when(condition: Column, message: Column | str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(text)).otherwise(F.expr(_EMPTY))
 
 
-def validation_errors(value: Column, schema: dict, root: dict | None = None, where: str = "$", depth: int = 0) -> Column:
+@dataclass(frozen=True)
+class _Scope:
+    """The whole schema and the references open on the way to a part of it."""
+
+    root: dict
+    open: frozenset = frozenset()
+
+
+def _part(schema: object, scope: _Scope) -> tuple[object, _Scope]:
+    """The subschema behind references; one that refers to itself can't be compiled."""
+    found, open_ = _followed(scope.root, schema, scope.open)
+    if found is None:
+        raise ConfigError("The schema refers to itself; recursive schemas aren't supported")
+    return found, _Scope(scope.root, open_)
+
+
+def validation_errors(value: Column, schema: dict, scope: _Scope | None = None, where: str = "$") -> Column:
     """Messages (array of strings) for a VARIANT value under a draft-07 schema.
 
     Everything is decided while compiling except the value itself: the result
     is one expression over the parsed document, evaluated by the JVM.
     """
-    root = schema if root is None else root
-    if depth > MAX_DEPTH:
-        raise ConfigError("Schema nests too deeply or refers to itself")
-    resolved = _resolve(root, schema)
+    resolved, scope = _part(schema, _Scope(schema) if scope is None else scope)
     if resolved is False:
         return F.array(F.lit(f"{where}: no value is allowed"))
     if not isinstance(resolved, dict) or not resolved:
         return F.expr(_EMPTY)
-    return _with_shape(value, lambda v, shape: _errors(v, shape, resolved, root, where, depth))
+    return _with_shape(value, lambda v, shape: _errors(v, shape, resolved, scope, where))
+
+
+def _fits(value: Column, schema: object, scope: _Scope) -> Column:
+    return F.size(validation_errors(value, schema, scope)) == 0
+
+
+def _exact(number: int | float | Decimal) -> Column | None:
+    """A schema's number as DECIMAL, or None when that can't hold it."""
+    told = Decimal(repr(number)) if isinstance(number, float) else Decimal(number)
+    if not told.is_finite() or told.adjusted() >= 20 or told.as_tuple().exponent < -18:
+        return None
+    return F.lit(format(told, "f")).cast("decimal(38,18)")
 
 
-def _errors(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> Column:
+def _related(value: Column, bound: int | float, relation: Callable[[Column, Column], Column]) -> Column:
+    """A relation of a number to a schema's number: exact where both fit a DECIMAL, else as doubles."""
+    rough = relation(F.try_variant_get(value, "$", "double"), F.lit(float(bound)))
+    limit = _exact(bound)
+    if limit is None:
+        return rough
+    fine = F.try_variant_get(value, "$", "decimal(38,18)")
+    return F.when(fine.isNotNull(), relation(fine, limit)).otherwise(rough)
+
+
+def _errors(value: Column, shape: Column, schema: dict, scope: _Scope, where: str) -> Column:
     checks: list[Column] = []
     text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    is_text, is_number = _is_type(shape, "string"), _is_type(shape, "number")
+    is_text, is_number = _is_type(value, shape, "string"), _is_type(value, shape, "number")
 
     named = schema.get("type")
     if named is not None:
         kinds = named if isinstance(named, list) else [named]
         allowed = F.lit(False)
         for kind in kinds:
-            allowed = allowed | _is_type(shape, kind)
+            allowed = allowed | _is_type(value, shape, kind)
         checks.append(_errors_when(~allowed, f"{where}: expected {' or '.join(kinds)}"))
     if "const" in schema:
         checks.append(_errors_when(~_equals(value, shape, schema["const"]), f"{where}: must be the constant value"))
@@ -417,35 +465,35 @@ def _errors(value: Column, shape: Column, schema: dict, root: dict, where: str,
             member = member | _equals(value, shape, option)
         checks.append(_errors_when(~member, f"{where}: is not one of the allowed values"))
     for word, bad in (
-        ("minimum", lambda b: number < b), ("maximum", lambda b: number > b),
-        ("exclusiveMinimum", lambda b: number <= b), ("exclusiveMaximum", lambda b: number >= b),
+        ("minimum", lambda n, b: n < b), ("maximum", lambda n, b: n > b),
+        ("exclusiveMinimum", lambda n, b: n <= b), ("exclusiveMaximum", lambda n, b: n >= b),
+        ("multipleOf", lambda n, b: F.try_mod(n, b) != 0),
     ):
         bound = schema.get(word)
         if isinstance(bound, (int, float)) and not isinstance(bound, bool):
-            checks.append(_errors_when(is_number & bad(F.lit(float(bound))), f"{where}: violates {word} {bound}"))
+            checks.append(_errors_when(is_number & _related(value, bound, bad), f"{where}: violates {word} {bound}"))
     for word, bad in (("minLength", lambda n: F.length(text) < n), ("maxLength", lambda n: F.length(text) > n)):
         if isinstance(schema.get(word), int):
             checks.append(_errors_when(is_text & bad(schema[word]), f"{where}: violates {word} {schema[word]}"))
     if isinstance(schema.get("pattern"), str):
         checks.append(_errors_when(is_text & ~text.rlike(schema["pattern"]), f"{where}: does not match pattern"))
 
-    checks += _object_checks(value, shape, schema, root, where, depth)
-    checks += _array_checks(value, shape, schema, root, where, depth)
+    checks += _object_checks(value, shape, schema, scope, where)
+    checks += _array_checks(value, shape, schema, scope, where)
     for option in schema.get("allOf", []):
-        checks.append(validation_errors(value, option, root, where, depth + 1))
+        checks.append(validation_errors(value, option, scope, where))
+    if "if" in schema and ("then" in schema or "else" in schema):
+        met, unmet = (validation_errors(value, schema[w], scope, where) if w in schema else F.expr(_EMPTY) for w in ("then", "else"))
+        checks.append(F.when(_fits(value, schema["if"], scope), met).otherwise(unmet))
     for word in ("anyOf", "oneOf"):
         if isinstance(schema.get(word), list):
-            fits = [
-                F.when(F.size(validation_errors(value, o, root, where, depth + 1)) == 0, 1).otherwise(0)
-                for o in schema[word]
-            ]
+            fits = [F.when(_fits(value, o, scope), 1).otherwise(0) for o in schema[word]]
             good = sum(fits[1:], fits[0])
             wrong = good == 0 if word == "anyOf" else good != 1
             checks.append(_errors_when(wrong, f"{where}: does not match {word}"))
     if "not" in schema:
         checks.append(
-            _errors_when(F.size(validation_errors(value, schema["not"], root, where, depth + 1)) == 0,
-                         f"{where}: matches a forbidden schema")
+            _errors_when(_fits(value, schema["not"], scope), f"{where}: matches a forbidden schema")
         )
     return F.concat(*checks) if checks else F.expr(_EMPTY)
 
@@ -455,69 +503,93 @@ def _equals(value: Column, shape: Column, literal: object) -> Column:
     if kind in ("object", "array"):
         return F.to_json(value) == F.lit(json.dumps(literal, separators=(",", ":"), sort_keys=kind == "object"))
     if kind == "null":
-        return _is_type(shape, "null")
-    target = {"string": "string", "boolean": "boolean"}.get(kind, "double")
-    same_kind = _is_type(shape, "number" if target == "double" else kind)
-    return same_kind & (F.try_variant_get(value, "$", target) == F.lit(float(literal) if target == "double" else literal))
+        return _is_type(value, shape, "null")
+    if kind in ("integer", "number"):
+        return _is_type(value, shape, "number") & _related(value, literal, lambda n, b: n == b)
+    return _is_type(value, shape, kind) & (F.try_variant_get(value, "$", kind) == F.lit(literal))
 
 
-def _object_checks(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
+def _object_checks(value: Column, shape: Column, schema: dict, scope: _Scope, where: str) -> list[Column]:
     checks = []
-    is_object = _is_type(shape, "object")
+    is_object = _is_type(value, shape, "object")
     members = F.try_variant_get(value, "$", "map<string,variant>")
+    names = F.map_keys(members)
     properties = schema.get("properties") or {}
     required = schema.get("required") or []
     for key in dict.fromkeys([*required, *properties]):
         message = F.array(F.lit(f"{where}: required property '{key}' not found")) if key in required else F.expr(_EMPTY)
-        child_schema = properties.get(key, {})
+        child, inside = _part(properties.get(key, {}), scope)
+        at = f"{where}.{key}"
 
         def member(v: Column, s: Column) -> Column:
-            inner = _resolve(root, child_schema)
-            plain = not isinstance(inner, dict) or not inner
-            found = validation_errors(v, inner, root, f"{where}.{key}", depth + 1) if plain else _errors(
-                v, s, inner, root, f"{where}.{key}", depth + 1
-            )
+            found = _errors(v, s, child, inside, at) if isinstance(child, dict) and child else validation_errors(v, child, inside, at)
             return F.when(v.isNull(), message).otherwise(found)
 
-        if depth >= MAX_DEPTH:
-            raise ConfigError("Schema nests too deeply or refers to itself")
         # The member is looked up once, for its presence and its own checks.
         errors = _with_shape(F.try_variant_get(value, _quote_path(key), "variant"), member)
         checks.append(F.when(is_object, errors).otherwise(F.expr(_EMPTY)))
+
+    def each(keys: Column, work: Callable[[Column], Column]) -> None:
+        checks.append(F.when(is_object, F.flatten(F.transform(keys, work))).otherwise(F.expr(_EMPTY)))
+
+    patterns = schema.get("patternProperties") or {}
+    for pattern, child in patterns.items():
+        each(F.filter(names, lambda k: k.rlike(pattern)), lambda k: validation_errors(F.element_at(members, k), child, scope, f"{where}.*"))
     extra = schema.get("additionalProperties", True)
     if extra is not True:
-        keys = F.array_except(F.map_keys(members), F.array(*[F.lit(k) for k in properties]) if properties else F.expr(_EMPTY))
+        keys = F.array_except(names, F.array(*[F.lit(k) for k in properties]) if properties else F.expr(_EMPTY))
+        for pattern in patterns:
+            keys = F.filter(keys, lambda k: ~k.rlike(pattern))
         if extra is False:
-            errors = F.transform(
-                keys, lambda k: F.concat(F.lit(f"{where}: property '"), k, F.lit("' is not allowed"))
-            )
+            each(keys, lambda k: F.array(F.concat(F.lit(f"{where}: property '"), k, F.lit("' is not allowed"))))
         else:
-            errors = F.flatten(F.transform(
-                keys, lambda k: validation_errors(F.element_at(members, k), extra, root, f"{where}.*", depth + 1)
-            ))
-        checks.append(F.when(is_object, errors).otherwise(F.expr(_EMPTY)))
+            each(keys, lambda k: validation_errors(F.element_at(members, k), extra, scope, f"{where}.*"))
+    if "propertyNames" in schema:
+        each(names, lambda k: validation_errors(k.cast("variant"), schema["propertyNames"], scope, f"{where} (property name)"))
+    for key, need in (schema.get("dependencies") or {}).items():
+        has = is_object & F.array_contains(names, F.lit(key))
+        if isinstance(need, list):
+            for other in need:
+                checks.append(_errors_when(has & ~F.array_contains(names, F.lit(other)), f"{where}: property '{key}' needs property '{other}'"))
+        else:
+            checks.append(F.when(F.coalesce(has, F.lit(False)), validation_errors(value, need, scope, where)).otherwise(F.expr(_EMPTY)))
+    checks += _size_checks(is_object, F.size(names), schema, ("minProperties", "maxProperties"), where)
     return checks
 
 
-def _array_checks(value: Column, shape: Column, schema: dict, root: dict, where: str, depth: int) -> list[Column]:
+def _size_checks(applies: Column, size: Column, schema: dict, words: tuple[str, str], where: str) -> list[Column]:
+    """A lower and an upper bound of a number of parts."""
+    return [
+        _errors_when(applies & bad, f"{where}: violates {word} {schema[word]}")
+        for word, bad in zip(words, (size < schema.get(words[0], 0), size > schema.get(words[1], 0))) if isinstance(schema.get(word), int)
+    ]
+
+
+def _array_checks(value: Column, shape: Column, schema: dict, scope: _Scope, where: str) -> list[Column]:
     checks = []
-    is_array = _is_type(shape, "array")
+    is_array = _is_type(value, shape, "array")
     elements = F.try_variant_get(value, "$", "array<variant>")
-    items = schema.get("items")
-    if isinstance(items, dict) and items:
-        errors = F.flatten(F.transform(
-            elements, lambda item: validation_errors(item, items, root, f"{where}[*]", depth + 1)
-        ))
+
+    def each(items: Column, child: object) -> None:
+        errors = F.flatten(F.transform(items, lambda item: validation_errors(item, child, scope, f"{where}[*]")))
         checks.append(F.when(is_array, errors).otherwise(F.expr(_EMPTY)))
-    elif isinstance(items, list):
+
+    items = schema.get("items", True)
+    if isinstance(items, list):
         for position, item_schema in enumerate(items):
             item = F.get(elements, F.lit(position))
-            errors = validation_errors(item, item_schema, root, f"{where}[{position}]", depth + 1)
+            errors = validation_errors(item, item_schema, scope, f"{where}[{position}]")
             checks.append(F.when(is_array & item.isNotNull(), errors).otherwise(F.expr(_EMPTY)))
-    for word, bad in (("minItems", lambda n: F.size(elements) < n), ("maxItems", lambda n: F.size(elements) > n)):
-        if isinstance(schema.get(word), int):
-            checks.append(_errors_when(is_array & bad(schema[word]), f"{where}: violates {word} {schema[word]}"))
-    return checks
+        if schema.get("additionalItems", True) is not True:
+            each(F.slice(elements, F.lit(len(items) + 1), F.greatest(F.size(elements), F.lit(0))), schema["additionalItems"])
+    elif items is not True and items != {}:
+        each(elements, items)
+    if schema.get("uniqueItems") is True:
+        texts = F.transform(elements, lambda item: F.to_json(item))
+        checks.append(_errors_when(is_array & (F.size(F.array_distinct(texts)) < F.size(texts)), f"{where}: items repeat"))
+    if "contains" in schema:
+        checks.append(_errors_when(is_array & ~F.exists(elements, lambda item: _fits(item, schema["contains"], scope)), f"{where}: no item is as required"))
+    return checks + _size_checks(is_array, F.size(elements), schema, ("minItems", "maxItems"), where)
 
 
 def item_schema(schema: dict) -> dict:
@@ -539,21 +611,29 @@ def record_errors(df: DataFrame, col: str, schema: dict, index_col: str) -> Data
 
 
 def file_errors(spark: SparkSession, path: str, schema: dict, json_lines: bool = False) -> DataFrame:
-    """``record_errors`` of JSON files; items of a root array are numbered from 0."""
-    raw = spark.read.option("singleVariantColumn", "_doc").json(path, multiLine=not json_lines)
-    if json_lines:
-        return _violations(raw.select(F.monotonically_increasing_id().alias("index"), "_doc"), schema)
-    elements = F.try_variant_get("_doc", "$", "array<variant>")
-    numbered = raw.select(F.posexplode(F.coalesce(elements, F.array("_doc"))).alias("index", "_doc"))
-    return _violations(numbered, schema)
-
-
-def _violations(parsed: DataFrame, schema: dict) -> DataFrame:
+    """``record_errors`` of JSON files, with each one's ``file``; items of a file are numbered from 0."""
+    if not json_lines:
+        raw = spark.read.option("singleVariantColumn", "_doc").json(path, multiLine=True).select("_doc", F.col("_metadata.file_path").alias("file"))
+        elements = F.try_variant_get("_doc", "$", "array<variant>")
+        return _violations(raw.select("file", F.posexplode(F.coalesce(elements, F.array("_doc"))).alias("index", "_doc")), schema)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # A line's number: its place in its block of the file, and the lines of the blocks before (one row per block).
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    numbered = lines.join(blocks.select("file", "block", "first", earlier.alias("earlier")), ["file", "block"])
+    documents = numbered.filter(F.trim("value") != "").select(
+        "file", (F.col("at") - F.col("first") + F.col("earlier")).alias("index"), F.try_parse_json("value").alias("_doc"))
+    return _violations(documents, schema)
+
+
+def _violations(documents: DataFrame, schema: dict) -> DataFrame:
     errors = F.when(F.col("_doc").isNull(), F.array(F.lit("$: not valid JSON"))).otherwise(
         validation_errors(F.col("_doc"), item_schema(schema))
     )
-    return parsed.select("index", F.posexplode(errors).alias("pos", "_error")).select(
-        "index", "pos",
+    kept = [c for c in documents.columns if c != "_doc"]
+    return documents.select(*kept, F.posexplode(errors).alias("pos", "_error")).select(
+        *kept, "pos",
         F.concat(F.lit("Item "), F.col("index").cast("string"), F.lit(": "), F.col("_error")).alias("message"),
     )
 
@@ -561,7 +641,7 @@ def _violations(parsed: DataFrame, schema: dict) -> DataFrame:
 def validate_records(
     df: DataFrame, col: str, schema: dict, index_col: str, max_errors: int = MAX_ERRORS
 ) -> DataFrame:
-    """The first ``max_errors`` violations in record order (a reporting limit)."""
+    """The first ``max_errors`` violations in record order (a reporting limit); ``record_errors`` has them all."""
     limit = max_errors if max_errors > 0 else MAX_ERRORS
     return record_errors(df, col, schema, index_col).orderBy("index", "pos").limit(limit)
 
@@ -569,12 +649,7 @@ def validate_records(
 def validation_summary(
     df: DataFrame, col: str, schema: dict, index_col: str, max_errors: int = MAX_ERRORS
 ) -> dict:
-    """``valid``, ``count`` of reported errors, ``truncated`` when records were left unreported."""
+    """``valid``, ``count`` of reported errors, ``truncated`` when there are more."""
     limit = max_errors if max_errors > 0 else MAX_ERRORS
-    first = validate_records(df, col, schema, index_col, limit).agg(
-        F.count(F.lit(1)).alias("n"), F.max("index").alias("last")
-    ).first()
-    later = False
-    if first["n"] >= limit:
-        later = not df.filter(F.col(index_col) > F.lit(first["last"])).isEmpty()
-    return {"valid": first["n"] == 0, "count": first["n"], "truncated": later}
+    found = validate_records(df, col, schema, index_col, limit + 1).count()
+    return {"valid": found == 0, "count": min(found, limit), "truncated": found > limit}

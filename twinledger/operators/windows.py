@@ -197,34 +197,35 @@ def due_automations(automations: DataFrame, now, limit: int = 100) -> DataFrame:
 
 # --- tagging rows with windows -----------------------------------------------
 
-WINDOW_BROADCAST_ROWS = 100_000
-
-
 def tag_windows(
     df: DataFrame, ts_col: str, windows: DataFrame, id_col: str = "window_id",
-    start_col: str = "start", end_col: str = "end", salt_buckets: int = 64,
+    start_col: str = "start", end_col: str = "end", salt_buckets: int = 16,
 ) -> DataFrame:
     """Each record once per window that contains it, with the window's id.
 
-    Windows are cut into days, so the match is an equi join on the day.  The
-    window table is broadcast while a bounded count shows it is small; beyond
-    that the join shuffles on day and salt, so a busy day is spread out.
+    A window of width w covers two cells at most of the smallest power of two
+    microseconds that isn't less than w.  Windows are listed under those cells
+    and records under their cell of each width in use, so the match is an equi
+    join that offers a record only windows of neighbouring times, whatever
+    their length.  The widths in use are few (64 at most).  Both sides carry a
+    salt, so that a busy cell is spread over tasks; a window has ``salt_buckets``
+    rows for it.
     """
-    days = F.sequence(F.to_date(start_col), F.to_date(F.col(end_col) - F.expr("interval 1 microsecond")))
-    by_day = windows.filter(F.col(start_col) < F.col(end_col)).select(
-        F.col(id_col), F.col(start_col).alias("_start"), F.col(end_col).alias("_end"),
-        F.explode(days).alias("_day"),
-    )
-    inside = (F.col(ts_col) >= F.col("_start")) & (F.col(ts_col) < F.col("_end"))
-    rows = df.withColumn("_day", F.to_date(ts_col))
-    small = by_day.limit(WINDOW_BROADCAST_ROWS + 1).count() <= WINDOW_BROADCAST_ROWS
-    if small:
-        joined = rows.join(F.broadcast(by_day), "_day")
-    else:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets))
-        spread = by_day.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        joined = rows.withColumn("_salt", salt.cast("int")).join(spread, ["_day", "_salt"]).drop("_salt")
-    return joined.filter(inside).drop("_day", "_start", "_end")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    level = F.ceil(F.log2(F.greatest(F.lit(1), F.col("_to") - F.col("_from")).cast("double"))).cast("int")
+    cell = lambda at, bits: F.expr(f"cast(floor(({at}) / power(2D, {bits})) as bigint)")
+    ranged = windows.filter(F.col(start_col) < F.col(end_col)).select(
+        F.col(id_col), micros(start_col).alias("_from"), micros(end_col).alias("_to")).withColumn("_level", level)
+    cells = ranged.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("_from", "_level"), cell("_to - 1", "_level")))))
+    spread = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    levels = sorted(r["_level"] for r in ranged.select("_level").distinct().collect())
+    if not levels:
+        return df.select("*", F.lit(None).cast(windows.schema[id_col].dataType).alias(id_col)).filter(F.lit(False))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets)).cast("int")
+    rows = df.withColumns({"_at": micros(ts_col), "_salt": salt}).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    rows = rows.withColumn("_cell", cell("_at", "_level"))
+    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    return rows.join(spread, ["_level", "_cell", "_salt"]).filter(inside).select(*df.columns, id_col)
 
 
 # --- adaptive slicing --------------------------------------------------------
@@ -241,6 +242,9 @@ class Slices:
     error: str | None = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
+        """The slices as rows; a search that ended early is an error, never a partial frame."""
+        if self.error:
+            raise ValueError(self.error)
         schema = T.StructType([
             T.StructField("sequenceNum", T.IntegerType()), T.StructField("start", T.TimestampType()),
             T.StructField("end", T.TimestampType()), T.StructField("recordCount", T.LongType()),
@@ -262,8 +266,8 @@ def _moment(millis: int) -> datetime:
 
 
 def _cut(start: int, end: int) -> int | None:
-    middle = start + (end - start) // 2
-    return middle if end - start >= 2 and start < middle < end else None
+    """The middle of a range of two milliseconds or more."""
+    return (start + end) // 2 if end - start > 1 else None
 
 
 def _leaves(start: int, end: int, depth: int) -> list[tuple[int, int]]:
@@ -296,12 +300,15 @@ def _count_leaves(df: DataFrame, ts_col: str, leaves: list[tuple[int, int]]) ->
 
 def adaptive_slices(
     df: DataFrame, ts_col: str, start: datetime, end: datetime, page_size: int,
-    max_pages: int = MAX_PAGES, max_windows: int = MAX_WINDOWS,
+    max_pages: int = MAX_PAGES, max_windows: int | None = None,
 ) -> Slices:
     """Halve ``[start, end)`` until every slice holds at most ``max_pages`` pages.
 
     One pass counts many levels of halving at once and later passes read only
-    the ranges still too full; the driver sees at most a few hundred counts.
+    the ranges still too full; the driver sees a count per slice.  There is no
+    limit on slices unless ``max_windows`` sets one (a source's own limit is
+    ``MAX_WINDOWS``); where it or the smallest slice is reached, ``error`` says
+    so and ``frame`` raises.
     """
     if not start < end:
         return Slices([], error="Window start must be before window end.")
@@ -330,7 +337,7 @@ def adaptive_slices(
             if level == 0:
                 opened.append(window)
                 return
-            if total + 2 > max_windows:
+            if max_windows is not None and total + 2 > max_windows:
                 error = f"Window split limit ({max_windows}) would be exceeded for {ts_col}. Choose a smaller time period."
                 return
             total += 2

@@ -27,7 +27,7 @@ from twinledger.model import (
 )
 from twinledger.operators import compare as C
 from twinledger.operators import rules as R
-from twinledger.operators.jsonschema import MAX_ERRORS, file_errors
+from twinledger.operators.jsonschema import file_errors
 from twinledger.operators.records import extract_data
 from twinledger.operators.skew import fits_broadcast
 from twinledger.sources.files import file_type, run_type, scan_csv, scan_json
@@ -89,10 +89,13 @@ def _label(side: SideConfig, fallback: str) -> str:
 def advisory_errors(
     spark: SparkSession, path: str, side: SideConfig, kind: str, label: str, json_lines: bool = False
 ) -> DataFrame | None:
-    """Schema violations of a JSON side, ``(message)``; they are reported, the run goes on."""
+    """All schema violations of a JSON side, ``(message)``; they are reported, the run goes on.
+
+    A report that shows the first few takes ``limit(jsonschema.MAX_ERRORS)`` of them.
+    """
     if side.schema is None or kind != "JSON":
         return None
-    found = file_errors(spark, path, side.schema, json_lines).orderBy("index", "pos").limit(MAX_ERRORS)
+    found = file_errors(spark, path, side.schema, json_lines).orderBy("file", "index", "pos")
     return found.select(F.concat(F.lit(f"{label}: "), F.col("message")).alias("message"))
 
 
@@ -181,12 +184,11 @@ def reconcile_by_mapping(
     """
     if not members:
         raise ConfigError(f"No mapping members found for mapping {mapping_id}")
-    found = [] if issues is None else issues.select("issue").distinct().orderBy("issue").limit(20).collect()
-    if found:
-        raise ConfigError(
-            f"Mapping {mapping_id} is not runnable until every system member references a saved schema. "
-            + " ".join(row["issue"] for row in found)
-        )
+    if issues is not None:
+        # One mapping has a few members, each with two issues at most.
+        found = sorted(row["issue"] for row in issues.select("issue").distinct().collect())
+        if found:
+            raise ConfigError(f"Mapping {mapping_id} is not runnable until every system member references a saved schema. " + " ".join(found))
     warnings: list[str] = []
     sides = [
         mapping_side(members, system, mapping_id, warnings, label=label, file_type=kind)

@@ -45,20 +45,31 @@ def _newest_only(batch: DataFrame) -> DataFrame:
     return batch.join(F.broadcast(newest), "side").filter(F.col("file").eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
-def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, label2: str) -> None:
+def _pending(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """The batch with what earlier polls left waiting for the other side."""
+    spark = batch.sparkSession
+    if batch_id == 0:
+        return batch
+    return batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/pending/batch_id={batch_id - 1}"))
+
+
+def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, label2: str, latest_only: bool = False) -> None:
     """Compare the two sides of one micro-batch and write it under its batch id.
 
-    The target is named by the batch and overwritten, so a replay after a
-    failure writes the same result again.
+    A side that comes alone is not lost: its rows wait in ``pending`` until
+    the other one arrives, and are compared then.  All targets are named by
+    the batch and overwritten, so a replay after a failure reads the pending
+    rows of the batch before and writes the same result again.
     """
-    cached = batch.persist()
+    rows = _pending(batch, batch_id, out)
+    cached = (_newest_only(rows) if latest_only else rows).persist()
+    ids = None
     try:
         sides = []
         for number in (1, 2):
-            rows = cached.filter(F.col("side") == number)
-            sides.append(rows.select(KEY, F.struct(F.col("payload")).alias("data")))
-        ids = presence(sides[0].select(KEY), sides[1].select(KEY))
-        numbers = diff_summary(ids)
+            own = cached.filter(F.col("side") == number)
+            sides.append(own.select(KEY, F.struct(F.col("payload")).alias("data")))
+        ids = presence(sides[0].select(KEY), sides[1].select(KEY)).persist()
         found = cached.agg(
             F.count_if(F.col("side") == 1).alias("file1_count"), F.count_if(F.col("side") == 2).alias("file2_count")
         ).first()
@@ -68,7 +79,9 @@ def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, labe
                 "data", F.get_json_object("data", "$.payload")
             )
             diffs.write.mode("overwrite").json(f"{out}/differences/batch_id={batch_id}")
-        row = numbers.select(
+        waiting = cached.filter(F.lit(not has_data))
+        waiting.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
+        row = diff_summary(ids).select(
             F.lit(STATUS_SUCCESS if has_data else STATUS_NO_DATA).alias("statusEnumId"),
             F.lit(found["file1_count"]).cast("bigint").alias("file1_count"),
             F.lit(found["file2_count"]).cast("bigint").alias("file2_count"),
@@ -78,6 +91,8 @@ def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, labe
         row.coalesce(1).write.mode("overwrite").json(f"{out}/runs/batch_id={batch_id}")
     finally:
         cached.unpersist()
+        if ids is not None:
+            ids.unpersist()
 
 
 def stream_poll_reconcile(
@@ -88,14 +103,14 @@ def stream_poll_reconcile(
     """Reconcile whatever both folders received since the last poll.
 
     Without ``interval`` everything available is taken once; with it the
-    folders are polled.  A poll without files on a side records no data.
+    folders are polled.  A poll without files on a side records no data and
+    keeps the other side's rows for the next one.
     """
     label1, label2 = side1.label or "File 1", side2.label or "File 2"
     both = _side_rows(stream1, side1, kind1, 1).unionByName(_side_rows(stream2, side2, kind2, 2))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = _newest_only(batch) if latest_only else batch
-        reconcile_batch(rows, batch_id, out, label1, label2)
+        reconcile_batch(batch, batch_id, out, label1, label2, latest_only)
 
     writer = both.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -106,8 +121,24 @@ WINDOW_KEYS = ["automationId", "scheduledDate", "childWindowStart", "childWindow
 
 
 def stream_idempotent_windows(
-    stream: DataFrame, event_time: str = "createdDate", delay: str = "1 day", keys: list[str] | None = None
-) -> DataFrame:
-    """Each automation window once, however often it is submitted within ``delay``."""
-    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys or WINDOW_KEYS)
+    stream: DataFrame, accepted: str, checkpoint: str, keys: list[str] | None = None, interval: str | None = None
+) -> StreamingQuery:
+    """Write each automation window to the ``accepted`` table once, however often and late it is submitted.
+
+    The table itself is the memory: a batch adds the windows that no other
+    batch has added, so nothing is dropped for being late or let in again.
+    A replayed batch overwrites its own rows.
+    """
+    keys = keys or WINDOW_KEYS
+    spark, schema = stream.sparkSession, stream.schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{accepted}/batch_id=-1")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(accepted)
+        earlier = known.filter(F.col("batch_id") != batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        new = batch.dropDuplicates(keys).join(earlier, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{accepted}/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
