@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from twinledger.checks import tables as t
 from twinledger.checks.registry import query
 from twinledger.operators import windows as W
-from twinledger.plans.windowed import windowed_diffs, windowed_reconcile, window_presence
+from twinledger.checks.comparing import MISSING_SQL, RULE_ROWS_SQL, RULESET_MISSING_SQL
+from twinledger.plans.windowed import windowed_diffs, windowed_reconcile, windowed_ruleset, window_presence
 
 ZONES = ["UTC", "America/Los_Angeles", "Asia/Kolkata", "Europe/Berlin", "Not/AZone"]
 KINDS = ["AUT_WIN_PREV_DAY", "AUT_WIN_PREV_WEEK", "AUT_WIN_PREV_MONTH", "AUT_WIN_LAST_DAYS", "AUT_WIN_LAST_WEEKS",
@@ -213,3 +214,15 @@ FROM p WHERE (n_left = 0 OR n_right = 0) AND window_id IN (SELECT window_id FROM
 def windowed_missing(spark, sf_dir):
     a, b = _dated_sides(spark, sf_dir)
     return windowed_diffs(window_presence(a, b, _order_windows(spark, sf_dir), "placed", "placed"))
+
+
+@query("windowed_ruleset", f"""{t.SIDES_SQL}, {_ORDER_WINDOWS_SQL},
+aw AS (SELECT * FROM a JOIN w ON placed >= start AND placed < "end"),
+bw AS (SELECT * FROM b JOIN w ON placed >= start AND placed < "end" WHERE month(placed) <> 7),
+x AS (WITH a AS (SELECT * REPLACE (window_id || chr(1) || compare_id AS compare_id) FROM aw WHERE window_id IN (SELECT window_id FROM bw)),
+  b AS (SELECT * REPLACE (window_id || chr(1) || compare_id AS compare_id) FROM bw WHERE window_id IN (SELECT window_id FROM aw)),
+  missing AS ({MISSING_SQL}) {RULESET_MISSING_SQL} UNION ALL {RULE_ROWS_SQL})
+SELECT CAST(split_part("primaryId", chr(1), 1) AS INTEGER) AS window_id, * REPLACE (split_part("primaryId", chr(1), 2) AS "primaryId") FROM x""")
+def windowed_rules(spark, sf_dir):
+    a, b = _dated_sides(spark, sf_dir)
+    return windowed_ruleset(a, b, _order_windows(spark, sf_dir), "placed", "placed", t.scope(t.STATUS_RULE, t.PRICE_RULE))

@@ -243,10 +243,13 @@ def _duplicate_warnings(ids: DataFrame, scope: CompareScope, label1: str, label2
 
 def base_diff(
     data1: DataFrame, data2: DataFrame, scope: CompareScope,
-    allow_duplicates: bool = False, build_pairs: bool = True,
+    allow_duplicates: bool = False, build_pairs: bool = True, picked: bool | None = None,
 ) -> RunResult:
     """Missing rows of both sides, matched pairs and their counts.
 
+    ``picked`` settles how the missing records are fetched (True: by a
+    broadcast of their ids); without it the ids' counted size decides.
+
     Ids must be unique, or are collapsed to one record each.  One narrow pass
     over the ids proves uniqueness, gives the totals and tells how large the
     set of missing ids is, which picks the way their records are fetched.
@@ -264,7 +267,8 @@ def base_diff(
         settled = C.settle(ids)
     finally:
         ids.unpersist()
-    missing = C.missing_on_both_sides(data1, data2, settled, label1, label2, small=_small(numbers))
+    small = _small(numbers) if picked is None else picked
+    missing = C.missing_on_both_sides(data1, data2, settled, label1, label2, small=small)
     if repeated:
         # Only records of missing ids are reported, so only those collapse:
         # per id the record whose JSON text sorts first.
@@ -281,7 +285,7 @@ def base_diff(
         "differenceCount": numbers["missing_total"],
         "matchedPairCount": numbers["matched"],
     }
-    return RunResult(missing, summary, warnings, pairs=pairs, small=_small(numbers))
+    return RunResult(missing, summary, warnings, pairs=pairs, small=small)
 
 
 def ruleset_diffs(
@@ -318,9 +322,15 @@ def ruleset_diffs(
     return R.diff_rows(facts, entries), compiled, warnings
 
 
-def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, count: bool = True) -> RunResult:
+def reconcile_ruleset(
+    data1: DataFrame, data2: DataFrame, scope: CompareScope, count: bool = True, picked: bool | None = None
+) -> RunResult:
     """Base differences plus rule differences in the thirteen-column layout.
 
+    ``picked`` settles the way, which changes no row: True picks the missing
+    records by a broadcast of their ids, False takes all rows from one full
+    outer join.  Without it the counted size of the missing ids decides.
+
     Without active rules duplicates collapse and no pairs are built.  Rules
     that fail to compile are dropped with a warning; base differences stay.
     """
@@ -332,7 +342,7 @@ def reconcile_ruleset(data1: DataFrame, data2: DataFrame, scope: CompareScope, c
                        ruleDifferenceCount=0, ruleCount=0, firedRuleCount=0)
         return RunResult(diffs, summary, base.warnings)
 
-    base = base_diff(data1, data2, scope)
+    base = base_diff(data1, data2, scope, picked=picked)
     if base.small:
         # Few ids are missing: their records are picked by a broadcast, and
         # only the fields the rules read go through the pair join.

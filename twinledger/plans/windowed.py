@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.model import MISSING_IN_1, MISSING_IN_2, STATUS_NO_DATA, STATUS_SUCCESS
+from twinledger.model import CompareScope, MISSING_IN_1, MISSING_IN_2, STATUS_NO_DATA, STATUS_SUCCESS
 from twinledger.operators.compare import KEY, presence
 from twinledger.operators.windows import tag_windows
+from twinledger.plans.reconcile import reconcile_ruleset
+
+SEPARATOR = "\u0001"
+"""Stands between a window and an id while both are one key."""
 
 
 def window_presence(
@@ -67,3 +71,26 @@ def windowed_reconcile(
         when_data("only_in_file2"),
         when_data("matched"),
     )
+
+
+def windowed_ruleset(
+    a: DataFrame, b: DataFrame, windows: DataFrame, ts_a: str, ts_b: str, scope: CompareScope, id_col: str = "window_id"
+) -> DataFrame:
+    """The whole rule-set compare of every window: its id beside the thirteen columns.
+
+    ``a`` and ``b`` are ``(compare_id, data)`` with a time.  Window and id are
+    one key for the compare, so all windows take one run of it; windows with
+    an empty side have no data and give no rows.  Ids must be unique within a
+    window.
+    """
+    left, right = tag_windows(a, ts_a, windows, id_col), tag_windows(b, ts_b, windows, id_col)
+    both = left.select(id_col).distinct().join(right.select(id_col).distinct(), id_col)  # one row per window
+
+    def keyed(side: DataFrame) -> DataFrame:
+        key = F.concat(F.col(id_col).cast("string"), F.lit(SEPARATOR), F.col(KEY))
+        return side.join(both, id_col, "left_semi").select(key.alias(KEY), "data")
+
+    diffs = reconcile_ruleset(keyed(left), keyed(right), scope, count=False).diffs
+    window = F.substring_index("primaryId", SEPARATOR, 1).cast(windows.schema[id_col].dataType)
+    own = F.substr("primaryId", F.instr("primaryId", SEPARATOR) + 1)
+    return diffs.select(window.alias(id_col), *[own.alias(c) if c == "primaryId" else F.col(c) for c in diffs.columns])
