@@ -8,10 +8,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from twinledger.checks import tables as t
-from twinledger.checks.comparing import MISSING_SQL, missing_diff_rows, ONLY_A, ONLY_B, to_ruleset_diff
+from twinledger.checks.comparing import (
+    MISSING_SQL, ONLY_A, ONLY_B, RULE_ROWS_SQL, RULESET_MISSING_SQL, missing_diff_rows, to_ruleset_diff,
+)
 from twinledger.checks.registry import query
 from twinledger.functions.ids import parse_id_spec
-from twinledger.model import SideConfig
+from twinledger.model import RULESET_DIFF_COLUMNS, SideConfig
 from twinledger.operators import records, sinks
 from twinledger.session import scratch_path
 from twinledger.sources import files, results
@@ -204,6 +206,10 @@ def write_diff_csv(spark, sf_dir):
 SELECT 'MISSING_IN_FILE_2' AS type, a.compare_id AS id, 'Web' AS "presentIn", {t.JSON_A} AS data {ONLY_A}
 UNION ALL SELECT 'MISSING_IN_FILE_1', b.compare_id, 'Back Office', {t.JSON_B} {ONLY_B}""")
 def stream_poll_reconcile(spark, sf_dir):
+    return _polled(spark, sf_dir).select("type", "id", "presentIn", "data")
+
+
+def _polled(spark, sf_dir, scope=None):
     """Three polls: half of one side, its other half, then the second side; nothing may be lost on the way."""
     folders = [scratch_path(spark, "drop1"), scratch_path(spark, "drop2")]
     schema = "id string, custkey bigint, status string, price string"
@@ -216,9 +222,15 @@ def stream_poll_reconcile(spark, sf_dir):
         streams = [polling.drop_stream(spark, f, "json", schema) for f in folders]
         polling.stream_poll_reconcile(
             *streams, SideConfig("id|SHOPIFY_GID_TAIL", "CSV", label="Web"), SideConfig("id", "CSV", label="Back Office"),
-            out, checkpoint, "CSV", "CSV",
+            out, checkpoint, "CSV", "CSV", scope=scope,
         ).awaitTermination()
-    return spark.read.json(f"{out}/differences").select("type", "id", "presentIn", "data")
+    return spark.read.json(f"{out}/differences")
+
+
+@query("stream_poll_ruleset", f"""{t.SIDES_SQL}, missing AS ({MISSING_SQL})
+{RULESET_MISSING_SQL} UNION ALL {RULE_ROWS_SQL}""")
+def stream_poll_ruleset(spark, sf_dir):
+    return _polled(spark, sf_dir, t.scope(t.STATUS_RULE, t.PRICE_RULE)).select(*RULESET_DIFF_COLUMNS)
 
 
 @query("stream_idempotent_windows", f"""WITH {t.EXECUTIONS_SQL}

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from twinledger.functions.ids import parse_id_spec
-from twinledger.model import STATUS_NO_DATA, STATUS_SUCCESS, SideConfig
+from twinledger.model import STATUS_NO_DATA, STATUS_SUCCESS, CompareScope, SideConfig
 from twinledger.operators.compare import KEY, diff_summary, missing_on_both_sides, presence
 from twinledger.operators.records import extract_data
+from twinledger.plans.reconcile import reconcile_ruleset
 
 
 def drop_stream(
@@ -30,13 +31,14 @@ def drop_stream(
     )
 
 
-def _side_rows(stream: DataFrame, side: SideConfig, kind: str, number: int) -> DataFrame:
-    """Tagged ``(side, compare_id, payload, file)`` rows of one side."""
+def _side_rows(stream: DataFrame, side: SideConfig, kind: str, number: int) -> tuple[DataFrame, T.DataType]:
+    """Tagged ``(side, compare_id, payload, file)`` rows of one side, and what the payload is."""
     spec = parse_id_spec(side.id_expression, kind, side.id_normalizer)
     rows = extract_data(stream, spec, side.label, keep=("_file",))
-    return rows.select(
+    tagged = rows.select(
         F.lit(number).alias("side"), KEY, F.to_json("data").alias("payload"), F.col("_file").alias("file")
     )
+    return tagged, rows.schema["data"].dataType
 
 
 def _newest_only(batch: DataFrame) -> DataFrame:
@@ -53,9 +55,15 @@ def _pending(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
     return batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/pending/batch_id={batch_id - 1}"))
 
 
-def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, label2: str, latest_only: bool = False) -> None:
+def reconcile_batch(
+    batch: DataFrame, batch_id: int, out: str, label1: str, label2: str, latest_only: bool = False,
+    scope: CompareScope | None = None, payloads: tuple[T.DataType, T.DataType] | None = None,
+) -> None:
     """Compare the two sides of one micro-batch and write it under its batch id.
 
+    With a ``scope`` its whole rule set is run, on the parsed ``payloads``, and
+    rows have the thirteen-column layout.
+
     A side that comes alone is not lost: its rows wait in ``pending`` until
     the other one arrives, and are compared then.  All targets are named by
     the batch and overwritten, so a replay after a failure reads the pending
@@ -75,9 +83,13 @@ def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, labe
         ).first()
         has_data = found["file1_count"] > 0 and found["file2_count"] > 0
         if has_data:
-            diffs = missing_on_both_sides(sides[0], sides[1], ids, label1, label2).withColumn(
-                "data", F.get_json_object("data", "$.payload")
-            )
+            if scope is not None:
+                full = [own.select(KEY, F.from_json("data.payload", kind).alias("data")) for own, kind in zip(sides, payloads)]
+                diffs = reconcile_ruleset(full[0], full[1], scope, count=False).diffs
+            else:
+                diffs = missing_on_both_sides(sides[0], sides[1], ids, label1, label2).withColumn(
+                    "data", F.get_json_object("data", "$.payload")
+                )
             diffs.write.mode("overwrite").json(f"{out}/differences/batch_id={batch_id}")
         waiting = cached.filter(F.lit(not has_data))
         waiting.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
@@ -98,19 +110,20 @@ def reconcile_batch(batch: DataFrame, batch_id: int, out: str, label1: str, labe
 def stream_poll_reconcile(
     stream1: DataFrame, stream2: DataFrame, side1: SideConfig, side2: SideConfig, out: str,
     checkpoint: str, kind1: str = "JSON", kind2: str = "JSON", latest_only: bool = False,
-    interval: str | None = None,
+    interval: str | None = None, scope: CompareScope | None = None,
 ) -> StreamingQuery:
-    """Reconcile whatever both folders received since the last poll.
+    """Reconcile whatever both folders received since the last poll, by the rule set of ``scope`` if one is given.
 
     Without ``interval`` everything available is taken once; with it the
     folders are polled.  A poll without files on a side records no data and
     keeps the other side's rows for the next one.
     """
     label1, label2 = side1.label or "File 1", side2.label or "File 2"
-    both = _side_rows(stream1, side1, kind1, 1).unionByName(_side_rows(stream2, side2, kind2, 2))
+    (rows1, payload1), (rows2, payload2) = _side_rows(stream1, side1, kind1, 1), _side_rows(stream2, side2, kind2, 2)
+    both = rows1.unionByName(rows2)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        reconcile_batch(batch, batch_id, out, label1, label2, latest_only)
+        reconcile_batch(batch, batch_id, out, label1, label2, latest_only, scope, (payload1, payload2))
 
     writer = both.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
