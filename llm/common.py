@@ -21,15 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""Spark's setting by which an execution's shuffle files go when it ends."""
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Nothing refers to the shuffles below the table any more, so their files
+    are given up at once; the session's own setting comes back afterwards.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    # Nothing refers to the shuffles below the table any more; let Spark's cleaner find that out.
-    spark.sparkContext._jvm.System.gc()
-    return kept
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
