@@ -46,6 +46,9 @@ PIECE_BYTES = 1 << 17
 NO_ID = -(1 << 63)
 """A null id counts as smaller than any other."""
 
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+"""48 bits name a rank; two strings under one name are told apart by their bytes."""
+
 ODD = np.random.default_rng(11).integers(1, 1 << 62, 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,7 +92,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, seed: int) -> Itera
         good = whole[start]
         start, many = start[good], many[good]
         at = anchor[start]
-        yield row[start].astype(np.int64), start + begin, many, at + begin, rank[at].view(np.int64)
+        yield row[start].astype(np.int64), start + begin, many, at + begin, (rank[at] & KEPT).view(np.int64)
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,8 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_rows: int) -> Iterator[pa.Rec
             pa.array(np.concatenate((np.zeros(int(keep.sum()), np.int64), total[hot])))], names=["rank", "text_key", "n"])
 
 
-RUN = StructType([StructField(c, LongType()) for c in ("rank", "doc", "text_key", "first", "many", "left")]).add("bytes", "binary")
+RUN = StructType([StructField(c, LongType()) for c in ("rank", "doc", "text_key", "place")]).add("bytes", "binary")
+"""A run; ``place`` has its first string's place in the text, their number and the anchor's distance, 32, 16 and 16 bits."""
 WHOLE = -1
 """``many`` of a text that an earlier document has as a whole."""
 
@@ -190,7 +194,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, seed: int, hot
             cuts = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
             held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays([
-                pa.array(rank), pa.array(ids[row]), pa.array(keys[row]), pa.array(first - ends[row]), pa.array(many), pa.array(anchor - first), held,
+                pa.array(rank), pa.array(ids[row]), pa.array(keys[row]), pa.array((first - ends[row]) << 32 | many << 16 | (anchor - first)), held,
             ], names=RUN.names)
 
 
@@ -200,8 +204,9 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
     base = np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(pow(int(base), length, 1 << 64))
     for part in _grouped(batches, 0, CHUNK):
-        rank, doc, key, first, many, left = (part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        held = part.column(6)
+        rank, doc, key, place = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        first, many, left = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+        held = part.column(4)
         cuts = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
         flat = np.frombuffer(held.buffers()[2], np.uint8)
         size = np.diff(cuts)
@@ -282,8 +287,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows that repeat an id aren't smaller than each other.  Every row of
     ``docs`` gives one row, an empty table none; columns may have any names.
     """
-    if length < 2:
-        raise ValueError("length must be 2 at least")
+    if not 2 <= length < 1 << 16:
+        raise ValueError("length must be from 2 to 65,535")
     seed = min(SEED, max(1, length // 3)) if seed is None else seed
     keep = [doc_id] if keep is None else keep
     key = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
