@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,9 @@ HEADLINE = [
     "redact_secrets", "collapse_execution_history", "run_manifest", "write_diffs", "bom_cycle_split",
 ]
 
+SHORT_S = 4
+"""Queries below this run three times, and the median counts."""
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
@@ -35,11 +39,19 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1_000_000).selectExpr("sum(id)").collect()  # start the executor threads
     seconds: dict[str, float] = {}
-    for name in HEADLINE:
+
+    def timed(name: str) -> float:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
         spark.catalog.clearCache()
+        return time.perf_counter() - started
+
+    timed(HEADLINE[0])  # compiles and loads what the first query would else be charged for
+    for name in HEADLINE:
+        runs = [timed(name)]
+        if runs[0] < SHORT_S:
+            runs += [timed(name), timed(name)]
+        seconds[name] = round(median(runs), 3)
     print(json.dumps({
         "metric": "total seconds over headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf"),
