@@ -289,7 +289,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     mine, count = fresh(docs, "_id"), fresh(docs, "_rows")
     stay = prints.where(F.col("doc_id").isNotNull()).join(known, "fp").where(F.col("doc_id") == F.col("component_id"))
     stay = stay.groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias(count))
-    kept = docs.join(written(stay, "simhash-stay"), docs[doc_id] == F.col(mine))
+    # The kept ids grow with the documents, so the way is the same at every size: both sides are exchanged.
+    kept = docs.join(written(stay, "simhash-stay").hint("merge"), docs[doc_id] == F.col(mine))
     single = kept.where(F.col(count) == 1).select(*[kept[c] for c in docs.columns])
     repeated = _one_each(kept.where(F.col(count) > 1), docs.columns, mine, text)
     nameless = docs.where(docs[doc_id].isNull())
