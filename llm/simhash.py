@@ -17,7 +17,7 @@ link is lost and no tree grows with the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -285,6 +285,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     All columns stay as they are.
     """
     prints, known = _grouped(docs, doc_id, text, words, radius, TREE_SIZE)
+    return kept_of_groups(docs, doc_id, text, prints, known, lambda rows, column: fingerprints_beside(rows, text, words, column))
+
+
+def kept_of_groups(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, known: DataFrame, beside: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """One row of ``docs`` per group.
+
+    ``prints`` has ``doc_id, fp`` of each row, ``known`` the ``fp, root,
+    component_id`` of each ``fp``; ``beside`` adds the ``fp`` as a column.
+    """
     known = written(known, "simhash-groups")
     mine, count = fresh(docs, "_id"), fresh(docs, "_rows")
     stay = prints.where(F.col("doc_id").isNotNull()).join(known, "fp").where(F.col("doc_id") == F.col("component_id"))
@@ -295,7 +304,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     repeated = _one_each(kept.where(F.col(count) > 1), docs.columns, mine, text)
     nameless = docs.where(docs[doc_id].isNull())
     fp, root = fresh(docs, "_fp"), fresh(docs, "_root")
-    nameless = fingerprints_beside(nameless, text, words, fp)
+    nameless = beside(nameless, fp)
     only = known.where(F.col("component_id").isNull()).select(F.col("fp").alias(f"{fp}_"), F.col("root").alias(root))
     nameless = nameless.join(only, F.col(fp) == F.col(f"{fp}_"))
     return single.unionByName(repeated).unionByName(_one_each(nameless, docs.columns, root, text))
