@@ -8,6 +8,8 @@ rule's order.  All work is on the row itself: no shuffle, no join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,7 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
 ]
 
+BLANK = r"\n[\t-\r ]*\n"
 END = r"([.!?;:])[\t-\r ]+"
 MARK = "\u0001"
 NOT_WORD = "[^A-Za-z0-9]+"
@@ -80,7 +83,8 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     """All columns of ``docs`` with the known sentences and the licences found, both as arrays.
 
     Identifiers stand in the order of the text; a sentence over several lines
-    counts whole and its lines for themselves.  Licences are distinct and
+    counts whole and its lines for themselves; blank lines end a sentence too,
+    and a sentence that has a cut within is found over both parts.  Licences are distinct and
     sorted.  Null and empty texts have none.  Repeated rows stay repeated.
     """
     sentences = SENTENCES if sentences is None else sentences
@@ -94,19 +98,46 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
             if name not in sentences:
                 raise ValueError(f"the rule for {licence} needs the unknown sentence {name}")
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    longest = max(map(len, sentences.values())) * 2
+    # Sentences that the cuts go through, by their beginnings: {first part: {rest: name}}
+    cut: dict[str, dict[str, str]] = {}
+    for name, sentence in sentences.items():
+        pieces = re.split(END.replace("(", "(?<=", 1), sentence.strip())
+        if len(pieces) > 2:
+            raise ValueError(f"{name} has more than one cut")
+        if len(pieces) == 2:
+            cut.setdefault(_plain(pieces[0]), {})[_plain(pieces[1])] = name
     shortest = min(map(len, known))
+    none = F.array().cast("array<string>")
 
     def named(part: Column) -> Column:
-        # the length, a cheap test, comes before the expression; twice the length leaves room for other spacing
-        return F.when(F.length(part).between(shortest, longest), F.element_at(table, normalised(part)))
+        # the length, a cheap test, comes before the expression; how long a part is says nothing, as spacing is free
+        return F.when(F.length(part) >= shortest, F.element_at(table, normalised(part)))
+
+    def lines(part: Column) -> Column:
+        return F.when(F.contains(part, F.lit("\n")), F.transform(F.split(part, "\n"), named)).otherwise(none)
 
     def found(part: Column) -> Column:
-        lines = F.when(F.contains(part, F.lit("\n")), F.transform(F.split(part, "\n"), named)).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(named(part)), lines)
+        whole = F.concat(F.array(named(part)), lines(part))
+        paragraphs = F.flatten(F.transform(F.split(part, BLANK), lambda p: F.concat(F.array(named(p)), lines(p))))
+        return F.when(part.rlike(BLANK) & named(part).isNull(), paragraphs).otherwise(whole)
+
+    def over(part: Column, after: Column) -> Column:
+        """The sentence that ends a part's last line or paragraph and goes on in the next part's first."""
+        def joined(start: str, rests: dict[str, str]) -> Column:
+            rest = F.create_map(*[F.lit(x) for pair in rests.items() for x in pair])
+            ahead = [after, F.element_at(F.split(after, BLANK), 1), F.element_at(F.split(after, "\n"), 1)]
+            behind = [part, F.element_at(F.split(part, BLANK), -1), F.element_at(F.split(part, "\n"), -1)]
+            starts = F.array_contains(F.array(*[normalised(x) for x in behind]), F.lit(start))
+            return F.when(starts, F.coalesce(*[F.element_at(rest, normalised(x)) for x in ahead]))
+
+        tail = normalised(F.substring(part, -2000, 2000))
+        return F.coalesce(*[F.when(tail.endswith(F.lit(start)), joined(start, rests)) for start, rests in cut.items()]) if cut else F.lit(None).cast("string")
 
     parts = F.split(F.regexp_replace(F.coalesce(docs[text].cast("string"), F.lit("")), END, "$1" + MARK), MARK)
-    ids = F.filter(F.flatten(F.transform(parts, found)), lambda x: x.isNotNull())
+    pairs = F.arrays_zip(parts.alias("part"), F.slice(parts, 2, F.size(parts)).alias("after"))
+    # Only ':' and ';' are cuts within known sentences.
+    both = F.transform(pairs, lambda x: F.concat(found(x["part"]), F.when(x["part"].rlike("[:;]$") & x["after"].isNotNull(), F.array(over(x["part"], x["after"]))).otherwise(none)))
+    ids = F.filter(F.flatten(both), lambda x: x.isNotNull())
     first, second = names
     told = docs.withColumn(first, ids)
     chain = F.concat(F.lit("<"), F.array_join(F.col(f"`{first}`"), "><"), F.lit(">"))

@@ -46,3 +46,18 @@ def test_queries_agree_with_sql(spark, sample, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{table}.parquet')")
     report = verify.compare(spark, con, name, "/root/testdata/sf0.001")
     assert report.startswith("ok"), report
+
+
+def test_every_sentence_and_rule_fires_on_its_real_text(spark):
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(MIT.values())], "doc_id int, text string")
+    assert [r.sentence_ids for r in licences.scan(docs).orderBy("doc_id").collect()] == [[n] for n in MIT]
+    for got, (licence, _) in zip(scan(spark, *["\n\n".join(MIT[n] for n in needed) for _, needed in licences.RULES]), licences.RULES, strict=True):
+        assert licence in got
+
+
+def test_standard_files(spark):
+    wrapped = lambda k: MIT[k].replace(", ", ",\n")
+    mit = f"MIT License\n\nCopyright (c) 2024 Name\n\n{wrapped('mit-grant')}\n\n{wrapped('mit-notice')}"
+    gpl = f"A program\n\n{MIT['gpl-free'].replace(' and', chr(10) + 'and')}\n\n{MIT['gpl-hope']}"
+    assert scan(spark, mit, gpl, "// code\n// SPDX-License-Identifier: Apache-2.0\n\nint main;", "SPDX-License-Identifier: none") == [
+        ["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"], []]
