@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import fingerprints, language, licences, middle, packing, pieces, quality, sharding, simhash, suffix_dedup, warc
+from llm import fingerprints, language, licences, lines, middle, packing, pieces, quality, sharding, simhash, suffix_dedup, warc
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,14 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(texts(spark, sf_dir))
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.measured(texts(spark, sf_dir))
+
+
+ORACLE["op11_line_dedup"] = lines.oracle()
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.measured(texts(spark, sf_dir))
