@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import fingerprints, language, licences, lines, middle, packing, pieces, quality, sharding, simhash, suffix_dedup, warc
+from llm import fingerprints, language, licences, lines, middle, packing, phrases, pieces, quality, sharding, simhash, suffix_dedup, warc
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op12_fill_in_middle"] = middle.oracle()
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = phrases.oracle()
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
