@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import blocks, mixed, texts, written
+from llm.common import blocks, mixed, texts, utf8, written
 
 # Piece ends, blanks, and the language of texts that have none.
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -39,13 +39,14 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SHARE = (100, 100)
 """A candidate goes if a longer one has at least this share of its occurrences."""
 BURST = 16_384
-ENTRIES = 1_000_000
+ENTRIES = 300_000
 """Entries that one task's trie holds before it spills half of them."""
 PREFIX_BYTES = 16 << 20
 FILTER_BITS = 1 << 26
 FILTER_SPARE = 16
 STREAM = 1 << 18
 """Word ids that a task counts in one step."""
+ROW = 256
 SALTS = (4096, 64)
 SEEDS = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -259,19 +260,26 @@ def _word_steps(seed: int):
 STREAMS = "ids binary, id binary, word binary, lang string, total long"
 
 
-def _streams(bits, seed: int, most_words: int):
+def _cut_at_runs(ids: np.ndarray) -> pa.Array:
+    """A stream of runs as rows of about ``ROW`` ids, cut before a run: a batch of rows stays small and a run whole."""
+    zeros = np.flatnonzero(ids == 0)
+    heads = zeros[np.concatenate(([True], np.diff(zeros // ROW) > 0))]
+    ends = np.append(heads, len(ids)).astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+
+def _streams(bits, seed: int):
     """Runs of admitted words as packed ids, zero between runs; the admitted words; the number of all words by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, bytes]] = set()
         totals: dict[str, int] = {}
 
-        def rows(ids: list, id_: list, word: list, lang: list, total: list) -> pa.RecordBatch:
+        def rows(ids: list | pa.Array, id_: list, word: list, lang: list, total: list) -> pa.RecordBatch:
             most = max(map(len, (ids, id_, total)))
-            wide = [x or [None] * most for x in (ids, id_, word, lang, total)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(wide, (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()), strict=True)],
-                names=["ids", "id", "word", "lang", "total"])
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) if len(x) else pa.nulls(most, kind) for x, kind in zip((ids, id_, word, lang, total), kinds, strict=True)],
+                                              names=["ids", "id", "word", "lang", "total"])
 
         for lang, dictionary, ids, place, piece in _tokens(batches, seed):
             totals[lang] = totals.get(lang, 0) + len(place)
@@ -292,20 +300,19 @@ def _streams(bits, seed: int, most_words: int):
             where, starts = where[stay], ~linked[0][stay]
             out = np.zeros(len(where) + int(starts.sum()), np.uint64)
             out[np.arange(len(where)) + np.cumsum(starts)] = ids[place[where]]
-            chunks = [out[a : a + STREAM + most_words - 1].tobytes() for a in range(0, len(out), STREAM)]
-            if chunks:
-                yield rows(chunks, [], [], [], [])
+            if len(out):
+                yield rows(_cut_at_runs(out), [], [], [], [])
         if totals:
             yield rows([], [], [], list(totals), list(totals.values()))
 
     return run
 
 
-def windows(ids: np.ndarray, words: int, whole: int) -> np.ndarray:
-    """Rows of ``words`` ids in one run that start before ``whole``."""
+def windows(ids: np.ndarray, words: int) -> np.ndarray:
+    """Rows of ``words`` ids in one run."""
     if len(ids) < words:
         return np.zeros((0, words), np.uint64)
-    out = np.lib.stride_tricks.sliding_window_view(ids, words)[:whole]
+    out = np.lib.stride_tricks.sliding_window_view(ids, words)
     return out[(out != 0).all(axis=1)]
 
 
@@ -314,8 +321,9 @@ def _phrase_steps(bits, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            for raw in texts(batch.column(0)):
-                found = windows(np.frombuffer(raw, "<u8"), words, STREAM)
+            ids = utf8(batch.column(0))[0].view("<u8")  # each row begins with a zero, so rows join to one stream
+            for at in range(0, len(ids), STREAM):
+                found = windows(ids[at : at + STREAM + words - 1], words)
                 if words > 2 and len(found):
                     found = found[_admitted(bits.value, names(found[:, :-1]))]
                     found = found[_admitted(bits.value, names(found[:, 1:]))]
@@ -341,7 +349,7 @@ def _levels(docs: DataFrame, least: int, most_words: int, seed: int) -> tuple[Da
 
     levels = [counted(docs, 1, _word_steps(seed))]
     bits = spark.sparkContext.broadcast(_bits(levels[0]))
-    told = written(docs.mapInArrow(_streams(bits, seed, most_words), STREAMS), "phrase-streams")
+    told = written(docs.mapInArrow(_streams(bits, seed), STREAMS), "phrase-streams")
     spelled = told.where(F.col("id").isNotNull()).join(levels[0].select(F.col("key").alias("id")), "id").groupBy("id", "lang", "word").agg(F.count("*").alias("_"))
     spelled = written(spelled.select("id", "lang", F.col("word").cast("string").alias("word")), "phrase-words")
     shared = not spelled.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
