@@ -12,6 +12,13 @@ many entries its largest subtrees are spilled whole, as sorted runs cut by
 prefix partition (the hash of a phrase's first two words); Spark exchanges the
 runs and each prefix partition merges its own.
 
+Pairs of frequent words are many and mostly rare.  So before they are counted
+by name, they are counted by hashed place in one table of at most
+``FILTER_BITS`` places, which tasks send as sorted runs of a few bytes a pair
+and which partitions of the table add up: a pair whose place has fewer
+occurrences than the threshold can't be frequent.  Places meet more often as
+the corpus outgrows the table; that admits more, and never less.
+
 A word's id is the 64-bit hash of its language and itself.  Ids shared by two
 words, one of them frequent, are looked for, and then another seed is taken.
 What each level admits reaches the tasks as a bit table of at most
@@ -42,11 +49,15 @@ BURST = 16_384
 ENTRIES = 300_000
 """Entries that one task's trie holds before it spills half of them."""
 PREFIX_BYTES = 16 << 20
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
+"""Also the most that the driver gathers and broadcasts, in bits: 32 MB."""
 FILTER_SPARE = 16
 STREAM = 1 << 18
 """Word ids that a task counts in one step."""
 ROW = 256
+PLACES = 4_000_000
+"""Occurrences of pairs that a task holds before it sends its places."""
+MOST = (1 << 16) - 1
 SALTS = (4096, 64)
 SEEDS = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -238,11 +249,7 @@ def _bits(frequent: DataFrame) -> np.ndarray:
 
 
 def _admitted(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
-    mask = np.uint64(len(bits) * 64 - 1)
-    out = np.ones(len(name), bool)
-    for place in (name & mask, (name >> np.uint64(32)) & mask):
-        out &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return out
+    return _marked(bits, name) & _marked(bits, name >> np.uint64(32))
 
 
 def _word_steps(seed: int):
@@ -316,32 +323,98 @@ def windows(ids: np.ndarray, words: int) -> np.ndarray:
     return out[(out != 0).all(axis=1)]
 
 
+def _found(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """All phrases of the streams, step by step."""
+    for batch in batches:
+        ids = utf8(batch.column(0))[0].view("<u8")  # each row begins with a zero, so rows join to one stream
+        for at in range(0, len(ids), STREAM):
+            found = windows(ids[at : at + STREAM + words - 1], words)
+            if len(found):
+                yield found
+
+
+def _pair_places(size: int, parts: int):
+    """Packed counts by place: for each part of the table the gaps between places and the counts, the highest count for all above."""
+
+    def packed(places: np.ndarray) -> pa.RecordBatch:
+        at, counts = np.unique(places, return_counts=True)
+        part = (at // np.uint64(size // parts)).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        gaps = np.diff(at, prepend=np.uint64(0))
+        gaps[heads] = at[heads] % np.uint64(size // parts)
+        gaps, counts = gaps.astype(np.uint32), np.minimum(counts, MOST).astype(np.uint16)
+        runs = [(b - a).to_bytes(8, "little") + pa.compress(gaps[a:b].tobytes() + counts[a:b].tobytes(), "zstd", asbytes=True)
+                for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(runs, pa.binary())], names=["part", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for found in _found(batches, 2):
+            held.append(names(found) & np.uint64(size - 1))
+            if sum(map(len, held)) > PLACES:
+                yield packed(np.concatenate(held))
+                held = []
+        if held:
+            yield packed(np.concatenate(held))
+
+    return run
+
+
+def _pair_bits(streams: DataFrame, least: int, size: int) -> np.ndarray:
+    """The bit table of places with enough occurrences of pairs."""
+    wanted = 4 * int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(1 << (wanted - 1).bit_length(), size // 64)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(size // parts, np.int64)
+        for run in texts(table.column("run").combine_chunks()):
+            m = int.from_bytes(run[:8], "little")
+            raw = pa.decompress(run[8:], 6 * m, "zstd", asbytes=True)
+            counts = np.frombuffer(raw, np.uint16, m, 4 * m).astype(np.int64)
+            total[np.cumsum(np.frombuffer(raw, np.uint32, m), dtype=np.int64)] += np.where(counts == MOST, least, counts)
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table([pa.array([table.column("part")[0].as_py()]), pa.array([bits], pa.binary())], names=["part", "bits"])
+
+    told = streams.mapInArrow(_pair_places(size, parts), "part long, run binary").groupBy("part").applyInArrow(added, "part long, bits binary").toArrow()
+    out = np.zeros((parts, size // parts // 64), np.uint64)
+    for part, bits in zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True):
+        out[part] = np.frombuffer(bits, "<u8")
+    return out.reshape(-1)
+
+
+def _marked(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Is the bit set at the name's own place."""
+    place = name & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _phrase_steps(bits, words: int):
-    """Occurrences of phrases whose two shorter parts the level before admits (at two words the streams hold no others)."""
+    """Occurrences of phrases that the level before admits by their two shorter parts, pairs by their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            ids = utf8(batch.column(0))[0].view("<u8")  # each row begins with a zero, so rows join to one stream
-            for at in range(0, len(ids), STREAM):
-                found = windows(ids[at : at + STREAM + words - 1], words)
-                if words > 2 and len(found):
-                    found = found[_admitted(bits.value, names(found[:, :-1]))]
-                    found = found[_admitted(bits.value, names(found[:, 1:]))]
-                if len(found):
-                    yield _counted(found)
+        for found in _found(batches, words):
+            if words == 2:
+                found = found[_marked(bits.value, names(found))]
+            else:
+                found = found[_admitted(bits.value, names(found[:, :-1]))]
+                found = found[_admitted(bits.value, names(found[:, 1:]))]
+            if len(found):
+                yield _counted(found)
 
     return run
 
 
-def _prefixes(docs: DataFrame) -> int:
+def _size(docs: DataFrame) -> tuple[int, int]:
+    """Prefix partitions and places of pairs, by the bytes of all texts."""
     told = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told // PREFIX_BYTES))
+    prefixes = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told // PREFIX_BYTES))
+    return prefixes, min(FILTER_BITS, max(1 << 10, 1 << told.bit_length()))
 
 
 def _levels(docs: DataFrame, least: int, most_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """Frequent phrases (``size, key, a``), words by id, totals by language, and whether an id is shared by two words."""
     spark = docs.sparkSession
-    prefixes = _prefixes(docs)
+    prefixes, places = _size(docs)
 
     def counted(source: DataFrame, words: int, steps) -> DataFrame:
         work = _counter(words, prefixes, ENTRIES)
@@ -358,8 +431,7 @@ def _levels(docs: DataFrame, least: int, most_words: int, seed: int) -> tuple[Da
     for words in range(2, most_words + 1):
         if shared or (words > 2 and levels[-1].isEmpty()):
             break
-        if words > 2:
-            bits = spark.sparkContext.broadcast(_bits(levels[-1]))
+        bits = spark.sparkContext.broadcast(_pair_bits(streams, least, places) if words == 2 else _bits(levels[-1]))
         levels.append(counted(streams, words, _phrase_steps(bits, words)))
     out = None
     for size, level in enumerate(levels, 1):

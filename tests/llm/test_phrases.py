@@ -107,7 +107,7 @@ def test_many_shapes(spark, min_count, max_words, share):
 
 
 def test_small_tries_streams_and_tops(spark, monkeypatch):
-    for name, value in (("ENTRIES", 50), ("STREAM", 7), ("FILTER_BITS", 1 << 10)):
+    for name, value in (("ENTRIES", 50), ("STREAM", 7), ("FILTER_BITS", 1 << 10), ("PLACES", 40), ("MOST", 3)):
         monkeypatch.setattr(phrases, name, value)
     rows = corpus(2)
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
