@@ -51,7 +51,7 @@ BOM = [("A", "A"), ("B", "C"), ("C", "B"), ("D", "E"), ("E", "F"), ("F", "D"), (
 def test_bom_split(spark):
     split = bom_cycle_split(edges(spark, BOM))
     problems = sorted((r[0], r[1], r["cycle_description"]) for r in split.problems.collect())
-    pair, ring = "Cycle among 2 nodes, first B", "Cycle among 3 nodes, first D"
+    pair, ring = "Cycle among B, C (path: B -> C -> B)", "Cycle among D, E, F (path: D -> E -> F -> D)"
     assert problems == [("A", "A", "Self relationship on A"), ("B", "C", pair), ("C", "B", pair), ("D", "E", ring), ("D", "E", ring),
                         ("E", "F", ring), ("F", "D", ring)]
     assert sorted(map(tuple, split.importable.collect())) == [("F", "Z"), ("X", "Y"), ("Y", "D")]
@@ -68,7 +68,11 @@ def test_bom_with_hot_nodes_and_large_cycles(spark):
     assert plain.counts == hot.counts and hot.counts["problemRowCount"] == 37
     assert sorted(map(tuple, plain.groups.collect())) == sorted(map(tuple, hot.groups.collect()))
     texts = {r[0] for r in hot.problems.filter("`product-sku` = 'hub'").select("cycle_description").collect()}
-    assert texts == {"Cycle among 16 nodes, first hub"}
+    names = ", ".join(sorted(["hub", *(f"n{i}" for i in range(15))]))
+    assert texts == {f"Cycle among {names} (path: hub -> n0 -> hub)"}
+    short = bom_cycle_split(edges(spark, star + BOM), spelled=3).problems.select("cycle_description").distinct().collect()
+    assert {r[0] for r in short} == {"Cycle among 16 nodes, first hub", "Self relationship on A", "Cycle among B, C (path: B -> C -> B)",
+                                     "Cycle among D, E, F (path: D -> E -> F -> D)"}
 
 
 def test_large_and_small_missing_sets_agree(spark, monkeypatch):

@@ -67,10 +67,10 @@ r(src, dst, path, n) AS (SELECT src, dst, src || ' -> ' || dst, 1 FROM e
   UNION ALL SELECT r.src, e.dst, r.path || ' -> ' || e.dst, n + 1 FROM r JOIN e ON r.dst = e.src WHERE r.src <> r.dst AND n < 9),
 c AS (SELECT src, path FROM r WHERE src = dst AND path <> src || ' -> ' || src),
 m AS (SELECT c1.src, min(c2.src) AS first FROM c c1 JOIN r ON r.src = c1.src JOIN c c2 ON c2.src = r.dst GROUP BY c1.src),
-g AS (SELECT m.first, count(*) AS n FROM m GROUP BY m.first),
+g AS (SELECT m.first, string_agg(m.src, ', ' ORDER BY m.src) AS names FROM m GROUP BY m.first),
 x AS (SELECT e.src, e.dst, CASE WHEN e.src = e.dst THEN 'Self relationship on ' || e.src
-          WHEN m.first IS NOT NULL THEN 'Cycle among ' || g.n || ' nodes, first ' || m.first END AS text
-      FROM e LEFT JOIN m ON m.src = e.src LEFT JOIN g ON g.first = m.first)"""
+          WHEN m.first IS NOT NULL THEN 'Cycle among ' || g.names || ' (path: ' || c.path || ')' END AS text
+      FROM e LEFT JOIN m ON m.src = e.src LEFT JOIN g ON g.first = m.first LEFT JOIN c ON c.src = m.first)"""
 
 
 @query("bom_cycle_split", _BOM_SQL + """
@@ -94,3 +94,11 @@ SELECT (SELECT count(*) FROM part) AS "totalRowCount", count(*) FILTER (text IS
 def bom_counts(spark, sf_dir):
     counts = bom_cycle_split(_bom(spark, sf_dir), assoc_col="assoc", assoc_type="PRODUCT_COMPONENT").counts
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"`{k}` bigint" for k in counts))
+
+
+@query("bom_cycle_paths", _BOM_SQL + """,
+w AS (SELECT src AS cycle, string_split(path, ' -> ') AS p FROM c WHERE src IN (SELECT first FROM m)
+  UNION ALL SELECT DISTINCT src, [src] || [src] FROM e WHERE src = dst AND src NOT IN (SELECT src FROM m))
+SELECT cycle, unnest(range(0, len(p) - 1)) AS step, unnest(p[1:-2]) AS node FROM w""")
+def bom_paths(spark, sf_dir):
+    return bom_cycle_split(_bom(spark, sf_dir), assoc_col="assoc", assoc_type="PRODUCT_COMPONENT").paths
