@@ -118,3 +118,50 @@ def test_zones_of_every_kind(spark):
     df = spark.createDataFrame([(n,) for n in names], "z string")
     assert [r[0] for r in df.select(W.zone_or_utc(F.col("z"))).collect()] == [
         "America/Chicago", "+05:30", "GMT+2", "UTC", "UTC", "UTC", "UTC"]
+
+
+def plain_slices(moments, start, end, capacity):
+    """Halving one range after the other."""
+    out, waiting = [], [(start, end)]
+    while waiting:
+        a, b = waiting.pop()
+        n = sum(a <= m < b for m in moments)
+        if n <= capacity:
+            out.append((a, b, n))
+        else:
+            middle = (a + b) // 2
+            waiting += [(a, middle), (middle, b)]
+    return sorted(out)
+
+
+def test_slices_are_those_of_halving(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    day, epoch = datetime(1969, 12, 31, 23, 59, 57), datetime(1970, 1, 1)
+    at = sorted({rng.randrange(-3000, 9000) // rng.choice([1, 1, 50]) for _ in range(500)})
+    df = events(spark, [epoch + timedelta(milliseconds=m, microseconds=rng.randrange(1000)) for m in at])
+    millis = lambda t: (t - epoch) // timedelta(milliseconds=1)
+    for levels, capacity in ((2, 3), (12, 1)):
+        monkeypatch.setattr(W, "LEVELS_PER_PASS", levels)
+        found = W.adaptive_slices(df, "ts", day, epoch + timedelta(milliseconds=8777), capacity, 1)
+        got = [(millis(a), millis(b), n) for a, b, n in found.windows]
+        assert got == plain_slices(at, millis(day), 8777, capacity)
+        assert (found.window_count, found.split_count) == (2 * len(got) - 1, len(got) - 1)
+        assert found.page_count == found.split_count + sum(max(1, -(-n // capacity)) for *_, n in got)
+        assert [r[0] for r in found.rows.orderBy("start").select("sequenceNum").collect()] == list(range(1, len(got) + 1))
+
+
+def test_a_hundred_thousand_slices(spark):
+    day = datetime(2026, 1, 1)
+    df = spark.range(100_000).select(F.timestamp_millis(F.lit(1767225600000) + F.col("id") * 25011 + F.pmod(F.xxhash64("id"), F.lit(25000))).alias("ts"))
+    found = W.adaptive_slices(df, "ts", day, day + timedelta(days=31), 1, 1)
+    told = found.frame(spark).agg(F.count("*"), F.sum("recordCount"), F.max("recordCount"), F.max("sequenceNum"), F.countDistinct("start")).first()
+    assert told[0] > 100_000 and tuple(told) == (told[0], 100_000, 1, told[0], told[0])
+
+
+def test_slices_of_nothing(spark):
+    day = datetime(2026, 1, 1)
+    found = W.adaptive_slices(events(spark, [day]).limit(0), "ts", day, day + timedelta(days=1), 5)
+    assert found.windows == [(day, day + timedelta(days=1), 0)] and found.page_count == 1
+    assert W.adaptive_slices(events(spark, [day]), "ts", day, day, 5).error

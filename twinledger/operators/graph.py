@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.operators.skew import HOT_ROWS, hot_keys_of, join_unique
-from twinledger.session import ensure_checkpoint_dir, scratch_path
+from twinledger.session import ensure_checkpoint_dir, stored
 
 # Default column names.
 PARENT_COLUMN = "product-sku"
@@ -28,22 +28,10 @@ class CycleSplit:
     counts: dict
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder.
-
-    That cuts lineage as a checkpoint does.  A checkpoint would keep the
-    estimated sizes of its plan, which rounds of joins multiply without bound;
-    a table has its own, so joins are planned by real sizes.
-    """
-    path = scratch_path(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _hot(edges: DataFrame, column: str, hot_rows: int) -> DataFrame | None:
     """Hot nodes of one end, or None when there are none."""
     hot = hot_keys_of(edges, column, hot_rows)
-    return None if hot.isEmpty() else hot.transform(stored)
+    return None if hot.isEmpty() else hot.transform(stored, "graph")
 
 
 def _on(edges: DataFrame, nodes: DataFrame, column: str, how: str, hot: DataFrame | None) -> DataFrame:
@@ -58,7 +46,7 @@ def _trim(edges: DataFrame, hot_src: DataFrame | None, hot_dst: DataFrame | None
         sources = edges.select(F.col("src").alias("node")).distinct()
         targets = edges.select(F.col("dst").alias("node")).distinct()
         kept = _on(_on(edges, targets, "src", "left_semi", hot_src), sources, "dst", "left_semi", hot_dst)
-        kept = kept.select("src", "dst").transform(stored)
+        kept = kept.select("src", "dst").transform(stored, "graph")
         left = kept.count()
         if left == size:
             return kept
@@ -79,7 +67,7 @@ def _spread_minimum(edges: DataFrame, labels: DataFrame, hot_src: DataFrame | No
         )
         hop = stored(
             labels.withColumn("before", F.col("label")).unionByName(offered)
-            .groupBy("node").agg(F.min("label").alias("label"), F.min("before").alias("before"))
+            .groupBy("node").agg(F.min("label").alias("label"), F.min("before").alias("before")), "graph"
         )
         labels = hop.select("node", "label")
         if hop.filter(~F.col("label").eqNullSafe(F.col("before"))).isEmpty():
@@ -88,14 +76,14 @@ def _spread_minimum(edges: DataFrame, labels: DataFrame, hot_src: DataFrame | No
 
 def _flood(edges: DataFrame, roots: DataFrame, hot_src: DataFrame | None) -> DataFrame:
     """``(node, label, next, hops)`` of what each root (``node, label``) reaches: by how many edges, and the smallest node that it was reached from then."""
-    reached = roots.select("node", "label", F.lit(None).cast("string").alias("next"), F.lit(0).alias("hops")).transform(stored)
+    reached = roots.select("node", "label", F.lit(None).cast("string").alias("next"), F.lit(0).alias("hops")).transform(stored, "graph")
     size, hops = reached.count(), 0
     while True:
         last = reached.filter(F.col("hops") == hops).select("node", "label")
         hops += 1
         offered = _on(edges, last, "src", "inner", hot_src).select(F.col("dst").alias("node"), "label", F.col("src").alias("next"), F.lit(hops).alias("hops"))
         reached = reached.unionByName(offered).groupBy("node").agg(F.min(F.struct("hops", "next", "label")).alias("e")).select(
-            "node", "e.label", "e.next", "e.hops").transform(stored)
+            "node", "e.label", "e.next", "e.hops").transform(stored, "graph")
         before, size = size, reached.count()
         if size == before:
             return reached
@@ -109,7 +97,7 @@ def _kernel_components(edges: DataFrame, hot_rows: int) -> tuple[DataFrame, Data
     is one component.  Those nodes leave and the rest repeats.
     """
     spark = edges.sparkSession
-    remaining = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().transform(stored)
+    remaining = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().transform(stored, "graph")
     hot_src, hot_dst = _hot(remaining, "src", hot_rows), _hot(remaining, "dst", hot_rows)
     back_hot = None if hot_dst is None else hot_dst.withColumnRenamed("dst", "src")
     found = spark.createDataFrame([], "node string, cycle string")
@@ -125,18 +113,18 @@ def _kernel_components(edges: DataFrame, hot_rows: int) -> tuple[DataFrame, Data
         inside = _on(_on(remaining, source_colour, "src", "inner", hot_src), target_colour, "dst", "inner", hot_dst)
         backward = stored(
             inside.filter(F.col("colour") == F.col("_colour"))
-            .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            .select(F.col("dst").alias("src"), F.col("src").alias("dst")), "graph"
         )
         roots = colours.filter(F.col("node") == F.col("label"))
         members = _flood(backward, roots, back_hot)
         sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
         cycles = members.join(sizes, "label").select("node", F.col("label").alias("cycle"))
-        found = found.unionByName(cycles).transform(stored)
-        towards = towards.unionByName(members.filter("hops > 0").select(F.col("label").alias("cycle"), "node", "next", "hops")).transform(stored)
+        found = found.unionByName(cycles).transform(stored, "graph")
+        towards = towards.unionByName(members.filter("hops > 0").select(F.col("label").alias("cycle"), "node", "next", "hops")).transform(stored, "graph")
         # Every node that met its root is settled, alone or in a component.
         settled = members.select("node")
         remaining = _on(_on(remaining, settled, "src", "left_anti", hot_src), settled, "dst", "left_anti", hot_dst)
-        remaining = remaining.select("src", "dst").transform(stored)
+        remaining = remaining.select("src", "dst").transform(stored, "graph")
 
 
 def _describe(cycles: DataFrame, paths: DataFrame, spelled: int) -> DataFrame:
@@ -179,7 +167,7 @@ def _jump(pointers: DataFrame) -> DataFrame:
         now = joined.select(
             "x", F.coalesce("_nxt", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.coalesce("_last", "last").alias("last"),
             F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("d") + F.col("_dlow")).otherwise(F.col("dlow")).alias("dlow"),
-            more.alias("open"), lower.alias("new")).transform(stored)
+            more.alias("open"), lower.alias("new")).transform(stored, "graph")
         left, changed = now.agg(F.count_if("open"), F.count_if(F.col("open") & F.col("new"))).first()
         # a chain settles some of its nodes in each pass; what no longer shrinks are rings, done when no smaller node comes up
         if not left or (left == before and not changed):
@@ -201,7 +189,7 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
     """
     outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min(F.struct("dst", "w")).alias("e"))
     ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
-    degrees = outs.join(ins, "node", "full").transform(stored)
+    degrees = outs.join(ins, "node", "full").transform(stored, "graph")
     chain_node = (F.col("n_in") == 1) & (F.col("n_out") == 1)
     passable = F.col("n_in").isNotNull() & F.col("n_out").isNotNull()
     n_chain, n_dead = degrees.agg(F.count_if(chain_node), F.count_if(~passable)).first()
@@ -209,7 +197,7 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
         return None
     on_chain = degrees.filter(chain_node).select(F.col("node").alias("x"), F.col("e.dst").alias("succ"), F.col("e.w").alias("w"))
     found = _jump(on_chain.select("x", F.col("succ").alias("nxt"), F.col("w").alias("d"), F.col("x").alias("last"), F.col("x").alias("low"), F.lit(0).cast("long").alias("dlow")))
-    own = found.join(on_chain, "x").transform(stored)
+    own = found.join(on_chain, "x").transform(stored, "graph")
     members = own.filter(~F.col("ring")).select("x", F.col("last").alias("chain"), "d", "succ", "w")
     rounds = own.filter("ring")
     total = rounds.groupBy(F.col("low").alias("cycle")).agg(F.sum("w").alias("total"))
@@ -219,12 +207,12 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
     inner = on_chain.select(F.col("x").alias("src"))
     outer = edges.join(inner, "src", "left_anti").join(on_chain.select(F.col("x").alias("dst"), F.lit(True).alias("_chain")), "dst", "left")
     chains = outer.filter("_chain").join(ends, "dst").select(
-        "chain", F.col("src").alias("u"), "v", F.col("dst").alias("first"), F.col("w").alias("wfirst"), (F.col("w") + F.col("d")).alias("w")).transform(stored)
+        "chain", F.col("src").alias("u"), "v", F.col("dst").alias("first"), F.col("w").alias("wfirst"), (F.col("w") + F.col("d")).alias("w")).transform(stored, "graph")
     direct = outer.filter(F.col("_chain").isNull()).select(F.col("src").alias("u"), F.col("dst").alias("v"), "w", F.lit(None).cast("string").alias("chain"))
-    made = direct.unionByName(chains.select("u", "v", "w", "chain")).groupBy("u", "v").agg(F.min(F.struct("w", "chain")).alias("e")).select("u", "v", "e.w", "e.chain").transform(stored)
+    made = direct.unionByName(chains.select("u", "v", "w", "chain")).groupBy("u", "v").agg(F.min(F.struct("w", "chain")).alias("e")).select("u", "v", "e.w", "e.chain").transform(stored, "graph")
     dead = degrees.filter(~passable).select("node")
     rest = made.filter(F.col("u") != F.col("v")).join(dead.withColumnRenamed("node", "u"), "u", "left_anti").join(dead.withColumnRenamed("node", "v"), "v", "left_anti")
-    rest = rest.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").transform(stored)
+    rest = rest.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").transform(stored, "graph")
     return rest, Level(members, chains, made.filter(F.col("chain").isNotNull()).select("u", "v", "chain"),
                        made.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), "chain", "w"), rings)
 
@@ -239,24 +227,24 @@ def _kernel_paths(kernel: DataFrame, cycles: DataFrame, towards: DataFrame) -> D
     """
     weights = kernel.select("src", "dst", "w")
     hop = towards.withColumnsRenamed({"node": "src", "next": "dst"}).join(weights, ["src", "dst"]).select("cycle", "hops", "src", "dst", "w")
-    hop = hop.transform(stored)  # one edge a member but the root
+    hop = hop.transform(stored, "graph")  # one edge a member but the root
     starts = weights.join(cycles.filter(F.col("node") == F.col("cycle")).select(F.col("node").alias("src"), "cycle"), "src").join(
         hop.select(F.col("src").alias("dst"), F.col("cycle").alias("_own"), "hops"), "dst").filter(F.col("cycle") == F.col("_own"))
-    first = starts.groupBy("cycle").agg(F.min(F.struct("hops", "dst", "w")).alias("e")).select("cycle", F.col("cycle").alias("src"), "e.dst", "e.w").transform(stored)
+    first = starts.groupBy("cycle").agg(F.min(F.struct("hops", "dst", "w")).alias("e")).select("cycle", F.col("cycle").alias("src"), "e.dst", "e.w").transform(stored, "graph")
     pointer = hop.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("w").alias("d"))
     marked = first.select("cycle", F.col("dst").alias("node"), F.col("w").alias("at"))
     size = 0
     while True:
         reached = marked.join(pointer, "node").select("cycle", F.col("to").alias("node"), (F.col("at") + F.col("d")).alias("at")).filter(F.col("node") != F.col("cycle"))
-        marked = marked.unionByName(reached).distinct().transform(stored)
+        marked = marked.unionByName(reached).distinct().transform(stored, "graph")
         now = marked.count()
         if now == size:
             break
         size = now
         further = pointer.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"))
-        pointer = pointer.join(further, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")).transform(stored)
+        pointer = pointer.join(further, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")).transform(stored, "graph")
     rest = marked.select("cycle", "at", F.col("node").alias("src")).join(hop.select("src", "dst", "w"), "src")
-    return first.select("cycle", F.lit(0).cast("long").alias("at"), "src", "dst", "w").unionByName(rest.select("cycle", "at", "src", "dst", "w")).transform(stored)
+    return first.select("cycle", F.lit(0).cast("long").alias("at"), "src", "dst", "w").unionByName(rest.select("cycle", "at", "src", "dst", "w")).transform(stored, "graph")
 
 
 def _unfolded(paths: DataFrame, level: Level, loops: DataFrame) -> DataFrame:
@@ -269,7 +257,7 @@ def _unfolded(paths: DataFrame, level: Level, loops: DataFrame) -> DataFrame:
         level.chains.select("chain", F.col("u").alias("src"), F.col("v").alias("dst"), "first", "wfirst"), ["chain", "src", "dst"])
     inside = folded.select("cycle", "chain", (F.col("at") + F.col("w")).alias("_end")).join(level.members, "chain")
     return plain.unionByName(entry.select("cycle", "at", "src", F.col("first").alias("dst"), F.col("wfirst").alias("w"))).unionByName(
-        inside.select("cycle", (F.col("_end") - F.col("d")).alias("at"), F.col("x").alias("src"), F.col("succ").alias("dst"), "w")).unionByName(level.rings).transform(stored)
+        inside.select("cycle", (F.col("_end") - F.col("d")).alias("at"), F.col("x").alias("src"), F.col("succ").alias("dst"), "w")).unionByName(level.rings).transform(stored, "graph")
 
 
 def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -282,7 +270,7 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, D
     both its ends are in one component.  ``cycle`` is the component's smallest
     node; a path begins with its own smallest node, step 0.
     """
-    graph = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().withColumn("w", F.lit(1).cast("long")).transform(stored)
+    graph = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().withColumn("w", F.lit(1).cast("long")).transform(stored, "graph")
     levels: list[Level] = []
     while not graph.isEmpty():
         less = _contract(graph)
@@ -293,17 +281,17 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, D
     cycles, towards = _kernel_components(graph, hot_rows)
     paths = _kernel_paths(graph, cycles, towards) if not graph.isEmpty() else edges.sparkSession.createDataFrame([], "cycle string, at long, src string, dst string, w long")
     for level in reversed(levels):
-        loops = level.loops.join(cycles.select("node"), "node", "left_anti").transform(stored)
-        cycles = cycles.unionByName(loops.select("node", F.col("node").alias("cycle"))).transform(stored)
+        loops = level.loops.join(cycles.select("node"), "node", "left_anti").transform(stored, "graph")
+        cycles = cycles.unionByName(loops.select("node", F.col("node").alias("cycle"))).transform(stored, "graph")
         paths = _unfolded(paths, level, loops)
         on = level.chains.join(cycles.select(F.col("node").alias("u"), "cycle"), "u").join(cycles.select(F.col("node").alias("v"), F.col("cycle").alias("_v")), "v")
         inner = level.members.join(on.filter(F.col("cycle") == F.col("_v")).select("chain", "cycle"), "chain").select(F.col("x").alias("node"), "cycle")
-        cycles = cycles.unionByName(inner).unionByName(level.rings.select(F.col("src").alias("node"), "cycle")).transform(stored)
+        cycles = cycles.unionByName(inner).unionByName(level.rings.select(F.col("src").alias("node"), "cycle")).transform(stored, "graph")
     named = cycles.groupBy("cycle").agg(F.min("node").alias("name"))
     own = paths.groupBy("cycle").agg(F.sum("w").alias("steps"), F.min(F.struct("src", "at")).alias("head"))
     turned = paths.join(own, "cycle").join(named, "cycle").select(
         F.col("name").alias("cycle"), F.pmod(F.col("at") - F.col("head.at"), F.col("steps")).alias("step"), F.col("src").alias("node"))
-    return cycles.join(named, "cycle").select("node", F.col("name").alias("cycle")).transform(stored), turned.transform(stored)
+    return cycles.join(named, "cycle").select("node", F.col("name").alias("cycle")).transform(stored, "graph"), turned.transform(stored, "graph")
 
 
 def bom_cycle_split(
@@ -351,7 +339,7 @@ def bom_cycle_split(
     problems = cycle_rows.unionByName(self_rows)
     loops = kept.filter(loop).select(F.col("src").alias("node")).distinct()
     in_component = cycles.select("node")
-    alone = loops.join(in_component, "node", "left_anti").transform(stored)
+    alone = loops.join(in_component, "node", "left_anti").transform(stored, "graph")
     groups = cycles.unionByName(alone.select("node", F.col("node").alias("cycle")))
     paths = paths.unionByName(alone.select(F.col("node").alias("cycle"), F.lit(0).cast("long").alias("step"), "node"))
     split = marked.agg(

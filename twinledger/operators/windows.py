@@ -6,9 +6,8 @@ import zoneinfo
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinledger.functions.values import literal_for
 from twinledger.model import (
@@ -23,7 +22,7 @@ from twinledger.model import (
     WINDOW_PREVIOUS_WEEK,
 )
 from twinledger.operators.skew import hot_keys_of, join_unique
-from twinledger.session import require_utc
+from twinledger.session import require_utc, stored
 
 # Slicing limits and messages.
 MAX_PAGES = 20
@@ -233,9 +232,9 @@ def tag_windows(
 
 @dataclass
 class Slices:
-    """Accepted windows in time order and what finding them took."""
+    """Accepted windows in time order, as rows, and what finding them took."""
 
-    windows: list[tuple[datetime, datetime, int]]
+    rows: DataFrame | None
     page_count: int = 0
     window_count: int = 0
     split_count: int = 0
@@ -245,57 +244,54 @@ class Slices:
         """The slices as rows; a search that ended early is an error, never a partial frame."""
         if self.error:
             raise ValueError(self.error)
-        schema = T.StructType([
-            T.StructField("sequenceNum", T.IntegerType()), T.StructField("start", T.TimestampType()),
-            T.StructField("end", T.TimestampType()), T.StructField("recordCount", T.LongType()),
-        ])
-        rows = [(i + 1, s, e, n) for i, (s, e, n) in enumerate(self.windows)]
-        return spark.createDataFrame(rows, schema)
+        return self.rows
+
+    @property
+    def windows(self) -> list[tuple[datetime, datetime, int]]:
+        """The slices on the driver, for callers that have few."""
+        if self.rows is None:
+            return []
+        return [(r["start"], r["end"], r["recordCount"]) for r in self.rows.orderBy("sequenceNum").collect()]
 
 
 _EPOCH = datetime(1970, 1, 1)
-_LEAVES_PER_PASS = 256
+LEVELS_PER_PASS = 12
 
 
 def _millis(moment: datetime) -> int:
     return (moment - _EPOCH) // timedelta(milliseconds=1)
 
 
-def _moment(millis: int) -> datetime:
-    return _EPOCH + timedelta(milliseconds=millis)
+def _range(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("s"), end.alias("e"))
 
 
-def _cut(start: int, end: int) -> int | None:
-    """The middle of a range of two milliseconds or more."""
-    return (start + end) // 2 if end - start > 1 else None
+def _half(cell: Column, at: Column) -> Column:
+    """The half of a range that holds a time, cut at the lower middle; a range of one millisecond stays whole."""
+    middle = F.shiftright(cell["s"] + cell["e"], 1)
+    return F.when(cell["e"] - cell["s"] <= 1, cell).when(at < middle, _range(cell["s"], middle)).otherwise(_range(middle, cell["e"]))
 
 
-def _leaves(start: int, end: int, depth: int) -> list[tuple[int, int]]:
-    middle = _cut(start, end) if depth else None
-    if middle is None:
-        return [(start, end)]
-    return _leaves(start, middle, depth - 1) + _leaves(middle, end, depth - 1)
+def _cell(at: Column, root: Column, depth: int) -> Column:
+    """The range that holds a time after ``depth`` halvings of the root."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, lambda cell, _: _half(cell, at)) if depth else root
 
 
-def _slot(ts_col: str, kind: str, bounds: list[int], first: int = 0) -> str:
-    """Index of the last bound not after a timestamp: a balanced tree of comparisons."""
-    if len(bounds) == 1:
-        return str(first)
-    half = len(bounds) // 2
-    low, high = _slot(ts_col, kind, bounds[:half], first), _slot(ts_col, kind, bounds[half:], first + half)
-    return f"CASE WHEN `{ts_col}` < {kind}'{_moment(bounds[half])}' THEN {low} ELSE {high} END"
+def _cells(at: Column, root: Column, above: int, depth: int) -> Column:
+    """The ranges that hold a time after more than ``above`` halvings and up to ``depth``."""
+    base = _cell(at, root, above)
+    path = F.aggregate(F.sequence(F.lit(above + 1), F.lit(depth)), F.array(base), lambda p, _: F.array_append(p, _half(F.element_at(p, -1), at)))
+    return F.array_except(F.array_distinct(path), F.array(base))
 
 
-def _count_leaves(df: DataFrame, ts_col: str, leaves: list[tuple[int, int]]) -> list[int]:
-    """Rows per leaf in one pre-aggregated pass over the open range only."""
-    ts, dtype = F.col(ts_col), df.schema[ts_col].dataType
-    bounds = sorted({edge for leaf in leaves for edge in leaf})
-    in_range = (ts >= literal_for(_moment(bounds[0]), dtype)) & (ts < literal_for(_moment(bounds[-1]), dtype))
-    kind = "TIMESTAMP_NTZ" if isinstance(dtype, T.TimestampNTZType) else "TIMESTAMP"
-    slot = F.expr(_slot(ts_col, kind, bounds)).alias("slot")
-    counted = df.filter(in_range).groupBy(slot).count().collect()
-    by_start = {bounds[row["slot"]]: row["count"] for row in counted}
-    return [by_start.get(start, 0) for start, _ in leaves]
+def _numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """Rows numbered from 1 by a unique key: sorted by range over all tasks, each task's numbers follow those of the tasks before."""
+    at, task = "_at", "_task"
+    placed = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id())
+    placed = stored(placed.withColumns({task: F.shiftright(at, 33), at: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = placed.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(task, F.coalesce(F.sum("_n").over(Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(before, task).withColumn(number, F.col("_before") + F.col(at) + 1).drop(at, task, "_before")
 
 
 def adaptive_slices(
@@ -304,53 +300,53 @@ def adaptive_slices(
 ) -> Slices:
     """Halve ``[start, end)`` until every slice holds at most ``max_pages`` pages.
 
-    One pass counts many levels of halving at once and later passes read only
-    the ranges still too full; the driver sees a count per slice.  There is no
-    limit on slices unless ``max_windows`` sets one (a source's own limit is
-    ``MAX_WINDOWS``); where it or the smallest slice is reached, ``error`` says
-    so and ``frame`` raises.
+    A dyadic tree of counts, as rows: times are counted by millisecond once,
+    each pass counts ``LEVELS_PER_PASS`` levels of halving together below the
+    ranges that are still too full, and reads the counts inside those only.
+    Slices are the halves that fit of the ranges that don't; empty ones too.
+    The driver sees totals.  There is no limit on slices unless
+    ``max_windows`` sets one (a source's own limit is ``MAX_WINDOWS``); where
+    it or the smallest slice is reached, ``error`` says so and ``frame``
+    raises.
     """
+    require_utc(df.sparkSession)
     if not start < end:
-        return Slices([], error="Window start must be before window end.")
+        return Slices(None, error="Window start must be before window end.")
     capacity = page_size * max_pages
-    root = (_millis(start), _millis(end))
-    counts: dict[tuple[int, int], int] = {}
-    opened = [root]
-    total = 1
-    error = None
-    while opened and error is None:
-        depth = max(1, (_LEAVES_PER_PASS // len(opened)).bit_length() - 1)
-        trees = [(window, _leaves(*window, depth)) for window in opened]
-        flat = [leaf for _, leaves in trees for leaf in leaves]
-        numbers = dict(zip(flat, _count_leaves(df, ts_col, flat)))
-        opened = []
-
-        def settle(window: tuple[int, int], level: int) -> None:
-            nonlocal total, error
-            counts[window] = sum(n for leaf, n in numbers.items() if window[0] <= leaf[0] < window[1])
-            if counts[window] <= capacity or error:
-                return
-            middle = _cut(*window)
-            if middle is None:
-                error = f"More than {max_pages} pages for {ts_col} in the minimum split window. Choose a smaller time period."
-                return
-            if level == 0:
-                opened.append(window)
-                return
-            if max_windows is not None and total + 2 > max_windows:
-                error = f"Window split limit ({max_windows}) would be exceeded for {ts_col}. Choose a smaller time period."
-                return
-            total += 2
-            settle((window[0], middle), level - 1)
-            settle((middle, window[1]), level - 1)
-
-        for window, _ in trees:
-            settle(window, depth)
-
-    accepted = sorted(w for w, n in counts.items() if n <= capacity)
-    splits = sum(1 for n in counts.values() if n > capacity)
-    pages = splits * max_pages + sum(max(1, -(-counts[w] // page_size)) for w in accepted)
-    return Slices(
-        [(_moment(s), _moment(e), counts[(s, e)]) for s, e in accepted],
-        page_count=pages, window_count=len(counts), split_count=splits, error=error,
-    )
+    dtype = df.schema[ts_col].dataType
+    root = _range(F.lit(_millis(start)).cast("long"), F.lit(_millis(end)).cast("long"))
+    ts = F.col(ts_col)
+    inside = df.filter((ts >= literal_for(start, dtype)) & (ts < literal_for(end, dtype)))
+    counts = stored(inside.groupBy(F.expr(f"unix_millis(cast(`{ts_col}` as timestamp))").alias("at")).agg(F.count(F.lit(1)).alias("n")), "slices")
+    at = F.col("at")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total <= capacity:
+        rows = counts.sparkSession.range(1).select(F.lit(1).cast("long").alias("sequenceNum"), F.timestamp_millis(F.lit(_millis(start))).alias("start"),
+                                                   F.timestamp_millis(F.lit(_millis(end))).alias("end"), F.lit(total).cast("long").alias("recordCount"))
+        return Slices(rows, max(1, -(-total // page_size)), 1, 0)
+    found = stored(df.sparkSession.range(1).select(root["s"].alias("s"), root["e"].alias("e"), F.lit(total).cast("long").alias("n")), "slices")
+    rows, depth, error, splits = counts, 0, None, 0
+    while error is None:
+        further = depth + LEVELS_PER_PASS
+        leaves = stored(rows.groupBy(_cell(at, root, further).alias("cell")).agg(F.sum("n").alias("n")), "slices")
+        levels = leaves.select(F.explode(_cells(F.col("cell.s"), root, depth, further)).alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n"))
+        found = found.unionByName(stored(levels.select("cell.s", "cell.e", "n"), "slices"))
+        full = found.filter(F.col("n") > capacity)
+        splits, narrow = full.agg(F.count(F.lit(1)), F.count_if(F.col("e") - F.col("s") <= 1)).first()
+        if narrow:
+            error = f"More than {max_pages} pages for {ts_col} in the minimum split window. Choose a smaller time period."
+        elif max_windows is not None and 1 + 2 * splits > max_windows:
+            error = f"Window split limit ({max_windows}) would be exceeded for {ts_col}. Choose a smaller time period."
+        opened = leaves.filter(F.col("n") > capacity).select("cell")
+        if opened.isEmpty():
+            break
+        rows, depth = stored(rows.withColumn("cell", _cell(at, root, further)).join(opened, "cell", "left_semi").select("at", "n"), "slices"), further
+    if error:
+        return Slices(None, window_count=1 + 2 * splits, split_count=splits, error=error)
+    middle = F.shiftright(F.col("s") + F.col("e"), 1)
+    halves = full.select(F.explode(F.array(_range(F.col("s"), middle), _range(middle, F.col("e")))).alias("cell")).select("cell.s", "cell.e")
+    fits = halves.join(found, ["s", "e"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") <= capacity)
+    slices = stored(_numbered(fits, "s", "sequenceNum").select(
+        "sequenceNum", F.timestamp_millis("s").alias("start"), F.timestamp_millis("e").alias("end"), F.col("n").alias("recordCount")), "slices")
+    pages = slices.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("recordCount") / page_size)))).first()[0]
+    return Slices(slices, int(pages) + splits * max_pages, 1 + 2 * splits, splits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Names of the UTC zone.
@@ -44,6 +44,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/twinledger/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder.
+
+    That cuts lineage as a checkpoint does.  A checkpoint would keep the
+    estimated sizes of its plan, which rounds of joins multiply without bound;
+    a table has its own, so joins are planned by real sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def require_utc(spark: SparkSession) -> None:
     """Window arithmetic moves between zones explicitly and needs a UTC session."""
     zone = spark.conf.get("spark.sql.session.timeZone")
