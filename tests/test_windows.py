@@ -165,3 +165,24 @@ def test_slices_of_nothing(spark):
     found = W.adaptive_slices(events(spark, [day]).limit(0), "ts", day, day + timedelta(days=1), 5)
     assert found.windows == [(day, day + timedelta(days=1), 0)] and found.page_count == 1
     assert W.adaptive_slices(events(spark, [day]), "ts", day, day, 5).error
+
+
+def test_windows_of_one_side_have_no_data(spark):
+    from twinledger.plans.windowed import window_presence, windowed_diffs, windowed_reconcile
+
+    rows = lambda days: spark.createDataFrame([(f"o{d}", datetime(2026, m, d)) for m, d in days], "compare_id string, placed timestamp")
+    a, b = rows([(6, 1), (6, 2), (7, 3), (8, 4)]), rows([(6, 2), (8, 4), (8, 5)])  # the second side was down in July
+    windows = spark.createDataFrame([(m, datetime(2026, m, 1), datetime(2026, m + 1, 1)) for m in (5, 6, 7, 8)], "window_id int, start timestamp, end timestamp")
+    told = {r.window_id: (r.statusEnumId, r.only_in_file1, r.only_in_file2, r.matched) for r in windowed_reconcile(a, b, windows, "placed", "placed").collect()}
+    assert told == {5: ("AUT_STAT_NO_DATA", 0, 0, 0), 6: ("AUT_STAT_SUCCESS", 1, 0, 1), 7: ("AUT_STAT_NO_DATA", 0, 0, 0), 8: ("AUT_STAT_SUCCESS", 0, 1, 1)}
+    diffs = windowed_diffs(window_presence(a, b, windows, "placed", "placed"))
+    assert sorted((r.window_id, r.compare_id) for r in diffs.collect()) == [(6, "o1"), (8, "o5")]
+
+
+def test_expected_keys_without_records(spark):
+    from twinledger.operators.compare import classify_counts
+
+    side = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    found = classify_counts(side("a", "b", "b"), side("a", "b", "c"), ["k"], expected=side("a", "d", "d"))
+    assert {r.k: (r.left_count, r.right_count, r.compare_status) for r in found.collect()} == {
+        "a": (1, 1, "MATCHED_COUNT"), "b": (2, 1, "COUNT_MISMATCH"), "c": (0, 1, "MISSING_IN_NS"), "d": (0, 0, "NO_RECORDS")}

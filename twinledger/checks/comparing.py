@@ -183,9 +183,10 @@ def detail_item_join(spark, sf_dir):
 @query("classify_counts", """
 WITH l AS (SELECT l_suppkey AS suppkey, l_returnflag AS flag FROM lineitem),
 r AS (SELECT s_suppkey + 2 AS suppkey, 'A' AS flag, s_acctbal FROM supplier
-      UNION ALL SELECT l_suppkey, l_returnflag, 1.0 FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'N'),
+      UNION ALL SELECT CASE WHEN l_linestatus = 'O' OR l_returnflag = 'N' THEN l_suppkey ELSE l_suppkey + 3 END, l_returnflag, 1.0 FROM lineitem),
+e AS (SELECT s_suppkey AS suppkey, flag FROM supplier, (VALUES ('A'), ('N'), ('R'), ('X')) v(flag)),
 u AS (SELECT suppkey, flag, 1 AS a, 0 AS b, FALSE AS failed FROM l
-      UNION ALL SELECT suppkey, flag, 0, 1, s_acctbal < 0 FROM r),
+      UNION ALL SELECT suppkey, flag, 0, 1, s_acctbal < 0 FROM r UNION ALL SELECT suppkey, flag, 0, 0, FALSE FROM e),
 c AS (SELECT suppkey, flag, CAST(sum(a) AS BIGINT) AS left_count, CAST(sum(b) AS BIGINT) AS right_count,
              bool_or(failed) AS failed FROM u GROUP BY suppkey, flag)
 SELECT suppkey, flag, left_count, right_count,
@@ -196,13 +197,13 @@ FROM c""")
 def classify_counts(spark, sf_dir):
     lines = t.table(spark, sf_dir, "lineitem")
     left = lines.select(F.col("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("flag"))
-    open_lines = lines.filter((F.col("l_linestatus") == "O") | (F.col("l_returnflag") == "N")).select(
-        F.col("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("flag"), F.lit(1.0).alias("s_acctbal")
-    )
-    right = t.table(spark, sf_dir, "supplier").select(
-        (F.col("s_suppkey") + 2).alias("suppkey"), F.lit("A").alias("flag"), "s_acctbal"
-    ).unionByName(open_lines)
-    return C.classify_counts(left, right, ["suppkey", "flag"], error_b=F.col("s_acctbal") < 0)
+    settled = (F.col("l_linestatus") != "O") & (F.col("l_returnflag") != "N")  # the other system books these under another supplier
+    booked = lines.select(F.when(settled, F.col("l_suppkey") + 3).otherwise(F.col("l_suppkey")).alias("suppkey"),
+                          F.col("l_returnflag").alias("flag"), F.lit(1.0).alias("s_acctbal"))
+    suppliers = t.table(spark, sf_dir, "supplier")
+    right = suppliers.select((F.col("s_suppkey") + 2).alias("suppkey"), F.lit("A").alias("flag"), "s_acctbal").unionByName(booked)
+    expected = suppliers.select(F.col("s_suppkey").alias("suppkey"), F.explode(F.array(*map(F.lit, "ANRX"))).alias("flag"))
+    return C.classify_counts(left, right, ["suppkey", "flag"], error_b=F.col("s_acctbal") < 0, expected=expected)
 
 
 @query("reconcile_unified", f"""{t.LINES_SQL}

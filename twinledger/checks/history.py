@@ -65,8 +65,8 @@ def last_run(spark, sf_dir):
   SELECT resultDataManagerPath AS path, 0 AS p, 'resultDataManagerPath' AS f, reconciliationRunResultId AS id FROM results
   UNION ALL SELECT file1DataManagerPath, 1, 'file1DataManagerPath', reconciliationRunResultId FROM results
   UNION ALL SELECT file2DataManagerPath, 2, 'file2DataManagerPath', reconciliationRunResultId FROM results),
-w AS (SELECT 'in/' || c_custkey || '.csv' AS path FROM customer UNION ALL SELECT 'in/F.csv'
-      UNION ALL SELECT 'out/' || o_custkey || '/' || o_orderkey || '.json' FROM orders WHERE o_orderstatus = 'P')
+w AS (SELECT 'in/' || c_custkey || '.csv' AS path FROM customer UNION ALL SELECT DISTINCT 'in/' || o_orderstatus || '.csv' FROM orders
+      UNION ALL SELECT 'out/' || o_custkey || '/' || o_orderkey || '.json' FROM orders)
 SELECT path, id AS "reconciliationRunResultId", f AS "matchedField" FROM (
   SELECT w.path, c.id, c.f, row_number() OVER (PARTITION BY w.path ORDER BY c.p, c.id) AS r FROM w JOIN c USING (path)) WHERE r = 1""")
 def result_lookup(spark, sf_dir):
@@ -74,8 +74,8 @@ def result_lookup(spark, sf_dir):
     cust = F.col("c_custkey").cast("string")
     wanted = (
         t.table(spark, sf_dir, "customer").select(F.concat(F.lit("in/"), cust, F.lit(".csv")).alias("path"))
-        .union(t.table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("in/F.csv")))
-        .union(o.filter("o_orderstatus = 'P'").select(F.concat(
+        .union(o.select(F.concat(F.lit("in/"), "o_orderstatus", F.lit(".csv"))).distinct())
+        .union(o.select(F.concat(
             F.lit("out/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"),
             F.lit(".json"))))
     )

@@ -186,16 +186,10 @@ _ORDER_WINDOWS_SQL = """w AS (SELECT CAST(row_number() OVER (ORDER BY s) AS INTE
      CAST(date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH AS TIMESTAMP), INTERVAL 1 MONTH)) AS s FROM orders))"""
 _TAGGED_SQL = f"""{t.SIDES_SQL}, {_ORDER_WINDOWS_SQL},
 u AS (SELECT window_id, compare_id, 1 AS l, 0 AS r FROM a JOIN w ON placed >= start AND placed < "end"
-      UNION ALL SELECT window_id, compare_id, 0, 1 FROM b JOIN w ON placed >= start AND placed < "end" WHERE month(placed) <> 7),
+      UNION ALL SELECT window_id, compare_id, 0, 1 FROM b JOIN w ON placed >= start AND placed < "end"),
 p AS (SELECT window_id, compare_id, sum(l) AS n_left, sum(r) AS n_right FROM u GROUP BY ALL)"""
 
 
-def _dated_sides(spark, sf_dir):
-    """Both sides with their dates; the second was down in July of each year, so those windows have one side only."""
-    a, b = t.sides(spark, sf_dir, dated=True)
-    return a, b.filter(F.month("placed") != 7)
-
-
 @query("windowed_reconcile", _TAGGED_SQL + """,
 g AS (SELECT window_id, sum(n_left) AS f1, sum(n_right) AS f2, count(*) FILTER (n_right = 0) AS o1,
              count(*) FILTER (n_left = 0) AS o2, count(*) FILTER (n_left > 0 AND n_right > 0) AS m FROM p GROUP BY window_id)
@@ -204,7 +198,7 @@ SELECT window_id, start, "end", CASE WHEN f1 > 0 AND f2 > 0 THEN 'AUT_STAT_SUCCE
        CAST(CASE WHEN f1 > 0 AND f2 > 0 THEN o1 ELSE 0 END AS BIGINT) AS only_in_file1, CAST(CASE WHEN f1 > 0 AND f2 > 0 THEN o2 ELSE 0 END AS BIGINT) AS only_in_file2,
        CAST(COALESCE(m, 0) AS BIGINT) AS matched FROM w LEFT JOIN g USING (window_id)""")
 def windowed(spark, sf_dir):
-    a, b = _dated_sides(spark, sf_dir)
+    a, b = t.sides(spark, sf_dir, dated=True)
     return windowed_reconcile(a, b, _order_windows(spark, sf_dir), "placed", "placed")
 
 
@@ -212,17 +206,17 @@ def windowed(spark, sf_dir):
 SELECT window_id, compare_id, CASE WHEN n_right = 0 THEN 'MISSING_IN_FILE_2' ELSE 'MISSING_IN_FILE_1' END AS "diffType"
 FROM p WHERE (n_left = 0 OR n_right = 0) AND window_id IN (SELECT window_id FROM p GROUP BY window_id HAVING sum(n_left) > 0 AND sum(n_right) > 0)""")
 def windowed_missing(spark, sf_dir):
-    a, b = _dated_sides(spark, sf_dir)
+    a, b = t.sides(spark, sf_dir, dated=True)
     return windowed_diffs(window_presence(a, b, _order_windows(spark, sf_dir), "placed", "placed"))
 
 
 @query("windowed_ruleset", f"""{t.SIDES_SQL}, {_ORDER_WINDOWS_SQL},
 aw AS (SELECT * FROM a JOIN w ON placed >= start AND placed < "end"),
-bw AS (SELECT * FROM b JOIN w ON placed >= start AND placed < "end" WHERE month(placed) <> 7),
+bw AS (SELECT * FROM b JOIN w ON placed >= start AND placed < "end"),
 x AS (WITH a AS (SELECT * REPLACE (window_id || chr(1) || compare_id AS compare_id) FROM aw WHERE window_id IN (SELECT window_id FROM bw)),
   b AS (SELECT * REPLACE (window_id || chr(1) || compare_id AS compare_id) FROM bw WHERE window_id IN (SELECT window_id FROM aw)),
   missing AS ({MISSING_SQL}) {RULESET_MISSING_SQL} UNION ALL {RULE_ROWS_SQL})
 SELECT CAST(split_part("primaryId", chr(1), 1) AS INTEGER) AS window_id, * REPLACE (split_part("primaryId", chr(1), 2) AS "primaryId") FROM x""")
 def windowed_rules(spark, sf_dir):
-    a, b = _dated_sides(spark, sf_dir)
+    a, b = t.sides(spark, sf_dir, dated=True)
     return windowed_ruleset(a, b, _order_windows(spark, sf_dir), "placed", "placed", t.scope(t.STATUS_RULE, t.PRICE_RULE))

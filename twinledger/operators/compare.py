@@ -287,17 +287,21 @@ def detail_item_join(
 
 
 def classify_counts(a: DataFrame, b: DataFrame, keys: list[str], error_a: Column | None = None,
-                    error_b: Column | None = None) -> DataFrame:
-    """Record counts of both sides per key and the status they imply."""
+                    error_b: Column | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Record counts of both sides per key and the status they imply.
 
-    def tagged(df: DataFrame, left: bool, error: Column | None) -> DataFrame:
+    ``expected`` lists keys that should have records; one that has none on
+    either side is ``NO_RECORDS``.  Its repeated keys count once.
+    """
+
+    def tagged(df: DataFrame, left: int, right: int, error: Column | None = None) -> DataFrame:
         flag = F.lit(False) if error is None else F.coalesce(error, F.lit(False))
-        return df.select(
-            *keys, F.lit(1 if left else 0).cast("bigint").alias("a"),
-            F.lit(0 if left else 1).cast("bigint").alias("b"), flag.alias("failed"),
-        )
+        return df.select(*keys, F.lit(left).cast("bigint").alias("a"), F.lit(right).cast("bigint").alias("b"), flag.alias("failed"))
 
-    counts = tagged(a, True, error_a).unionByName(tagged(b, False, error_b)).groupBy(*keys).agg(
+    rows = tagged(a, 1, 0, error_a).unionByName(tagged(b, 0, 1, error_b))
+    if expected is not None:
+        rows = rows.unionByName(tagged(expected, 0, 0))
+    counts = rows.groupBy(*keys).agg(
         F.sum("a").alias("left_count"), F.sum("b").alias("right_count"), F.max("failed").alias("failed")
     )
     return counts.select(*keys, "left_count", "right_count", count_status("left_count", "right_count", "failed"))
