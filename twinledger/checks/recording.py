@@ -17,6 +17,7 @@ from twinledger.model import RULESET_DIFF_COLUMNS, SideConfig
 from twinledger.operators import records, sinks
 from twinledger.session import scratch_path
 from twinledger.sources import files, results
+from twinledger.sources.csvsplit import CSV_OPTIONS, scan_csv_split
 from twinledger.streaming import polling
 
 
@@ -25,11 +26,22 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS text FROM d
 def scan_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     t.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").write.csv(
-        path, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        path, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_OPTIONS
     )
     return files.scan_csv(spark, path).select("doc_id", "lang", "source", F.md5("text").alias("text"))
 
 
+@query("scan_csv_split", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(replace(text, chr(13) || chr(10), chr(10))) AS text FROM documents""")
+def csv_split(spark, sf_dir):
+    """Whole texts with their line breaks and quotes, read by as many tasks as the files have parts."""
+    path = scratch_path(spark, "csv")
+    t.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").write.csv(
+        path, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_OPTIONS
+    )
+    return scan_csv_split(spark, path).select("doc_id", "lang", "source", F.md5("text").alias("text"))
+
+
 @query("scan_json", """
 SELECT o_orderkey AS key, o_orderstatus AS status, o_custkey AS custkey, o_orderpriority AS priority FROM orders""")
 def scan_json(spark, sf_dir):

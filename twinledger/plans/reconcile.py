@@ -30,7 +30,8 @@ from twinledger.operators import rules as R
 from twinledger.operators.jsonschema import file_errors
 from twinledger.operators.records import extract_data
 from twinledger.operators.skew import fits_broadcast
-from twinledger.sources.files import file_type, run_type, scan_csv, scan_json
+from twinledger.sources.csvsplit import scan_csv_split
+from twinledger.sources.files import file_type, run_type, scan_json
 
 
 def reconcile_ids(a: DataFrame, b: DataFrame) -> RunResult:
@@ -78,7 +79,7 @@ def read_side(
     if guessed:
         warnings.append(f"File type auto-detected as CSV for {path.rstrip('/').rsplit('/', 1)[-1]}")
     spec = side_id_spec(side, kind, where, warnings)
-    raw = scan_csv(spark, path, has_header) if kind == "CSV" else scan_json(spark, path, json_lines=json_lines)
+    raw = scan_csv_split(spark, path, has_header) if kind == "CSV" else scan_json(spark, path, json_lines=json_lines)
     return extract_data(raw, spec, side.label), kind
 
 

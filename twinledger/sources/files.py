@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.functions.values import literal_for
+from twinledger.sources.csvsplit import CSV_OPTIONS
 
 # Preview size and the words that mark a JSON-Schema document.
 PREVIEW_CHARS = 8192
@@ -20,12 +21,13 @@ SCHEMA_WORDS = ['"properties"', '"items"', '"definitions"', '"$defs"']
 def scan_csv(
     spark: SparkSession, path: str | list[str], header: bool = True, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with every field a string.
+    """CSV with every field a string; a quote within quotes is written twice.
 
     ``multi_line=False`` lets Spark split large files; keep the default when
-    quoted fields may hold line breaks.
+    quoted fields may hold line breaks, or use ``scan_csv_split``, which splits
+    such files too.
     """
-    return spark.read.csv(path, header=header, multiLine=multi_line)
+    return spark.read.csv(path, header=header, multiLine=multi_line, **CSV_OPTIONS)
 
 
 def scan_json(
