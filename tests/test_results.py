@@ -139,3 +139,15 @@ def test_newest_file_only(spark, tmp_path):
                                 (2, "b", "{}", ("2026-01-01 00:00:00", "g1"))],
                                "side int, compare_id string, payload string, file struct<mtime:string,name:string>")
     assert sorted(r["compare_id"] for r in polling._newest_only(df).collect()) == ["b", "b"]
+
+
+def test_polled_times_keep_their_microseconds(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+    from twinledger.streaming.polling import TIMES
+
+    at = datetime(2026, 1, 2, 12, 0, 0, 123456)
+    df = spark.createDataFrame([(at,)], "at timestamp").select(F.struct("at", F.col("at").cast("timestamp_ntz").alias("n")).alias("data"))
+    back = df.select(F.from_json(F.to_json("data", TIMES), df.schema["data"].dataType, TIMES).alias("d")).select("d.*").first()
+    assert (back["at"], back["n"]) == (at, at)

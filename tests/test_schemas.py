@@ -135,6 +135,13 @@ def test_file_items_are_numbered_by_file(spark, tmp_path):
     ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [1, 3.5], [4, 2.5]),
     ({"allOf": [{"minimum": 1}, {"maximum": 2}], "not": {"const": 2}}, [1, 1.5], [0, 2, 3]),
     ({"$ref": "#/definitions/p", "definitions": {"p": {"required": ["a"]}}}, [{"a": None}], [{}]),
+    ({"properties": {"it's": {"type": "integer"}, 'say "x"': {"type": "string"}, "a'b\"c": {"const": 1}, "back\\s": {"type": "null"}}, "required": ["it's"]},
+     [{"it's": 1, 'say "x"': "y", "a'b\"c": 1, "back\\s": None}, {"it's": 2}], [{"it's": "1"}, {"it's": 1, 'say "x"': 2}, {"it's": 1, "a'b\"c": 2}, {}, {"it's": 1, "back\\s": 0}]),
+    ({"enum": [[{"b": 1, "a": 2}], {"x": [1.0, {"y": None}]}]}, [[{"a": 2, "b": 1}], [{"b": 1.0, "a": 2}], {"x": [1, {"y": None}]}],
+     [[{"a": 2}], [{"a": 2, "b": 1, "c": 3}], [{"a": 2, "b": 1}, 1], {"x": [1, {}]}, {"x": [1, {"y": 0}]}, []]),
+    ({"const": [1.0]}, [[1], [1.0]], [[1, 1], ["1"], 1, []]),
+    ({"multipleOf": 0.0001}, [12345678901234567890123456789, 0.0003], [0.00015]),
+    ({"multipleOf": 7}, [7 * 10**30], [7 * 10**30 + 1]),
 ])
 def test_keywords(spark, schema, good, bad):
     failed = {r["index"] for r in J.record_errors(texts(spark, *map(json.dumps, good + bad)), "doc", schema, "i").select("index").distinct().collect()}

@@ -358,8 +358,12 @@ def path_in_schema(
 _EMPTY = "CAST(ARRAY() AS ARRAY<STRING>)"
 
 
-def _quote_path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def _member(value: Column, key: str) -> Column:
+    """An object's member, null if absent.  Paths have no escapes, so a name with both quotes, or none at all, is looked up as a map's key."""
+    for quote in "'\"":
+        if key and quote not in key:
+            return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
 
 
 def _with_shape(value: Column, check: Callable[[Column, Column], Column]) -> Column:
@@ -442,7 +446,12 @@ def _related(value: Column, bound: int | float, relation: Callable[[Column, Colu
     if limit is None:
         return rough
     fine = F.try_variant_get(value, "$", "decimal(38,18)")
-    return F.when(fine.isNotNull(), relation(fine, limit)).otherwise(rough)
+    told = Decimal(repr(bound)) if isinstance(bound, float) else Decimal(bound)
+    kind = f"decimal(38,{max(0, -told.as_tuple().exponent)})"
+    # a whole number too long for 18 fraction digits is compared with as many as the schema's number has
+    long = F.try_variant_get(value, "$", kind)
+    whole = F.schema_of_variant(value).rlike(r"^DECIMAL\(\d+,0\)$") & long.isNotNull()
+    return F.when(fine.isNotNull(), relation(fine, limit)).when(whole, relation(long, F.lit(format(told, "f")).cast(kind))).otherwise(rough)
 
 
 def _errors(value: Column, shape: Column, schema: dict, scope: _Scope, where: str) -> Column:
@@ -499,9 +508,19 @@ def _errors(value: Column, shape: Column, schema: dict, scope: _Scope, where: st
 
 
 def _equals(value: Column, shape: Column, literal: object) -> Column:
+    """Equality of structures: members in any order, numbers by value, at every level."""
     kind = json_type(literal)
     if kind in ("object", "array"):
-        return F.to_json(value) == F.lit(json.dumps(literal, separators=(",", ":"), sort_keys=kind == "object"))
+        if kind == "object":
+            parts = F.try_variant_get(value, "$", "map<string,variant>")
+            pairs = [(_member(value, k), v) for k, v in literal.items()]
+        else:
+            parts = F.try_variant_get(value, "$", "array<variant>")
+            pairs = [(F.get(parts, i), v) for i, v in enumerate(literal)]
+        same = _is_type(value, shape, kind) & (F.size(parts) == len(literal))
+        for part, wanted in pairs:
+            same = same & _equals(part, F.schema_of_variant(part), wanted)
+        return F.coalesce(same, F.lit(False))
     if kind == "null":
         return _is_type(value, shape, "null")
     if kind in ("integer", "number"):
@@ -526,7 +545,7 @@ def _object_checks(value: Column, shape: Column, schema: dict, scope: _Scope, wh
             return F.when(v.isNull(), message).otherwise(found)
 
         # The member is looked up once, for its presence and its own checks.
-        errors = _with_shape(F.try_variant_get(value, _quote_path(key), "variant"), member)
+        errors = _with_shape(_member(value, key), member)
         checks.append(F.when(is_object, errors).otherwise(F.expr(_EMPTY)))
 
     def each(keys: Column, work: Callable[[Column], Column]) -> None:

@@ -13,6 +13,9 @@ from twinledger.operators.compare import KEY, diff_summary, missing_on_both_side
 from twinledger.operators.records import extract_data
 from twinledger.plans.reconcile import reconcile_ruleset
 
+# Payloads wait as text; the default formats would cut times to milliseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def drop_stream(
     spark: SparkSession, path: str, file_format: str, schema: T.StructType | str,
@@ -36,7 +39,7 @@ def _side_rows(stream: DataFrame, side: SideConfig, kind: str, number: int) -> t
     spec = parse_id_spec(side.id_expression, kind, side.id_normalizer)
     rows = extract_data(stream, spec, side.label, keep=("_file",))
     tagged = rows.select(
-        F.lit(number).alias("side"), KEY, F.to_json("data").alias("payload"), F.col("_file").alias("file")
+        F.lit(number).alias("side"), KEY, F.to_json("data", TIMES).alias("payload"), F.col("_file").alias("file")
     )
     return tagged, rows.schema["data"].dataType
 
@@ -84,7 +87,7 @@ def reconcile_batch(
         has_data = found["file1_count"] > 0 and found["file2_count"] > 0
         if has_data:
             if scope is not None:
-                full = [own.select(KEY, F.from_json("data.payload", kind).alias("data")) for own, kind in zip(sides, payloads)]
+                full = [own.select(KEY, F.from_json("data.payload", kind, TIMES).alias("data")) for own, kind in zip(sides, payloads)]
                 diffs = reconcile_ruleset(full[0], full[1], scope, count=False).diffs
             else:
                 diffs = missing_on_both_sides(sides[0], sides[1], ids, label1, label2).withColumn(
