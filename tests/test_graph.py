@@ -3,7 +3,6 @@
 import random
 import time
 
-import pytest
 from twinledger.operators.graph import components
 
 
@@ -89,23 +88,16 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
-def test_shapes(spark, shape):
-    found, ways = held(spark, SHAPES[shape])
-    assert found == plain_components(SHAPES[shape])
-    if shape == "rings":
-        assert {c: len(w) for c, w in ways.items()} == {name(0): 2, name(10): 3, name(100): 33}
-    if shape == "parallel ways":
-        assert ways == {"a": ["a", "b", "e"]}
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_random_graphs(spark, seed):
-    rng = random.Random(seed)
-    n = 60
-    pairs = sorted({(name(rng.randrange(n)), name(rng.randrange(n))) for _ in range(rng.choice([50, 70, 90, 150]))})
-    found, _ = held(spark, pairs)
+def test_shapes_and_random_graphs_beside_each_other(spark):
+    rng = random.Random(0)
+    graphs = dict(SHAPES)
+    for n in (50, 70, 90, 150):
+        graphs[f"random {n}"] = sorted({(name(rng.randrange(60)), name(rng.randrange(60))) for _ in range(n)})
+    pairs = [(f"{shape}: {a}", f"{shape}: {b}") for shape, edges in graphs.items() for a, b in edges]
+    found, ways = held(spark, pairs)
     assert found == plain_components(pairs)
+    assert {c: len(w) for c, w in ways.items() if c.startswith("rings: ")} == {f"rings: {name(i)}": n for i, n in ((0, 2), (10, 3), (100, 33))}
+    assert ways["parallel ways: a"] == [f"parallel ways: {n}" for n in "abe"]
 
 
 def test_nothing(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from twinledger.operators.skew import HOT_ROWS, hot_keys_of, join_unique
@@ -158,25 +158,31 @@ def _jump(pointers: DataFrame) -> DataFrame:
     A pass doubles what is covered, so the passes are the logarithm of the
     longest chain or ring.
     """
-    now = pointers.withColumns({"open": F.lit(True), "new": F.lit(True)})
-    before = None
+    now, before = pointers, None
     while True:
-        ahead = now.select(F.col("x").alias("nxt"), *[F.col(c).alias(f"_{c}") for c in ("nxt", "d", "last", "low", "dlow")])
-        joined = now.select("x", "nxt", "d", "last", "low", "dlow").join(ahead, "nxt", "left")
-        more, lower = F.col("_d").isNotNull(), F.coalesce(F.col("_low") < F.col("low"), F.lit(False))
-        now = joined.select(
-            "x", F.coalesce("_nxt", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.coalesce("_last", "last").alias("last"),
-            F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("d") + F.col("_dlow")).otherwise(F.col("dlow")).alias("dlow"),
-            more.alias("open"), lower.alias("new")).transform(stored, "graph")
-        left, changed = now.agg(F.count_if("open"), F.count_if(F.col("open") & F.col("new"))).first()
+        seen = Observation()
+        now = _doubled(_doubled(now).drop("open", "new")).observe(seen, F.count_if("open").alias("left"), F.count_if(F.col("open") & F.col("new")).alias("changed"))
+        now = now.drop("new").transform(stored, "graph")
+        left, changed = seen.get["left"], seen.get["changed"]
         # a chain settles some of its nodes in each pass; what no longer shrinks are rings, done when no smaller node comes up
         if not left or (left == before and not changed):
-            return now.withColumnRenamed("open", "ring").drop("new")
-        before = left
+            return now.withColumnRenamed("open", "ring")
+        before, now = left, now.drop("open")
 
 
-def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
-    """Edges without dead ends and without chains, or None when there are neither.
+def _doubled(now: DataFrame) -> DataFrame:
+    """Each pointer followed by the one of the node that it reaches; ``open`` if there is one, ``new`` if that passed a smaller node."""
+    ahead = now.select(F.col("x").alias("nxt"), *[F.col(c).alias(f"_{c}") for c in ("nxt", "d", "last", "low", "dlow")])
+    joined = now.join(ahead, "nxt", "left")
+    more, lower = F.col("_d").isNotNull(), F.coalesce(F.col("_low") < F.col("low"), F.lit(False))
+    return joined.select(
+        "x", F.coalesce("_nxt", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.coalesce("_last", "last").alias("last"),
+        F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("d") + F.col("_dlow")).otherwise(F.col("dlow")).alias("dlow"),
+        "succ", "w", more.alias("open"), lower.alias("new"))
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, int, Level] | None:
+    """Edges without dead ends and without chains, and their number, or None when there are neither.
 
     ``edges`` are ``src, dst, w`` (``w`` original steps), one a pair, no loops.
     Nodes with one edge in and one out form chains and rings.  A chain between
@@ -189,17 +195,16 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
     """
     outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min(F.struct("dst", "w")).alias("e"))
     ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
-    degrees = outs.join(ins, "node", "full").transform(stored, "graph")
     chain_node = (F.col("n_in") == 1) & (F.col("n_out") == 1)
     passable = F.col("n_in").isNotNull() & F.col("n_out").isNotNull()
-    n_chain, n_dead = degrees.agg(F.count_if(chain_node), F.count_if(~passable)).first()
-    if not n_chain and not n_dead:
+    seen = Observation()
+    degrees = outs.join(ins, "node", "full").observe(seen, F.count_if(chain_node).alias("chain"), F.count_if(~passable).alias("dead")).transform(stored, "graph")
+    if not seen.get["chain"] and not seen.get["dead"]:
         return None
     on_chain = degrees.filter(chain_node).select(F.col("node").alias("x"), F.col("e.dst").alias("succ"), F.col("e.w").alias("w"))
-    found = _jump(on_chain.select("x", F.col("succ").alias("nxt"), F.col("w").alias("d"), F.col("x").alias("last"), F.col("x").alias("low"), F.lit(0).cast("long").alias("dlow")))
-    own = found.join(on_chain, "x").transform(stored, "graph")
-    members = own.filter(~F.col("ring")).select("x", F.col("last").alias("chain"), "d", "succ", "w")
-    rounds = own.filter("ring")
+    found = _jump(on_chain.select("x", F.col("succ").alias("nxt"), F.col("w").alias("d"), F.col("x").alias("last"), F.col("x").alias("low"), F.lit(0).cast("long").alias("dlow"), "succ", "w"))
+    members = found.filter(~F.col("ring")).select("x", F.col("last").alias("chain"), "d", "succ", "w")
+    rounds = found.filter("ring")
     total = rounds.groupBy(F.col("low").alias("cycle")).agg(F.sum("w").alias("total"))
     rings = rounds.withColumnRenamed("low", "cycle").join(total, "cycle").select(
         "cycle", F.when(F.col("dlow") == 0, F.lit(0).cast("long")).otherwise(F.col("total") - F.col("dlow")).alias("at"), F.col("x").alias("src"), F.col("succ").alias("dst"), "w")
@@ -209,12 +214,15 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, Level] | None:
     chains = outer.filter("_chain").join(ends, "dst").select(
         "chain", F.col("src").alias("u"), "v", F.col("dst").alias("first"), F.col("w").alias("wfirst"), (F.col("w") + F.col("d")).alias("w")).transform(stored, "graph")
     direct = outer.filter(F.col("_chain").isNull()).select(F.col("src").alias("u"), F.col("dst").alias("v"), "w", F.lit(None).cast("string").alias("chain"))
-    made = direct.unionByName(chains.select("u", "v", "w", "chain")).groupBy("u", "v").agg(F.min(F.struct("w", "chain")).alias("e")).select("u", "v", "e.w", "e.chain").transform(stored, "graph")
-    dead = degrees.filter(~passable).select("node")
-    rest = made.filter(F.col("u") != F.col("v")).join(dead.withColumnRenamed("node", "u"), "u", "left_anti").join(dead.withColumnRenamed("node", "v"), "v", "left_anti")
-    rest = rest.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").transform(stored, "graph")
-    return rest, Level(members, chains, made.filter(F.col("chain").isNotNull()).select("u", "v", "chain"),
-                       made.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), "chain", "w"), rings)
+    made = direct.unionByName(chains.select("u", "v", "w", "chain")).groupBy("u", "v").agg(F.min(F.struct("w", "chain")).alias("e")).select("u", "v", "e.w", "e.chain")
+    dead = degrees.filter(~passable).select("node", F.lit(True).alias("_dead"))
+    marked = made.join(dead.withColumnsRenamed({"node": "u", "_dead": "_from"}), "u", "left").join(dead.withColumnsRenamed({"node": "v", "_dead": "_to"}), "v", "left")
+    marked = marked.select("u", "v", "w", "chain", (F.col("_from").isNull() & F.col("_to").isNull() & (F.col("u") != F.col("v"))).alias("goes_on"))
+    left = Observation()
+    marked = marked.observe(left, F.count_if("goes_on").alias("n")).transform(stored, "graph")
+    rest = marked.filter("goes_on").select(F.col("u").alias("src"), F.col("v").alias("dst"), "w")
+    return rest, left.get["n"], Level(members, chains, marked.filter(F.col("chain").isNotNull()).select("u", "v", "chain"),
+                                      marked.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), "chain", "w"), rings)
 
 
 def _kernel_paths(kernel: DataFrame, cycles: DataFrame, towards: DataFrame) -> DataFrame:
@@ -270,19 +278,24 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, D
     both its ends are in one component.  ``cycle`` is the component's smallest
     node; a path begins with its own smallest node, step 0.
     """
-    graph = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().withColumn("w", F.lit(1).cast("long")).transform(stored, "graph")
-    levels: list[Level] = []
-    while not graph.isEmpty():
+    spark = edges.sparkSession
+    seen = Observation()
+    graph = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().withColumn("w", F.lit(1).cast("long"))
+    graph = graph.observe(seen, F.count(F.lit(1)).alias("n")).transform(stored, "graph")
+    size, levels = seen.get["n"], []
+    while size:
         less = _contract(graph)
         if less is None:
             break
-        graph, level = less
+        graph, size, level = less
         levels.append(level)
-    cycles, towards = _kernel_components(graph, hot_rows)
-    paths = _kernel_paths(graph, cycles, towards) if not graph.isEmpty() else edges.sparkSession.createDataFrame([], "cycle string, at long, src string, dst string, w long")
+    cycles, paths = spark.createDataFrame([], "node string, cycle string"), spark.createDataFrame([], "cycle string, at long, src string, dst string, w long")
+    if size:
+        cycles, towards = _kernel_components(graph, hot_rows)
+        paths = _kernel_paths(graph, cycles, towards)
     for level in reversed(levels):
         loops = level.loops.join(cycles.select("node"), "node", "left_anti").transform(stored, "graph")
-        cycles = cycles.unionByName(loops.select("node", F.col("node").alias("cycle"))).transform(stored, "graph")
+        cycles = cycles.unionByName(loops.select("node", F.col("node").alias("cycle")))
         paths = _unfolded(paths, level, loops)
         on = level.chains.join(cycles.select(F.col("node").alias("u"), "cycle"), "u").join(cycles.select(F.col("node").alias("v"), F.col("cycle").alias("_v")), "v")
         inner = level.members.join(on.filter(F.col("cycle") == F.col("_v")).select("chain", "cycle"), "chain").select(F.col("x").alias("node"), "cycle")
