@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -30,8 +31,8 @@ from llm.common import blocks, mixed, runs_expanded, shard_of, written
 WINDOW = 1024
 SHARD_ROWS = 2000
 """Documents of one shard, about; frequent lead words are dealt over several shards."""
-CACHE = 500_000
-"""Encoded words that a task remembers."""
+SEEN = 500_000
+"""Rows that a task remembers to tell repeated ones."""
 K1, B = 1.2, 0.75
 END = 0
 
@@ -50,12 +51,10 @@ def _byte_signs() -> dict[str, int]:
 class Encoder:
     """Token ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    For byte-level files that split off a word with the space before it, a
-    text is cut at single spaces between other characters, each distinct
-    piece is encoded once, and the results are joined: no token spans such a
-    cut.  Where the file's merges are in the order of its ids, ``tiktoken``
-    applies them to the pieces, which gives the same ids in a third of the
-    time.  Any other text is encoded whole by ``tokenizers``.
+    Where a byte-level file's merges are in the order of its ids, ``tiktoken``
+    applies them to the text, which gives the same ids in a fraction of the
+    time.  Texts that hold a special token, and those of any other file, are
+    encoded by ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -67,10 +66,8 @@ class Encoder:
             told = json.load(file)
         self.special = [t["content"] for t in told.get("added_tokens") or []]
         split = told.get("pre_tokenizer") or {}
-        self.by_word = told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-        self.fast = self._ranked(told["model"]) if self.by_word else None
-        self.heads: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes | None] = {}
+        plain = told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.fast = self._ranked(told["model"]) if plain else None
 
     @staticmethod
     def _ranked(model: dict):
@@ -91,36 +88,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, parts: set[str], before: str) -> None:
-        if len(known) > CACHE:
-            known.clear()
-        new = [p for p in parts if p not in known]
-        known.update(dict.fromkeys(new))  # a piece that white space bounds can't be encoded alone
-        good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        if self.fast:
-            one = self.fast
-            known.update((p, array("I", one(before + p)).tobytes()) for p in good)
-        else:
-            known.update(zip(good, self._encode([before + p for p in good]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if not self.fast:
             return self._encode(texts)
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.heads, {c[0] for c in cut}, "")
-        tails: set[str] = set()
-        for parts in cut:
-            tails.update(parts[1:])
-        self._learn(self.tails, tails, " ")
-        out: list[bytes] = []
-        whole: list[int] = []
-        for i, (text, parts) in enumerate(zip(texts, cut, strict=True)):
-            found = [self.heads[parts[0]], *map(self.tails.__getitem__, parts[1:])]
-            if None in found or any(s in text for s in self.special):
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
+        whole = [i for i, text in enumerate(texts) if any(x in text for x in self.special)]
+        out = [array("I", self.fast(text)).tobytes() for text in texts]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
@@ -139,29 +111,41 @@ def word_starts(path: str) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, doc_tokens, whole`` (checksums of whole windows), ``rest`` (ids), ``lead``.
+    """``doc_id, doc_tokens, whole`` (checksums of whole windows), ``rest`` (ids), ``lead``, ``copy``.
 
     ``lead`` is the smallest hash of the rest's neighbouring ids: alike rests often share it.
+    ``copy`` parts equal rows: a task's first one of its kind has its thousand of
+    partitions' number, each further one a number of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
+        partition, repeats = TaskContext.get().partitionId(), 0
+        seen: set[int] = set()
         for block in blocks(batches, 1):
             texts = [t or "" for t in block.column(1).to_pylist()]
             rows = []
-            for ids in encoder.encode(texts):
+            if len(seen) > SEEN:
+                seen.clear()
+            for who, ids in zip(block.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                kind = hash((str(who), ids))
+                copy = partition // 1000
+                if kind in seen:
+                    repeats += 1
+                    copy = (partition + 1) << 32 | repeats
+                seen.add(kind)
                 ids += END.to_bytes(4, "little")
                 n = len(ids) // 4
                 to = n // window * window
                 whole = [zlib.crc32(ids[4 * a : 4 * (a + window)]) for a in range(0, to, window)]
                 rest = np.frombuffer(ids, "<u4")[to:].astype(np.uint64)
                 pairs = mixed(rest[:-1] << np.uint64(32) | rest[1:])
-                rows.append((n, whole, ids[4 * to :], int(pairs.min() >> np.uint64(1)) if len(pairs) else 0))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=["doc_id", "doc_tokens", "whole", "rest", "lead"])
+                rows.append((n, whole, ids[4 * to :], int(pairs.min() >> np.uint64(1)) if len(pairs) else 0, copy))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=["doc_id", "doc_tokens", "whole", "rest", "lead", "copy"])
 
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    schema = StructType([StructField("doc_id", source.schema["doc_id"].dataType)]).add("doc_tokens", "long").add("whole", ArrayType(LongType())).add("rest", "binary").add("lead", "long")
+    schema = StructType([StructField("doc_id", source.schema["doc_id"].dataType)]).add("doc_tokens", "long").add("whole", ArrayType(LongType())).add("rest", "binary").add("lead", "long").add("copy", "long")
     return source.mapInArrow(run, schema)
 
 
@@ -250,7 +234,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_r
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A null text counts as empty (its end id alone); rows that repeat an id are
-    packed each for itself; an empty table gives no piece.  Other columns of
+    packed each for itself, equal rows in many shards; an empty table gives no
+    piece.  A very long text's whole windows are sequences of their own.  Ties
+    of scores go to the piece that comes first by id and length.  Other columns of
     ``docs`` are ignored.  ``path`` names a tokenizer file that every executor has.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -262,7 +248,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_r
     sizes = ids.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count("*") / shard_rows).alias("parts"))
     placed = sizes.selectExpr("bucket", "parts", "sum(parts) over (order by bucket rows between unbounded preceding and current row) - parts as before")
     # Wide rows are split by adaptive execution where a bucket is frequent; the next exchange deals them over its shards.
-    dealt = ids.withColumn("bucket", bucket).join(placed, "bucket").withColumn("shard", F.col("before") + shard_of("doc_id", "doc_tokens", "rest") % F.col("parts"))
+    dealt = ids.withColumn("bucket", bucket).join(placed, "bucket").withColumn("shard", F.col("before") + shard_of("doc_id", "doc_tokens", "rest", "copy") % F.col("parts"))
 
     def work(part: pa.Table) -> pa.Table:
         flags = np.unpackbits(starts).astype(bool)

@@ -20,7 +20,6 @@ def test_encoder_equals_the_tokenizer(sample):
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
     encoder.fast = None
-    encoder.tails.clear()
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
 
 
@@ -59,6 +58,12 @@ def test_edges(spark, edge, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_equal_rows_lie_in_many_shards(spark):
+    equal = spark.range(6000).selectExpr("cast(null as long) as doc_id", "'the same words again' as text")
+    shards = packing.pack(equal, shard_rows=500).selectExpr("sequence_id >> 32 as shard").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) >= 6000 and len(shards) >= 10 and max(r["count"] for r in shards) < 800
+
+
 def test_neighbours_share_words():
     starts = np.zeros(200, bool)
     starts[100:] = True
