@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from twinledger.checks import tables as t
@@ -18,6 +19,7 @@ from twinledger.operators import records, sinks
 from twinledger.session import scratch_path
 from twinledger.sources import files, results
 from twinledger.sources.csvsplit import CSV_OPTIONS, scan_csv_split
+from twinledger.sources.jsonsplit import scan_json_split
 from twinledger.streaming import polling
 
 
@@ -56,6 +58,27 @@ def scan_json(spark, sf_dir):
     return read.select("key", "node.status", "node.inner.custkey", "node.inner.priority")
 
 
+@query("scan_json_split", """
+SELECT doc_id, lang, source, md5(text) AS text FROM documents""")
+def json_split(spark, sf_dir):
+    """Whole texts out of files that hold one array each, read by as many tasks as the files have parts."""
+    path = scratch_path(spark, "json")
+    rows = t.table(spark, sf_dir, "documents").select(
+        F.to_json(F.struct("doc_id", F.struct("lang", "source").alias("told"), F.array("text").alias("texts"))).alias("record"))
+
+    def arrays(batches):
+        mark = "["
+        for batch in batches:
+            marks = [mark] + [","] * (batch.num_rows - 1) if batch.num_rows else []
+            mark = "," if marks else mark
+            yield pa.RecordBatch.from_arrays([pa.array([m + r for m, r in zip(marks, batch.column(0).to_pylist(), strict=True)], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    rows.mapInArrow(arrays, "value string").write.text(path)
+    read = scan_json_split(spark, path, "doc_id long, told struct<lang: string, source: string>, texts array<string>")
+    return read.select("doc_id", "told.lang", "told.source", F.md5(F.col("texts")[0]).alias("text"))
+
+
 @query("payload_shape_guard", r"""
 WITH f AS (
   SELECT 'e' || event_id || '.json' AS file_name, '  ' || props AS head, CASE WHEN event_type = 'click' THEN 'CSV' ELSE 'JSON' END AS declared_type FROM events

@@ -32,6 +32,7 @@ from twinledger.operators.records import extract_data
 from twinledger.operators.skew import fits_broadcast
 from twinledger.sources.csvsplit import scan_csv_split
 from twinledger.sources.files import file_type, run_type, scan_json
+from twinledger.sources.jsonsplit import scan_json_split
 
 
 def reconcile_ids(a: DataFrame, b: DataFrame) -> RunResult:
@@ -79,7 +80,10 @@ def read_side(
     if guessed:
         warnings.append(f"File type auto-detected as CSV for {path.rstrip('/').rsplit('/', 1)[-1]}")
     spec = side_id_spec(side, kind, where, warnings)
-    raw = scan_csv_split(spark, path, has_header) if kind == "CSV" else scan_json(spark, path, json_lines=json_lines)
+    if kind == "CSV":
+        raw = scan_csv_split(spark, path, has_header)
+    else:
+        raw = scan_json(spark, path, json_lines=True) if json_lines else scan_json_split(spark, path)
     return extract_data(raw, spec, side.label), kind
 
 

@@ -36,7 +36,10 @@ def scan_json(
     schema: T.StructType | str | None = None,
     json_lines: bool = False,
 ) -> DataFrame:
-    """JSON documents, one row per root element; ``json_lines`` files are splittable."""
+    """JSON documents, one row per root element; ``json_lines`` files are splittable.
+
+    ``scan_json_split`` splits files that hold one array, too.
+    """
     return spark.read.json(path, schema=schema, multiLine=not json_lines)
 
 
