@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import fresh
+
 # Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
     "mit-released": "Released under the MIT License.",
@@ -62,7 +64,8 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
 ]
 
-BLANK = r"\n[\t-\r ]*\n"
+BLANK = r"\n[\t-\r */#;-]*\n"
+"""Lines that are empty or hold only the marks of a comment."""
 END = r"([.!?;:])[\t-\r ]+"
 MARK = "\u0001"
 NOT_WORD = "[^A-Za-z0-9]+"
@@ -85,7 +88,9 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     Identifiers stand in the order of the text; a sentence over several lines
     counts whole and its lines for themselves; blank lines end a sentence too,
     and a sentence that has a cut within is found over both parts.  Licences are distinct and
-    sorted.  Null and empty texts have none.  Repeated rows stay repeated.
+    sorted.  Null and empty texts have none, very long ones are scanned whole.
+    Repeated rows stay repeated.  Where ``docs`` has a column of a new one's
+    name, the new one's name is lengthened by underscores.
     """
     sentences = SENTENCES if sentences is None else sentences
     rules = RULES if rules is None else rules
@@ -130,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
             starts = F.array_contains(F.array(*[normalised(x) for x in behind]), F.lit(start))
             return F.when(starts, F.coalesce(*[F.element_at(rest, normalised(x)) for x in ahead]))
 
-        tail = normalised(F.substring(part, -2000, 2000))
+        tail = normalised(part)
         return F.coalesce(*[F.when(tail.endswith(F.lit(start)), joined(start, rests)) for start, rests in cut.items()]) if cut else F.lit(None).cast("string")
 
     parts = F.split(F.regexp_replace(F.coalesce(docs[text].cast("string"), F.lit("")), END, "$1" + MARK), MARK)
@@ -138,10 +143,12 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     # Only ':' and ';' are cuts within known sentences.
     both = F.transform(pairs, lambda x: F.concat(found(x["part"]), F.when(x["part"].rlike("[:;]$") & x["after"].isNotNull(), F.array(over(x["part"], x["after"]))).otherwise(none)))
     ids = F.filter(F.flatten(both), lambda x: x.isNotNull())
-    first, second = names
+    first = fresh(docs, names[0])
+    second = fresh(docs.withColumn(first, none), names[1])
     told = docs.withColumn(first, ids)
     chain = F.concat(F.lit("<"), F.array_join(F.col(f"`{first}`"), "><"), F.lit(">"))
-    hits = [F.when(chain.like("%" + "%".join(f"<{n}>" for n in needed) + "%"), F.lit(licence)) for licence, needed in rules]
+    plain = lambda n: re.sub(r"([\\%_])", r"\\\1", n)
+    hits = [F.when(chain.like("%" + "%".join(f"<{plain(n)}>" for n in needed) + "%"), F.lit(licence)) for licence, needed in rules]
     return told.withColumn(second, F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))))
 
 

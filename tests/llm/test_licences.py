@@ -24,6 +24,20 @@ def test_sentences_and_order(spark):
     ) == [[], [], [], ["MIT"], ["MIT"], ["MIT"], [], [], ["Apache-2.0", "CC-BY-NC-4.0"], ["CC-BY-4.0"]]
 
 
+def test_comments_and_long_gaps(spark):
+    lines = lambda mark: f"\n{mark}\n".join(f"{mark} " + MIT[k].replace(", ", f",\n{mark} ") for k in ("mit-title", "mit-grant", "mit-notice"))
+    gap = MIT["gpl-free"].replace("free software", "free" + " " * 5000 + "software") + "\n\n" + MIT["gpl-hope"]
+    assert scan(spark, f"/*\n{lines(' *')}\n */\nint x;", lines("#"), lines("//"), gap) == [["MIT"], ["MIT"], ["MIT"], ["GPL-3.0-or-later"]]
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([("Known words here.", "mine", "own")], "text string, licences string, sentence_ids string")
+    got = licences.scan(docs, sentences={"a_b": "Known words here.", "axb": "Other words."}, rules=[("X", ["a_b"]), ("Y", ["axb"]), ("Z", ["axb", "a_b"])])
+    assert got.first().asDict() == {"text": "Known words here.", "licences": "mine", "sentence_ids": "own", "sentence_ids_": ["a_b"], "licences_": ["X"]}
+    only = licences.scan(docs.select(docs.text.alias("t")), "t", sentences={"a_b": "Other words.", "axb": "Known words here."}, rules=[("X", ["a_b"])])
+    assert only.first().licences == []
+
+
 def test_unknown_sentence_is_an_error(edge):
     with pytest.raises(ValueError, match="unknown sentence"):
         licences.scan(edge, rules=[("X", ["nothing"])])
