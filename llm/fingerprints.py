@@ -63,18 +63,23 @@ def located(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
-    """All columns of ``docs`` and each text's fingerprint; null counts as empty."""
-    chain = fresh(docs, "_chain")
+    """All columns of ``docs`` and each text's fingerprint; null counts as empty.
+
+    Where ``docs`` has a column of that name, the new one's is lengthened by underscores.
+    """
+    column, chain = fresh(docs, column), fresh(docs, "_chain")
     held = docs.withColumn(chain, tree(leaves(F.coalesce(docs[text].cast("string"), F.lit("")))))
     return held.withColumn(column, fingerprint(F.col(chain))).drop(chain)
 
 
 def _bucketed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``bucket``, ascending with ``k`` and about ``BUCKET_BYTES`` of text each; the buckets, ``CELLS`` at most."""
-    low, high = rows.agg(F.min("k"), F.max("k")).first()
+    """Rows with ``bucket``, ascending with ``k`` and about ``BUCKET_BYTES`` of text each; the buckets, twice ``CELLS`` at most."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // CELLS))
-    rows = rows.withColumn("cell", F.floor((F.col("k").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("long"))
+    own = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("long")
+    # Null ids lie below all others, by their texts' hashes.
+    rows = rows.withColumn("cell", F.coalesce(own, F.shiftright("h", 47) - F.lit(CELLS)))
     sizes = rows.groupBy("cell").agg(F.sum(F.octet_length("t") + 64).alias("bytes"))
     cells = sizes.select("cell", F.floor((F.sum("bytes").over(Window.orderBy("cell")) - F.col("bytes")) / BUCKET_BYTES).alias("bucket"))
     return rows.join(F.broadcast(cells), "cell").drop("cell"), cells.select("bucket").distinct()
@@ -88,9 +93,9 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     neighbouring ids; each bucket gets the next one's first row as a last one.
     """
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("k"),
-                       F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+                       F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     placed, buckets = _bucketed(rows)
-    placed = placed.select("bucket", "doc_id", "k", F.xxhash64("t").alias("h"), "t")
+    placed = placed.select("bucket", "doc_id", "k", "h", "t")
     heads = placed.groupBy("bucket").agg(F.max(F.struct("k", "h")).alias("head"))
     # One row per bucket: the one before in ascending order follows it here; after the lowest comes the highest.
     after = buckets.select("bucket", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("after"))

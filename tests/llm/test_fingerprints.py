@@ -38,6 +38,19 @@ def test_edges(edge, nothing):
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
 
 
+def test_null_ids_spoil_no_bucket(spark, sample, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 64 << 10)
+    rows = sample.selectExpr("case when doc_id % 3 = 0 then null else doc_id end as doc_id", "text")
+    got = fingerprints.with_next(rows).collect()
+    held = sorted(((-(1 << 63) if r.doc_id is None else r.doc_id, r.h, r.t) for r in rows.selectExpr("doc_id", "coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()),
+                  reverse=True)
+    want = sorted((a[2], b[2]) for a, b in zip(held, held[1:] + held[:1], strict=True))
+    assert sorted((r.t, r.next_t) for r in got) == want
+    keyed = rows.selectExpr("doc_id", "coalesce(doc_id, -9223372036854775808) as k", "coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h")
+    sizes = fingerprints._bucketed(keyed)[0].groupBy("bucket").agg(F.sum(F.octet_length("t")).alias("n"), F.max(F.octet_length("t")).alias("most")).collect()
+    assert len(sizes) > 3 and all(r.n <= 2 * (64 << 10) + r.most for r in sizes)
+
+
 def test_one_document_is_its_own_next(spark):
     got = fingerprints.compared(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert got.n_chars == 6 and got.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and got.near_next == 1.0
