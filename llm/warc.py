@@ -25,6 +25,8 @@ from twinledger.session import scratch_path
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 16 << 20
+"""Archive bytes of one reading task, about; a larger archive is read by several."""
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -181,7 +183,10 @@ def read(index: DataFrame, folder: str, payload: bool = False, store: Callable =
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds[:width], strict=True)], names=names[:width])
                 at = to
 
-    return index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    # The index is small where archives are large: tasks are counted by archive bytes.
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    part = F.floor(F.col("offset") / TASK_BYTES)
+    return index.select("archive", "offset", "length").repartition(tasks, "archive", part).sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

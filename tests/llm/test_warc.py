@@ -40,6 +40,16 @@ def test_chosen_records_with_payload(spark):
     assert set(got) == {3, 7, 8} and bytes(got[7].payload) == b"line\r\n\r\nline" and got[8].payload is None and got[8].refers_to == 6
 
 
+def test_an_archive_is_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 10)
+    pages = spark.range(300).selectExpr("id as page_id", "'http://u' as url", "sha2(cast(id as string), 512) as html").coalesce(1)
+    folder = scratch_path(spark, "warc-test")
+    index = warc.write(warc.decided(pages), folder)
+    told = warc.read(index, folder)
+    assert index.select("archive").distinct().count() == 1 and told.rdd.getNumPartitions() > 20
+    assert sorted(r.page_id for r in told.collect()) == list(range(300))
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
