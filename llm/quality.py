@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
@@ -111,8 +112,9 @@ def _counts(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
         for block in blocks(batches, 1):
             bucket, many = _grams(block.column(1))
             sums[0] += np.bincount(bucket, minlength=sums.shape[1])
-            ids = block.column(0).to_numpy(zero_copy_only=False)
-            kind = np.repeat(np.where(np.isin(ids, trusted), np.searchsorted(trusted, ids) % 2, -1), many)
+            ids = np.asarray(pc.fill_null(block.column(0), 0))  # whole numbers stay whole beside nulls
+            known = np.asarray(block.column(0).is_valid()) & np.isin(ids, trusted)
+            kind = np.repeat(np.where(known, np.searchsorted(trusted, ids) % 2, -1), many)
             for half in (0, 1):
                 sums[half + 1] += np.bincount(bucket[kind == half], minlength=sums.shape[1])
         some = np.flatnonzero(sums[0])

@@ -40,6 +40,12 @@ def test_verdicts_follow_labels(spark):
     assert sum(good) > 0.99 * len(good) and sum(bad) < 0.15 * len(bad)
 
 
+def test_long_ids_beside_nulls(spark):
+    docs = spark.createDataFrame([(1 << 53, "one two three"), (None, "x"), (5, "four")], "doc_id long, text string").coalesce(1)
+    told = quality._counts(docs, quality.np.array([(1 << 53) + 1], "int64")).agg({"even": "sum", "odd": "sum"}).first()
+    assert tuple(told) == (0, 0)
+
+
 def test_stage_keeps_columns(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], LABELS)
     got = quality.keep_good(edge, labels)
