@@ -102,3 +102,21 @@ def test_unlinked_executions_do_not_share_a_key(spark):
     found = {r["id"]: (r["resultDataManagerPath"], r["resultFileName"]) for r in execution_history_enrich(executions, results).collect()}
     assert found == {"e1": ("runs/r1/out.json", "out.json"), "e2": (None, None), "e3": ("own/x.json", "out.json"),
                      "e4": (None, "kept.json"), "e5": ("a", "b")}
+
+
+def test_missing_rows_are_joined_over_all_partitions(spark):
+    """Merged by size, a task held all ids of that size in sorts and hash tables."""
+    a, b = side(spark, LEFT + [None]), side(spark, RIGHT + [None])
+    ids = C.presence(a.select("compare_id"), b.select("compare_id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = C.missing_on_both_sides(a, b, ids, "L", "R")
+        assert rows.rdd.getNumPartitions() >= 16
+        assert sorted((r.id, r.type) for r in rows.collect()) == sorted(
+            [("hot", "MISSING_IN_FILE_2")] * 60 + [("a", "MISSING_IN_FILE_2")] + [("b", "MISSING_IN_FILE_2")] * 2
+            + [("d", "MISSING_IN_FILE_1"), ("cold", "MISSING_IN_FILE_1")] + [("warm", "MISSING_IN_FILE_1")] * 50)
+        repeated = spark.createDataFrame([("a",), ("a",)], "compare_id string")
+        assert C.missing_diff_rows(a, repeated, "M", "L", "R", C.hot_ids(ids)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -75,10 +75,12 @@ def missing_diff_rows(spark, sf_dir):
 SELECT type, "presentIn", count(*) AS n, count(DISTINCT id) AS ids FROM missing GROUP BY ALL""")
 def union_missing(spark, sf_dir):
     a, b = t.sides(spark, sf_dir)
-    only1, only2 = C.only_in_left(a, b), C.only_in_right(a, b)
+    ids = C.presence(a.select("compare_id"), b.select("compare_id"))
+    only1, only2 = ids.filter("n_left > 0 AND n_right = 0"), ids.filter("n_right > 0 AND n_left = 0")
+    hot = C.hot_ids(ids)
     rows = C.union_missing(
-        C.missing_diff_rows(a, only1, "MISSING_IN_FILE_2", "Web", "Back Office"),
-        C.missing_diff_rows(b, only2, "MISSING_IN_FILE_1", "Back Office", "Web"),
+        C.missing_diff_rows(a, only1, "MISSING_IN_FILE_2", "Web", "Back Office", hot),
+        C.missing_diff_rows(b, only2, "MISSING_IN_FILE_1", "Back Office", "Web", hot),
     )
     return rows.groupBy("type", "presentIn").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")

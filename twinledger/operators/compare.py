@@ -107,6 +107,11 @@ def missing_row(diff_type: str, id_col: Column, present: str, missing: str, data
     ]
 
 
+def hot_ids(ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ids of a ``presence`` frame that are hot on either side: one list for both, from the counts as they are."""
+    return hot_keys(ids.withColumn("_most", F.greatest("n_left", "n_right")), KEY, "_most", hot_rows)
+
+
 def missing_diff_rows(
     data: DataFrame, missing: DataFrame, diff_type: str, present_label: str, missing_label: str,
     hot: DataFrame | None = None, small: bool = False,
@@ -120,7 +125,8 @@ def missing_diff_rows(
     if small:
         rows = data.join(F.broadcast(wanted), KEY, "left_semi")
     else:
-        rows = join_unique(data, wanted, KEY, "left_semi", hot)
+        # Of unique ids an inner join keeps the same rows; a semi join would be planned below the spreading.
+        rows = join_unique(data, wanted.distinct(), KEY, "inner", hot, spread=True)
     return rows.select(
         *missing_row(diff_type, F.col(KEY), present_label, missing_label, F.to_json("data"))
     )
@@ -138,9 +144,10 @@ def missing_on_both_sides(
     type2 = f"missing_in_{word_label(label1, 'file1')}" if labelled else MISSING_IN_1
     only1 = ids.filter("n_left > 0 AND n_right = 0")
     only2 = ids.filter("n_right > 0 AND n_left = 0")
+    hot = hot_ids(ids, hot_rows)
     return union_missing(
-        missing_diff_rows(data1, only1, type1, label1, label2, hot_keys(ids, KEY, "n_left", hot_rows), small),
-        missing_diff_rows(data2, only2, type2, label2, label1, hot_keys(ids, KEY, "n_right", hot_rows), small),
+        missing_diff_rows(data1, only1, type1, label1, label2, hot, small),
+        missing_diff_rows(data2, only2, type2, label2, label1, hot, small),
     )
 
 

@@ -37,18 +37,26 @@ def hot_keys_of(df: DataFrame, key: str | list[str], hot_rows: int = HOT_ROWS) -
 
 
 def join_unique(
-    big: DataFrame, unique: DataFrame, key: str | list[str], how: str, hot: DataFrame | None = None
+    big: DataFrame, unique: DataFrame, key: str | list[str], how: str, hot: DataFrame | None = None, spread: bool = False
 ) -> DataFrame:
     """``big`` inner/semi/left join ``unique`` on ``key`` without a hot task.
 
     Rows of hot keys stay where they are and meet a broadcast of the few
     matching rows; all others take the ordinary shuffle join.  When no key is
     hot, adaptive execution sees the empty broadcast and drops that branch.
+
+    ``spread`` deals the ordinary join over all shuffle partitions, whatever
+    they hold: adaptive execution would merge them up to a size, and a task
+    then holds that size in every sort and hash table of the join.
     """
     if hot is None:
         return big.join(unique, key, how)
     few = F.broadcast(hot)
-    cold_part = big.join(few, key, "left_anti").join(unique, key, how)
+    cold = big.join(few, key, "left_anti")
+    if spread:
+        names = [key] if isinstance(key, str) else key
+        cold = cold.repartition(int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+    cold_part = cold.join(unique, key, how)
     hot_unique = unique.join(few, key, "left_semi")
     hot_part = big.join(few, key, "left_semi").join(F.broadcast(hot_unique), key, how)
     return cold_part.unionByName(hot_part)
