@@ -94,3 +94,20 @@ def test_broken_files_are_errors(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(PythonException, match="JSON"):
         json_records(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_a_large_batch_is_taken_in_few_rows_at_a_time():
+    """A batch of Arrow rows, however large, becomes Python values slice by slice."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from twinledger.sources import jsonsplit
+
+    pieces = pa.array([("[" if i == 0 else ",") + '{"a":"' + "é" * 1000 + '"' for i in range(10_000)] + ["]"])
+    whole = pa.RecordBatch.from_arrays([pa.array(["f"] * 10_001), pa.array([0] * 10_001), pieces], names=["file", "part", "piece"])
+    records = pa.RecordBatch.from_arrays([pa.array([p + "}" for p in pieces.to_pylist()[:-1]])], names=["record"])
+    for work, batch, count in ((jsonsplit._told, whole, 1), (jsonsplit._checked, records, 10_000)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in work(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20 and rows == count
+        tracemalloc.stop()

@@ -19,7 +19,7 @@ from twinledger.operators import records, sinks
 from twinledger.session import scratch_path
 from twinledger.sources import files, results
 from twinledger.sources.csvsplit import CSV_OPTIONS, scan_csv_split
-from twinledger.sources.jsonsplit import scan_json_split
+from twinledger.sources.jsonsplit import scan_json_split, slices
 from twinledger.streaming import polling
 
 
@@ -68,7 +68,7 @@ def json_split(spark, sf_dir):
 
     def arrays(batches):
         mark = "["
-        for batch in batches:
+        for batch in slices(batches):
             marks = [mark] + [","] * (batch.num_rows - 1) if batch.num_rows else []
             mark = "," if marks else mark
             yield pa.RecordBatch.from_arrays([pa.array([m + r for m, r in zip(marks, batch.column(0).to_pylist(), strict=True)], pa.string())], names=["value"])

@@ -26,6 +26,7 @@ ESCAPED = re.compile(r"\\.", re.DOTALL)
 HIGH = 1 << 62
 """The lowest depth where there is no brace outside strings."""
 BATCH_CHARS = 4 << 20
+BATCH_ROWS = 256
 
 
 def _depth(text: str) -> int:
@@ -47,9 +48,16 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.coalesce("value", F.lit("")).alias("piece"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: what a task holds as Python values stays small beside its batches."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+    for part in slices(batches):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 def _clean(text: str) -> str:
@@ -185,7 +193,7 @@ def _cut(states):
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records without what parts them, on one line each; what is no object is an error."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text in batch.column(0).to_pylist():
             record = _clean(text)
