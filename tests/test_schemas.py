@@ -190,3 +190,20 @@ def test_readiness(spark):
         ("m3", "Web schema 'foreign' is not available in your active tenant."),
         ("m4", "Web schema 'blank' does not contain schema text."), ("m5", "Web schema 'absent' is not saved."),
         ("m6", "Web id field '$.data.nothing' is not present in schema 'good'.")}
+
+
+def test_a_catalog_in_one_split_is_read_by_many_tasks(spark):
+    schemas = spark.createDataFrame([(str(i), json.dumps(ORDERS)) for i in range(40)] + [("0", "{broken"), (None, None)],
+                                    "schema_id string, schema_text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        paths = J.schema_paths(schemas)
+        assert paths.rdd.getNumPartitions() == 8 and J.flatten_schema(schemas).rdd.getNumPartitions() == 8
+        members = schemas.select("schema_id", F.lit("data.orders.edges[0].node.id").alias("id_expression"), F.monotonically_increasing_id().alias("member_id"))
+        checked = J.path_in_schema(members, paths)
+        assert checked.groupBy("in_schema").count().orderBy("in_schema").collect() == [(False, 1), (True, 41)]
+        plan = checked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -270,7 +270,11 @@ FIELDS = "fieldPath string, fieldName string, type string, required boolean, dep
 
 
 def _per_schema(schemas: DataFrame, id_col: str, text_col: str, rows: Callable, fields: str) -> DataFrame:
-    """Several rows per stored schema; an unreadable text yields none."""
+    """Several rows per stored schema; an unreadable text yields none.
+
+    A catalog is a small table and comes in few splits, its texts take long:
+    they are dealt over all shuffle partitions.
+    """
     out = T.StructType([schemas.schema[id_col]] + T._parse_datatype_string(fields).fields)
     names = out.fieldNames()
 
@@ -283,7 +287,8 @@ def _per_schema(schemas: DataFrame, id_col: str, text_col: str, rows: Callable,
                     found.extend((key, *row) for row in rows(told[0]))
             yield pd.DataFrame(found, columns=names)
 
-    return schemas.select(id_col, text_col).mapInPandas(run, out)
+    tasks = int(schemas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return schemas.select(id_col, text_col).repartition(tasks).mapInPandas(run, out)
 
 
 def flatten_schema(schemas: DataFrame, id_col: str = "schema_id", text_col: str = "schema_text") -> DataFrame:
@@ -339,15 +344,23 @@ def path_in_schema(
     def unmarked(col: Column) -> Column:
         return F.replace(col, F.lit("[*]"), F.lit(""))
 
-    wanted = members.select(member_col, schema_col, member_path(F.col(expr_col)).alias("_want"))
-    by_path = wanted.filter(F.col("_want").startswith("$")).withColumn("_key", unmarked(F.col("_want")))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = members.select(member_col, schema_col, expr_col).repartition(tasks).select(
+        member_col, schema_col, member_path(F.col(expr_col)).alias("_want"))
+    # Never null: a filter on null keys would be planned before the members are dealt out, with all the patterns it takes.
+    none, rooted, bare = F.lit(0), F.lit(1), F.lit(2)
+    asked = wanted.withColumn("_kind", F.when(F.col("_want").isNull(), none).when(F.col("_want").startswith("$"), rooted).otherwise(bare)).withColumn(
+        "_key", F.coalesce(F.when(F.col("_kind") == rooted, unmarked(F.col("_want"))).otherwise(F.col("_want")), F.lit("")))
     escaped = F.regexp_replace(F.col("jsonPath"), r"([\\^$.|?+(){}])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.replace(escaped, F.lit("[*]"), F.lit(r"(\[\*\])?")), F.lit("$"))
-    shapes = paths.select(schema_col, unmarked(F.col("jsonPath")).alias("_key"), pattern.alias("_pattern")).distinct()
-    names = paths.select(schema_col, F.col("fieldName").alias("_want")).distinct()
+    # Paths and names in one list, so that the schemas are read once.
+    kinds = F.array(
+        F.struct(rooted.alias("_kind"), unmarked(F.col("jsonPath")).alias("_key"), pattern.alias("_pattern")),
+        F.struct(bare.alias("_kind"), F.col("fieldName").alias("_key"), F.lit(None).cast("string").alias("_pattern")),
+    )
+    told = paths.select(schema_col, F.explode(kinds).alias("_told")).select(schema_col, "_told.*").distinct()
     found = (
-        by_path.join(shapes, [schema_col, "_key"]).filter(F.expr("_want RLIKE _pattern")).select(member_col)
-        .union(wanted.filter(~F.col("_want").startswith("$")).join(names, [schema_col, "_want"]).select(member_col))
+        asked.join(told.hint("merge"), [schema_col, "_kind", "_key"]).filter((F.col("_kind") == bare) | F.expr("_want RLIKE _pattern")).select(member_col)
         .distinct().withColumn("in_schema", F.lit(True))
     )
     return members.join(found, member_col, "left").withColumn("in_schema", F.coalesce("in_schema", F.lit(False)))
