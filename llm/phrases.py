@@ -337,25 +337,34 @@ def _pair_places(size: int, parts: int):
     """Packed counts by place: for each part of the table the gaps between places and the counts, the highest count for all above."""
 
     def packed(places: np.ndarray) -> pa.RecordBatch:
-        at, counts = np.unique(places, return_counts=True)
-        part = (at // np.uint64(size // parts)).astype(np.int64)
+        """Sorts ``places`` itself, and holds 32 bits a place: no place is above ``FILTER_BITS``."""
+        places.sort()
+        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+        at, counts = places[first], np.minimum(np.diff(first, append=len(places)), MOST).astype(np.uint16)
+        del first
+        part = at // np.uint32(size // parts)
         heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        gaps = np.diff(at, prepend=np.uint64(0))
-        gaps[heads] = at[heads] % np.uint64(size // parts)
-        gaps, counts = gaps.astype(np.uint32), np.minimum(counts, MOST).astype(np.uint16)
+        part = part[heads].astype(np.int64)
+        gaps = np.diff(at, prepend=np.uint32(0))
+        gaps[heads] = at[heads] % np.uint32(size // parts)
         runs = [(b - a).to_bytes(8, "little") + pa.compress(gaps[a:b].tobytes() + counts[a:b].tobytes(), "zstd", asbytes=True)
                 for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(runs, pa.binary())], names=["part", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(runs, pa.binary())], names=["part", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, count = np.empty(PLACES, np.uint32), 0
         for found in _found(batches, 2):
-            held.append(names(found) & np.uint64(size - 1))
-            if sum(map(len, held)) > PLACES:
-                yield packed(np.concatenate(held))
-                held = []
-        if held:
-            yield packed(np.concatenate(held))
+            places = (names(found) & np.uint64(size - 1)).astype(np.uint32)
+            if count and count + len(places) > PLACES:
+                yield packed(held[:count])
+                count = 0
+            if len(places) > PLACES:
+                yield packed(places)
+                continue
+            held[count : count + len(places)] = places
+            count += len(places)
+        if count:
+            yield packed(held[:count])
 
     return run
 
