@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By runs of five words at similarity 0.8; op10's two bits are that query's contract alone."""
+    """SimHash links by BK-trees and what they miss, verified by runs of five words at similarity 0.8; op10's two bits are its contract alone."""
     return similar.keep_one(docs)
 
 

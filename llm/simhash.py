@@ -13,6 +13,10 @@ each tree holds the fingerprints that agree in one field and a query visits
 only its own ``radius + 1`` trees.  Fields with more than ``TREE_SIZE``
 fingerprints are split by the same argument over the bits that are left, so no
 link is lost and no tree grows with the corpus.
+
+``wide_links`` searches fingerprints of several words, which tell texts of a
+similarity of 0.8 from others; no number of bit fields is lossless at their
+radius, so it gives most links and its caller finds the rest.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from llm.common import blocks, fresh, runs_expanded, texts, with_arrow_columns, written
+from llm.common import blocks, fresh, runs_expanded, texts, utf8, with_arrow_columns, written
 from llm.components import connected
 
 SEED = 42
@@ -36,7 +40,12 @@ VISITS = 2_000_000
 """Tree nodes that one vectorised step may look at."""
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-POP = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
+STEP = 1 << 16
+"""Hashes whose bits are spelled out at a time."""
+FIELD_BYTES = 2
+"""A tree of wide fingerprints holds those that agree in one field of so many bytes."""
+WIDE_TREE_SIZE = 1024
+"""Wide fingerprints of one tree; a field value with more has several, by the next field's bits and then in the order of the bits."""
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -61,14 +70,20 @@ def _fingerprints(rows: list[bytes], words: int) -> np.ndarray:
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes += [one(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
         counts[i] = len(parts) - words + 1
-    out = np.zeros(len(rows), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(counts) - counts)[some]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        major = 2 * ones > counts[some, None]
-        out[some] = np.packbits(major, axis=1, bitorder="little").reshape(-1).view("<u8")
+    return majority(np.array(hashes, "<u8").reshape(-1, 1), counts)[:, 0]
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each text's fingerprint, zero without hashes: the bits set in over half of its ``counts`` rows of ``hashes`` (of one or more words)."""
+    out = np.zeros((len(counts), hashes.shape[1]), np.uint64)
+    end = 0
+    for i, count in enumerate(counts.tolist()):
+        if not count:
+            continue
+        start, end = end, end + count
+        ones = sum(
+            np.unpackbits(hashes[at : min(at + STEP, end)].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(start, end, STEP))
+        out[i] = np.packbits(2 * ones > count, bitorder="little").view("<u8")
     return out
 
 
@@ -96,8 +111,9 @@ def _beside(docs: DataFrame, keep: list[str], text: str, words: int, column: str
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a ^ b
-    return sum(POP[((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64) for s in (0, 16, 32, 48))
+    """Differing bits of fingerprints, which are numbers or rows of numbers."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
 
 
 class Forest:
@@ -108,6 +124,7 @@ class Forest:
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
         self.values = values
+        self.bits = BITS * (values.shape[1] if values.ndim > 1 else 1)
         n = len(values)
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.zeros(0, np.int64)
         self.sizes = np.diff(np.append(first, n))
@@ -116,7 +133,7 @@ class Forest:
         node = self.root[waiting]
         keys, children = [], []
         while len(waiting):
-            key = node * (BITS + 1) + distance(values[waiting], values[node])
+            key = node * (self.bits + 1) + distance(values[waiting], values[node])
             order = np.argsort(key, kind="stable")
             key, waiting = key[order], waiting[order]
             head = np.concatenate(([True], key[1:] != key[:-1]))
@@ -141,30 +158,31 @@ class Forest:
                 hit = (d <= radius) & (node < query)
                 if hit.any():
                     yield query[hit], node[hit]
-                low = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(1, d - radius), "left")
-                high = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(BITS, d + radius), "right")
+                low = np.searchsorted(self.keys, node * (self.bits + 1) + np.maximum(1, d - radius), "left")
+                high = np.searchsorted(self.keys, node * (self.bits + 1) + np.minimum(self.bits, d + radius), "right")
                 many = high - low
                 node = self.children[np.repeat(low, many) + runs_expanded(many)]
                 query = np.repeat(query, many)
             at = to
 
 
+def _components(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """The position of the first of each fingerprint's component, links followed within groups; links are not held."""
+    label = np.arange(len(values))
+    for a, b in Forest(values, group).links(radius):
+        while len(a):
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            apart = low < high
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] < label).any():
+                label = label[label]
+    return label
+
+
 def _stars(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each fingerprint linked to others of its group, beside the first of its component."""
-    label = np.arange(len(values))
-    pairs = list(Forest(values, group).links(radius))
-    if not pairs:
-        return values[:0], values[:0]
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = _components(values, group, radius)
     moved = np.flatnonzero(label != np.arange(len(values)))
     return values[moved], values[label[moved]]
 
@@ -239,6 +257,57 @@ def links(found: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> Data
     return routed.repartition("tree").sortWithinPartitions("tree", "fp").mapInArrow(search, "u long, v long")
 
 
+def wide_links(prints: DataFrame, words: int, radius: int, tree_size: int = WIDE_TREE_SIZE) -> DataFrame:
+    """Star edges ``u, v`` that join names ``fp`` whose fingerprints ``bits`` (binary, of 8 * ``words`` bytes) are within the radius.
+
+    A pair is found if it agrees in one of the ``4 * words`` bit fields and its
+    tree holds both.  A tree has at most ``tree_size`` members, so a row costs
+    no more than that many comparisons a field, however many texts are alike.
+    Rows without bits must be left out; equal fingerprints are linked.
+    """
+    size = 8 * words
+    starts = range(0, size, FIELD_BYTES)
+    fields = [F.struct(F.lit(i).alias("field"), F.substring("bits", i + 1, FIELD_BYTES).alias("held"),
+                       F.substring("bits", (i + FIELD_BYTES) % size + 1, FIELD_BYTES).alias("next")) for i in starts]
+    keyed = prints.select("fp", "bits", F.explode(F.array(*fields)).alias("k")).select("fp", "bits", "k.*")
+    hot = keyed.groupBy("field", "held").agg(F.count("*").alias("n")).where(F.col("n") > tree_size).select("field", "held", F.lit(True).alias("hot"))
+    # Written, so that its size is known and a small one spares the fingerprints an exchange.
+    routed = keyed.join(written(hot, "simhash-hot"), ["field", "held"], "left").select(F.xxhash64("field", "held", F.when(F.col("hot"), F.col("next"))).alias("tree"), "bits", "fp")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, bits, fp = np.zeros(0, np.int64), np.zeros((0, words), np.uint64), np.zeros(0, np.int64)
+
+        def cut() -> np.ndarray:
+            """Tree numbers of the held rows: by key, then in runs of ``tree_size``."""
+            first = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+            place = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+            return np.cumsum(place % tree_size == 0)
+
+        def out(group: np.ndarray) -> pa.RecordBatch:
+            values, names = bits[: len(group)], fp[: len(group)]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (values[1:] != values[:-1]).any(axis=1)))
+            one = np.flatnonzero(new)  # equal fingerprints stand together
+            head = one[_components(values[one], group[one], radius)][np.cumsum(new) - 1]
+            moved = np.flatnonzero(names != names[head])
+            return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[head[moved]])], names=["u", "v"])
+
+        for batch in batches:
+            tree = np.concatenate((tree, np.asarray(batch.column(0))))
+            bits = np.concatenate((bits, utf8(batch.column(1))[0].view("<u8").reshape(-1, words)))
+            fp = np.concatenate((fp, np.asarray(batch.column(2))))
+            if len(tree) < 20 * tree_size:
+                continue
+            group = cut()
+            group = group[: np.searchsorted(group, group[-1], "left")]  # the last tree may go on
+            yield out(group)
+            tree, bits, fp = tree[len(group) :], bits[len(group) :], fp[len(group) :]
+        if len(tree):
+            yield out(cut())
+
+    # A tree's members come together and in order, so a retried task builds the same tree.
+    return routed.repartition("tree").sortWithinPartitions("tree", "bits", "fp").mapInArrow(search, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2,
                     tree_size: int = TREE_SIZE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.

@@ -1,22 +1,29 @@
-"""Near-duplicate groups by word-shingle similarity, each link verified exactly.
+"""Near-duplicate groups by word-shingle similarity: SimHash links from BK-trees, each verified exactly, and what they miss.
 
 Two texts are near copies when the sets of their runs of five words have a
-Jaccard similarity of at least 0.8.  SimHash does not find those: fingerprints
-of such pairs differ in up to 17 of 64 bits on the given tables, and a search
-that loses no pair within 17 bits compares all of them.  So candidates come
-from min-hashes: ``BANDS`` bands of ``ROWS`` minima each, and texts that agree
-in a whole band share a bucket.  A pair at similarity 0.8 is in no common
-bucket with probability (1 - 0.8^5)^60, about 5e-11, a closer one less often.
-
-Buckets do not link by themselves.  Each ties its texts to its first one, texts
-that hang together so are a loose group, and every link lies within a loose
-group.  A block of texts is sent once to a task, which counts what runs its
-texts share by an index of them, so no row is made for a pair.  A group of up
-to ``GROUP_ROWS`` texts is one block.  In a larger one all texts first meet one
-block of them, which links most of what can be linked; then the texts outside
-the largest component, in blocks, meet all texts, in chunks.  That last step is
-exact at every size and reads a group's texts once for every ``GROUP_ROWS`` of
-those outside.
+Jaccard similarity of at least 0.8.  A fingerprint has 256 bits, the majority
+of its text's runs; near copies at 0.8 differ in 39 bits on average and texts
+without common runs in 128, so BK-trees are searched within ``RADIUS`` 64.
+Texts that hang together by tree links are compared, and what is verified links
+them.
+
+A tree holds fingerprints that agree in one of 16 fields of 16 bits, which
+random bits at 0.8 do in 69 of 100 pairs, at 0.9 in 95.  No bit fields are
+lossless at such a radius, and a search that is compares all pairs.  So the
+links that trees miss are looked for by min-hashes: ``BANDS`` bands of ``ROWS``
+minima each, and texts that agree in a whole band share a bucket.  A pair at
+similarity 0.8 is in no common bucket with probability (1 - 0.8^5)^60, about
+5e-11, a closer one less often.  Buckets tie each text to their first one and,
+with the tree links, make loose groups; every link lies within a loose group.
+Loose groups that verified SimHash links connect wholly are done.
+
+A block of texts is sent once to a task, which counts what runs its texts share
+by an index of them, so no row is made for a pair.  A tree's group of up to
+``GROUP_ROWS`` texts is one block; all texts of a larger one meet one block of
+it, which links most of what can be linked.  In a loose group that is not yet
+one component the texts outside the largest one, in blocks, meet all texts, in
+chunks.  That step is exact at every size and reads a group's texts once for
+every ``GROUP_ROWS`` of those outside.
 """
 
 from __future__ import annotations
@@ -28,15 +35,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql.types import BinaryType, LongType, StructField
 
 from llm.common import BLOCK_BYTES, blocks, mixed, runs_expanded, texts, with_arrow_columns, written
 from llm.components import connected
-from llm.simhash import LOWER, SEED, kept_of_groups
+from llm.simhash import LOWER, SEED, kept_of_groups, majority, wide_links
 
 WORDS = 5
 SIMILARITY = (4, 5)
 """0.8 as a fraction, so that the comparison is in whole numbers."""
+PRINT_WORDS = 4
+"""64-bit words of a fingerprint."""
+RADIUS = 64
+"""Differing bits, of 256, up to which fingerprints are linked for comparison."""
 BANDS, ROWS = 60, 5
 GROUP_ROWS, GROUP_BYTES = 512, 8 << 20
 """Size of a block of texts that a task holds; larger groups are compared in several."""
@@ -46,6 +57,7 @@ _draw = np.random.Generator(np.random.PCG64(SEED))
 FLIP = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
 TIMES = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
 STEP = _draw.integers(0, 1 << 64, BANDS, np.uint64, endpoint=False)
+SALT = _draw.integers(0, 1 << 64, PRINT_WORDS, np.uint64, endpoint=False)
 
 
 def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
@@ -80,6 +92,17 @@ def runs(text: bytes) -> np.ndarray:
     return run
 
 
+def _prints(column: pa.Array) -> list:
+    """SimHash fingerprints over each text's different runs, ``PRINT_WORDS`` words of 64 bits; texts must have words."""
+    out = []
+    for part in blocks(iter([pa.RecordBatch.from_arrays([column], ["t"])]), 0, 1 << 19):
+        hashes = [np.unique(runs(text)) for text in texts(part.column(0))]
+        all_ = np.concatenate(hashes)
+        wide = np.stack([mixed(all_ ^ salt) for salt in SALT], axis=1)
+        out += [x.tobytes() for x in majority(wide, np.array([len(run) for run in hashes]))]
+    return [pa.array(out, pa.binary())]
+
+
 def bands(rows: list[bytes]) -> np.ndarray:
     """Bucket numbers, a row of ``BANDS`` for each text; texts must have words."""
     hashes = [runs(text) for text in rows]
@@ -231,39 +254,60 @@ def _meeting(members: DataFrame, hosts: DataFrame) -> DataFrame:
     return rows.select(*PLACE, "part", "text").unionByName(host.select(*PLACE, "part", "text"))
 
 
-def links(distinct: DataFrame, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Verified edges ``u, v`` between the texts of ``distinct`` (``fp``, unique, and ``text``), enough to connect all near copies."""
-    made = distinct.where("fp <> 0").mapInArrow(_bucket_rows, "band long, fp long, low long")
+def tree_links(worded: DataFrame) -> DataFrame:
+    """Star edges ``u, v`` between texts of ``worded`` (``fp``, unique, and ``text``, with words) whose fingerprints trees link."""
+    prints = with_arrow_columns(worded, "text", ["fp"], [StructField("bits", BinaryType(), False)], _prints)
+    return wide_links(written(prints, "similar-prints"), PRINT_WORDS, RADIUS)
+
+
+def bucket_links(worded: DataFrame) -> DataFrame:
+    """Star edges ``u, v`` between texts that share a min-hash bucket."""
+    made = worded.mapInArrow(_bucket_rows, "band long, fp long, low long")
     # A tie that a block made goes anywhere; a bucket's other rows, one for each block of texts at most, meet.
     made = made.repartition(F.when(F.col("low") != F.col("fp"), F.xxhash64("fp")).otherwise(F.col("band"))).sortWithinPartitions("band", "fp")
-    loose = connected(made.mapInArrow(_stars, "u long, v long"))
-    node = loose.select("node", "root").union(loose.select(F.col("root").alias("node"), "root").distinct())
+    return made.mapInArrow(_stars, "u long, v long")
+
+
+def _rooted(edges: DataFrame, root: str) -> DataFrame:
+    """Every node of the edges beside the first it reaches, which is there too."""
+    found = connected(edges).withColumnRenamed("root", root)
+    return found.select("node", root).union(found.select(F.col(root).alias("node"), root).distinct())
+
+
+def links(distinct: DataFrame, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Verified edges ``u, v`` between the texts of ``distinct`` (``fp``, unique, and ``text``), enough to connect all near copies."""
+    worded = distinct.where("fp <> 0")
+    near = written(tree_links(worded), "similar-trees")
+    node = _rooted(near.union(bucket_links(worded)), "loose")
     # Both sides are exchanged at every size.
-    members = written(distinct.join(node.hint("merge"), distinct.fp == node.node).select("root", "fp", "text", F.octet_length("text").alias("size")), "similar-groups")
-    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-    sizes = sizes.withColumn("parts", _count("rows", "bytes", group_rows, group_bytes)).withColumn(
-        "chunks", _count("rows", "bytes", CHUNKS * group_rows, CHUNKS * group_bytes))
-    sizes = written(sizes, "similar-sizes")
-    members = members.withColumn("part", F.col("fp"))
-    zero = [F.lit(0).alias(c) for c in ("block", "chunk", "guest")]
-    large = sizes.where("parts > 1")
-    if large.isEmpty():
-        return _links(members.select("*", *zero))
-    small = members.join(large, "root", "left_anti").select("*", *zero)
-    wide = members.join(large, "root")
-    first = wide.where(_draw_of("parts", 1) == 0).withColumn("block", F.lit(0))
-    found = _links(small.select(*PLACE, "part", "text").unionByName(_meeting(wide.withColumn("blocks", F.lit(1)), first)))
-    # What is outside the largest component of its group meets all of the group.
+    members = distinct.join(node.hint("merge"), distinct.fp == node.node).select("loose", "fp", "text", F.octet_length("text").alias("size"))
+    members = written(members, "similar-groups")
+    found = _tree_groups(members, _rooted(near, "root"), group_rows, group_bytes)
+    # What is outside the largest component of its loose group meets all of the group.
     tops = connected(found).withColumnRenamed("root", "top")
-    wide = wide.join(tops, wide.fp == tops.node, "left").withColumn("part", F.coalesce("top", "fp"))
-    each = wide.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    parts = members.join(tops, members.fp == tops.node, "left").select(F.col("loose").alias("root"), "fp", F.coalesce("top", "fp").alias("part"), "size", "text")
+    each = parts.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     main = each.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max_by("n", F.struct("n", "part")).alias("main_n"),
                                     F.max_by("b", F.struct("n", "part")).alias("main_b"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
     main = main.withColumn("out_n", F.col("all_n") - F.col("main_n")).withColumn("out_b", F.col("all_b") - F.col("main_b")).where("out_n > 0")
-    main = written(main.select("root", "main", _count("out_n", "out_b", group_rows, group_bytes).alias("blocks")), "similar-main")
-    wide = wide.join(main, "root")
-    rest = wide.where(F.col("part") != F.col("main")).withColumn("block", _draw_of("blocks", 3))
-    return found.union(_links(_meeting(wide, rest)))
+    main = written(main.select("root", "main", _count("out_n", "out_b", group_rows, group_bytes).alias("blocks"),
+                               _count("all_n", "all_b", CHUNKS * group_rows, CHUNKS * group_bytes).alias("chunks")), "similar-main")
+    parts = parts.join(main, "root")
+    rest = parts.where(F.col("part") != F.col("main")).withColumn("block", _draw_of("blocks", 3))
+    return found.union(_links(_meeting(parts, rest)))
+
+
+def _tree_groups(members: DataFrame, node: DataFrame, group_rows: int, group_bytes: int) -> DataFrame:
+    """Verified edges within what tree links hold together (``node``, ``root``); of larger groups those with one block."""
+    wide = members.join(node, members.fp == node.node).select("root", "fp", F.col("fp").alias("part"), "text", "size")
+    sizes = wide.groupBy("root").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    sizes = sizes.withColumn("parts", _count("rows", "bytes", group_rows, group_bytes)).withColumn(
+        "chunks", _count("rows", "bytes", CHUNKS * group_rows, CHUNKS * group_bytes))
+    large = written(sizes.where("parts > 1"), "similar-sizes")
+    small = wide.join(large, "root", "left_anti").select("*", *[F.lit(0).alias(c) for c in ("block", "chunk", "guest")])
+    wide = wide.join(large, "root").withColumn("blocks", F.lit(1))
+    first = wide.where(_draw_of("parts", 1) == 0).withColumn("block", F.lit(0))
+    return _links(small.select(*PLACE, "part", "text").unionByName(_meeting(wide, first)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -94,3 +94,46 @@ def test_long_chain_settles(spark):
     edges = spark.range(300).selectExpr("id as u", "id + 1 as v")
     got = connected(edges).collect()
     assert len(got) == 300 and {r.root for r in got} == {0}
+
+
+def test_fingerprints_of_many_steps(monkeypatch):
+    rows = [" ".join(f"w{i * j % 71}" for i in range(n)).encode() for j, n in enumerate([0, 1, 40, 3, 200, 0, 17], 1)]
+    want = [brute_print(t.decode()) for t in rows]
+    for step in (1, 7, 64):
+        monkeypatch.setattr(simhash, "STEP", step)
+        assert simhash._fingerprints(rows, 3).tolist() == want
+
+
+@pytest.mark.parametrize("tree_size", [5, 1024])
+def test_wide_links_are_those_of_trees(spark, tree_size):
+    """Large trees give every connection that a common field allows; small ones only true links, equal fingerprints too."""
+    rng = random.Random(5)
+    prints = [rng.getrandbits(256) for _ in range(150)]
+    for p in prints[:60]:
+        prints += [p ^ sum(1 << b for b in rng.sample(range(256), n)) for n in (3, 30, 60, 70)]
+    prints += prints[:20]
+    frame = spark.createDataFrame([(i, p.to_bytes(32, "little")) for i, p in enumerate(prints)], "fp long, bits binary")
+    got = {frozenset((r.u, r.v)) for r in simhash.wide_links(frame, 4, 64, tree_size).collect()}
+    fields = [[p >> at & 0xFFFF for at in range(0, 256, 16)] for p in prints]
+    linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 64 and any(map(int.__eq__, fields[i], fields[j]))
+    root = list(range(len(prints)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if linked(i, j):
+                root[top(i)] = top(j)
+    assert all(top(i) == top(j) for i, j in map(tuple, got))
+    if tree_size == 1024:
+        want = [top(i) for i in range(len(prints))]
+        root[:] = range(len(prints))
+        for i, j in map(tuple, got):
+            root[top(i)] = top(j)
+        assert [len({want[j] for j in range(len(prints)) if top(j) == top(i)}) for i in range(len(prints))] == [1] * len(prints)
+        assert len({top(i) for i in range(len(prints))}) == len(set(want))
+    else:
+        assert got
